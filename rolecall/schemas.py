@@ -4,6 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
+_TYPES = {
+    "string": T.StringType(), "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(),
+    "boolean": T.BooleanType(), "timestamp": T.TimestampType(), "strings": T.ArrayType(T.StringType()),
+}
+
+
+def _table(columns: str) -> T.StructType:
+    """Layout from ``name type, …`` (usable before a session exists)."""
+    pairs = (part.split() for part in columns.split(","))
+    return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind in pairs])
+
+
 #: Payload fields every source maps to. ``skills`` may hold a JSON array or delimited text.
 PAYLOAD_FIELDS = (
     "source_job_id", "company_name", "company_domain", "title", "url", "location", "city",
@@ -26,46 +38,46 @@ RAW = T.StructType(
     ]
 )
 
-ENTITIES = T.StructType.fromDDL(
+ENTITIES = _table(
     "entity_id long, name string, domain string, careers_url string, priority string, "
     "enabled boolean, ats string, created_at timestamp, updated_at timestamp"
 )
 
-FETCH_RESULTS = T.StructType.fromDDL(
+FETCH_RESULTS = _table(
     "seq long, source string, status string, company string, url string, reason string, "
     "action string, n_jobs long"
 )
 
 #: Written once per record and never rewritten.
-CONTENT = T.StructType.fromDDL(
+CONTENT = _table(
     "job_id long, content_hash string, company_name string, title string, location string, "
     "country string, city string, remote_status string, employment_type string, "
     "department string, experience_min int, experience_max int, description string, "
-    "skills array<string>, salary_min double, salary_max double, salary_currency string, "
+    "skills strings, salary_min double, salary_max double, salary_currency string, "
     "posted_date string, posted_at timestamp, updated_date string, ats string, "
     "raw_hash string, is_fixture boolean, content_print string, first_seen timestamp"
 )
 
 #: The small changing part of a record.
-TRACKING = T.StructType.fromDDL(
+TRACKING = _table(
     "job_id long, content_hash string, source string, source_job_id string, "
     "source_url string, canonical_url string, first_seen timestamp, last_seen timestamp, "
     "status string, is_active boolean, target_match string, entity_id long, "
-    "match_confidence string, match_score int, match_reasons array<string>, "
-    "match_warnings array<string>, updated_at timestamp"
+    "match_confidence string, match_score int, match_reasons strings, "
+    "match_warnings strings, updated_at timestamp"
 )
 
-REFS = T.StructType.fromDDL(
+REFS = _table(
     "job_id long, source string, source_job_id string, ref_id long, source_url string, "
     "first_seen timestamp, last_seen timestamp, times_seen long"
 )
 
-SOURCES = T.StructType.fromDDL(
+SOURCES = _table(
     "source string, source_type string, enabled boolean, status string, "
     "last_run_at timestamp, last_success_at timestamp, last_error string, jobs_found long"
 )
 
-ERRORS = T.StructType.fromDDL(
+ERRORS = _table(
     "error_id long, run_id long, source string, company string, url string, "
     "error_type string, http_status int, message string, occurred_at timestamp"
 )
@@ -76,12 +88,12 @@ COUNTER_NAMES = (
     "duplicates", "filtered_out", "below_threshold", "high_match", "manual_review", "errors",
 )
 
-RUNS = T.StructType.fromDDL(
+RUNS = _table(
     "run_id long, started_at timestamp, finished_at timestamp, status string, "
-    "trigger string, counters struct<" + ",".join(f"{n}:long" for n in COUNTER_NAMES) + ">"
-)
+    "trigger string"
+).add("counters", T.StructType([T.StructField(n, T.LongType()) for n in COUNTER_NAMES]))
 
-DISCOVERY = T.StructType.fromDDL(
+DISCOVERY = _table(
     "company_name string, careers_url string, ats string, confidence string, "
     "status string, jobs_url string, discovered_at timestamp"
 )

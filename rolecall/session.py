@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -46,3 +47,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="rolecall-ckpt-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of :func:`cut_lineage`, for tables a job stages for itself."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        cut_lineage(spark.range(1))
+    return context.getCheckpointDir()
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Unlike a checkpoint the result is columnar: later readers load only the columns they
+    use, and the planner knows its size.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
