@@ -31,10 +31,15 @@ def nested_entries(docs: DataFrame, entries: Column, default_source: str) -> Dat
 
     The number follows (task, row): documents in file order, elements in their own order.
     """
-    flat = docs.select(F.explode(entries).alias("e")).select("e.*")
+    flat = explode_entries(docs, entries)
     return to_raw(flat.withColumn("seq", F.monotonically_increasing_id()), default_source)
 
 
+def explode_entries(docs: DataFrame, entries: Column, keep: tuple[str, ...] = ()) -> DataFrame:
+    """One row per array element: ``keep`` columns, ``pos`` in the array, then its fields."""
+    return docs.select(*keep, F.posexplode(entries).alias("pos", "e")).select(*keep, "pos", "e.*")
+
+
 def read_json_lines(spark: SparkSession, path: str, default_source: str = "fixture") -> DataFrame:
     """One payload per line; read in parallel splits, ordered by (split, line)."""
     rows = spark.read.schema(_ENTRY).json(path)
