@@ -61,17 +61,20 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
     return hit
 
 
-def remote_status(explicit: Column, *texts: Column) -> Column:
-    """The stated working mode if it is a known spelling, else hints from the texts."""
-    stated = F.lower(clean_text(explicit))
-    blob = F.lower(F.concat_ws(" ", *[blank_to_null(t) for t in texts]))
+def hint_text(*texts: Column) -> Column:
+    """Lower-case texts in one, for :func:`remote_status`."""
+    return F.lower(F.concat_ws(" ", *[blank_to_null(t) for t in texts]))
+
+
+def remote_status(stated: Column, hints: Column) -> Column:
+    """The stated (lower-case) working mode if it is a known spelling, else hints from texts."""
     result = None
     for mode, spellings in REMOTE_SPELLINGS.items():
         test = stated.isin(*spellings)
         result = F.when(test, mode) if result is None else result.when(test, mode)
     return (
-        result.when(has_any(blob, HYBRID_WORDS), "hybrid")
-        .when(has_any(blob, REMOTE_WORDS), "remote")
+        result.when(has_any(hints, HYBRID_WORDS), "hybrid")
+        .when(has_any(hints, REMOTE_WORDS), "remote")
         .otherwise("unknown")
     )
 

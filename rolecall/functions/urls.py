@@ -42,13 +42,14 @@ def _clean_query(query: Column) -> Column:
     )
 
 
-def canonical_url(c: Column) -> Column:
+def canonical_url(c: Column, clean: bool = False) -> Column:
     """Form used to compare links.
 
     Lower-case scheme and host, no default port, fragment, tracking parameter or trailing
     slash, sorted parameters. Text without scheme or host only loses trailing slashes.
+    ``clean`` says the text went through :func:`clean_text` before.
     """
-    text = clean_text(c)
+    text = c if clean else clean_text(c)
     no_fragment = F.substring_index(text, "#", 1)
     before_query = F.substring_index(no_fragment, "?", 1)
     query = F.substr(no_fragment, F.length(before_query) + F.lit(2))

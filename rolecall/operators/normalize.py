@@ -37,17 +37,16 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
         F.coalesce(
             clean["company_name"], given("context_name"), text.clean_text(given("company_hint")), F.lit("")
         ).alias("company_name"),
-        text.remote_status(
-            given("remote_status"), clean["location"], given("description"), given("title")
-        ).alias("remote_status"),
+        F.lower(text.clean_text(given("remote_status"))).alias("_stated"),
+        text.hint_text(clean["location"], given("description"), given("title")).alias("_hints"),
         text.token(given("employment_type")).alias("employment_type"),
         text.to_int(given("experience_min")).alias("_low"),
         text.to_int(given("experience_max")).alias("_high"),
         text.skill_list(given("skills"), types.get("skills", "string")).alias("skills"),
         text.to_float(given("salary_min")).alias("salary_min"),
         text.to_float(given("salary_max")).alias("salary_max"),
-        dates.parse_date(given("posted_date")).alias("posted_date"),
-        dates.parse_date(given("updated_date")).alias("updated_date"),
+        given("posted_date").alias("posted_date"),
+        given("updated_date").alias("updated_date"),
         identity.payload_hash(payload).alias("raw_hash"),
         (
             given("source").isin(*identity.TEST_SOURCES)
@@ -62,11 +61,14 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
             "experience_max": F.when(both, F.greatest("_low", "_high")).otherwise(F.col("_high")),
             "city": F.coalesce("city", derived_city),
             "country": F.coalesce("country", derived_country),
-            "canonical_url": urls.canonical_url(F.col("source_url")),
-            "posted_at": dates.iso_instant(F.col("posted_date")),
+            "canonical_url": urls.canonical_url(F.col("source_url"), clean=True),
+            "remote_status": text.remote_status(F.col("_stated"), F.col("_hints")),
         }
-    ).drop("_low", "_high")
-    return with_identity(out)
+    ).drop("_low", "_high", "_stated", "_hints")
+    dated = dates.with_dates(
+        out, {n: F.col(n) for n in ("posted_date", "updated_date")}, {"posted_at": "posted_date"}
+    )
+    return with_identity(dated)
 
 
 def with_identity(postings: DataFrame) -> DataFrame:

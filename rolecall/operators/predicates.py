@@ -7,7 +7,6 @@ conditions instead of a lookup per row.
 from __future__ import annotations
 
 import re
-from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -121,27 +120,36 @@ def has_keyword(low_text: Column, keyword: str) -> Column:
     return F.contains(low_text, F.lit(word)) & low_text.rlike(pattern)
 
 
-class SkillReport(NamedTuple):
-    found: Column
-    missing: Column
-    preferred: Column
-    has_data: Column
+def with_skills(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Add which wanted skills a record names, in its list or its description.
 
-
-def skill_report(skills: Column, description: Column, cfg: SearchConfig) -> SkillReport:
-    """Which wanted skills a record names, in its list or its description."""
-    listed = F.transform(skills, lambda s: F.lower(s))
-    body = folded(description)
+    ``skills_found``, ``skills_missing`` and ``preferred_found`` keep the configured order;
+    ``has_skill_data`` is false for a record with neither. The folded text and each skill's
+    test are columns of their own, so that a long text is folded and searched once.
+    """
+    wanted = list(dict.fromkeys((*cfg.skills, *cfg.preferred_skills)))
+    flag = {skill: f"_has_{i}" for i, skill in enumerate(wanted)}
+    folded_rows = postings.withColumns(
+        {"_body": folded(F.col("description")), "_listed": F.transform("skills", lambda s: F.lower(s))}
+    )
 
     def present(skill: str) -> Column:
-        return F.coalesce(F.array_contains(listed, skill.lower()), F.lit(False)) | has_keyword(body, skill)
+        named = F.coalesce(F.array_contains("_listed", skill.lower()), F.lit(False))
+        return named | has_keyword(F.col("_body"), skill)
 
-    return SkillReport(
-        found=texts(*[F.when(present(s), s) for s in cfg.skills]),
-        missing=texts(*[F.when(~present(s), s) for s in cfg.skills]),
-        preferred=texts(*[F.when(present(s), s) for s in cfg.preferred_skills]),
-        has_data=(F.coalesce(F.size(skills), F.lit(0)) > 0) | (body != ""),
+    tested = folded_rows.withColumns(
+        {
+            **{flag[s]: present(s) for s in wanted},
+            "has_skill_data": (F.coalesce(F.size("skills"), F.lit(0)) > 0) | (F.col("_body") != ""),
+        }
     )
+    return tested.withColumns(
+        {
+            "skills_found": texts(*[F.when(F.col(flag[s]), s) for s in cfg.skills]),
+            "skills_missing": texts(*[F.when(~F.col(flag[s]), s) for s in cfg.skills]),
+            "preferred_found": texts(*[F.when(F.col(flag[s]), s) for s in cfg.preferred_skills]),
+        }
+    ).drop("_body", "_listed", *flag.values())
 
 
 def excluded_hit(title: Column, description: Column, cfg: SearchConfig) -> Column:
@@ -158,8 +166,7 @@ def with_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
     """Add each match level once; the filter and the score both read them."""
     col = F.col
     role_level, role = title_level(col("title"), cfg.roles)
-    report = skill_report(col("skills"), col("description"), cfg)
-    return postings.withColumns(
+    return with_skills(postings, cfg).withColumns(
         {
             "title_level": role_level,
             "role": role,
@@ -168,10 +175,6 @@ def with_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
             ),
             "experience_level": experience_level(col("experience_min"), col("experience_max"), cfg),
             "employment_level": employment_level(col("employment_type"), cfg),
-            "skills_found": report.found,
-            "skills_missing": report.missing,
-            "preferred_found": report.preferred,
-            "has_skill_data": report.has_data,
             "excluded_hit": excluded_hit(col("title"), col("description"), cfg),
             "experience_text": experience_label(col("experience_min"), col("experience_max")),
         }

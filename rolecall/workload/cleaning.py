@@ -73,10 +73,8 @@ _DAY = "y || '-' || mm || '-' || dd"
  ELSE CAST({_DAY} AS TIMESTAMP) END AS instant FROM ({duck(_DATES)})""",
 )
 def date_parsing(t: Tables) -> DataFrame:
-    read = t.sql(_DATES).select("id", "kind", dates.parse_date(F.col("raw")).alias("iso"))
-    return read.select(
-        "id", "iso", F.when(F.col("kind") != 12, dates.iso_instant(F.col("iso"))).alias("instant")
-    )
+    read = dates.with_dates(t.sql(_DATES), {"iso": F.col("raw")}, {"instant": "iso"})
+    return read.select("id", "iso", F.when(F.col("kind") != 12, F.col("instant")).alias("instant"))
 
 
 def normalized(t: Tables) -> DataFrame:

@@ -14,6 +14,7 @@ from rolecall.operators.match import attach_context, best_links, match_entities,
 from rolecall.operators.normalize import normalize_postings
 from rolecall.operators.score import with_score
 from rolecall.operators.upsert import changed
+from rolecall.session import stage
 from rolecall.workload import sqltext as q
 from rolecall.workload.catalog import query
 from rolecall.workload.tables import CONFIG, ENTITIES, SIGHTINGS, TRACKING, Tables, duck
@@ -211,7 +212,8 @@ SELECT n.seq, coalesce(r1.id, r2.id, r3.id, r4.id, r5.id) AS found_id FROM norm
 )
 def identity_lookup(t: Tables) -> DataFrame:
     """Every posting against records of one source and references of another."""
-    rows = normalize_postings(t.postings)
+    keys = ["seq", "source", "source_job_id", "source_url", "canonical_url", "content_hash"]
+    rows = stage(normalize_postings(t.postings).select(*keys), "postings")
     first = F.min_by(F.struct("source", "source_job_id", "canonical_url"), "seq")
     jobs = (
         rows.where(F.col("source") == "indeed")
@@ -264,7 +266,7 @@ FROM norm n JOIN base USING (content_hash)""",
 )
 def change_detect(t: Tables) -> DataFrame:
     """Each posting against the first one with its identity."""
-    rows = normalize_postings(t.postings).select("seq", "content_hash", "content_print")
+    rows = stage(normalize_postings(t.postings).select("seq", "content_hash", "content_print"), "prints")
     first = rows.groupBy("content_hash").agg(F.min_by("content_print", "seq").alias("first_print"))
     return rows.join(first, "content_hash").select(
         "seq", changed([F.col("content_print")], [F.col("first_print")]).alias("data_changed")
@@ -285,8 +287,11 @@ SELECT count(*) AS jobs_found, count(*) FILTER (is_new) AS new_jobs, count(*) FI
 )
 def counters(t: Tables) -> DataFrame:
     """Counters with identity taken from the content hash alone."""
-    judged = with_score(pred.ordered_filter(leveled(t), CONFIG), CONFIG, only_accepted=True).select(
-        "seq", "content_hash", "accepted", "match_score", "posted_date"
+    judged = stage(
+        with_score(pred.ordered_filter(leveled(t), CONFIG), CONFIG, only_accepted=True).select(
+            "seq", "content_hash", "accepted", "match_score", "posted_date"
+        ),
+        "judged",
     )
     first = judged.groupBy("content_hash").agg(
         F.min("seq").alias("first_seq"), F.min_by("posted_date", "seq").alias("first_posted")

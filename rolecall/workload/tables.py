@@ -10,12 +10,16 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from rolecall.config import SearchConfig
+from rolecall.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
+#: Tables whose rows go through costly column rules.
+WORKED = ("orders", "documents")
+
 CONFIG = SearchConfig(
     roles=("small widget", "red plate", "hot ring economy", "blue ring promo", "old rod"),
     locations=("Asia", "NATION_3", "Remote"),
@@ -148,7 +152,8 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+            return spread(scan) if name in WORKED else scan
         if name in SQL:
             return self.sql(SQL[name])
         raise AttributeError(name)
