@@ -59,7 +59,7 @@ def main(folder, names):
     bad = 0
     for name in names or queries:
         start = time.time()
-        watch = threading.Timer(60, spark.sparkContext.cancelAllJobs)
+        watch = threading.Timer(110, spark.sparkContext.cancelAllJobs)
         watch.start()
         try:
             if name in sql:
