@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import licenses, line_dedup, secrets, tokens
+from rolecall.llm import licenses, line_dedup, secrets, substring, tokens
 from rolecall.llm.storage import Staging
 
 
@@ -47,6 +47,11 @@ def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", *[F.col(f"licenses.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
 
 
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    done = substring.drop_repeats(documents(spark, folder).select("doc_id", "text"), Staging(spark, "substrings"))
+    return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 _LINES = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -66,5 +71,5 @@ FROM keyed LEFT JOIN owner o ON length(keyed.key) >= 10 AND o.key = keyed.key
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_token_counts, op5_line_dedup, op8_license_scan)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_token_counts, op5_line_dedup, op8_license_scan, op9_substring_dedup)}
 SQL = {"op5_line_dedup": _LINES}
