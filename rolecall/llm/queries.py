@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import licenses, line_dedup, secrets, substring, tokens
+from rolecall.llm import jaccard, licenses, line_dedup, secrets, substring, tokens
 from rolecall.llm.storage import Staging
 
 
@@ -52,6 +52,11 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
+    found = jaccard.component_ids(documents(spark, folder).select("doc_id", "text"), Staging(spark, "jaccard"))
+    return found.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), "component_id")
+
+
 _LINES = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -71,5 +76,5 @@ FROM keyed LEFT JOIN owner o ON length(keyed.key) >= 10 AND o.key = keyed.key
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_token_counts, op5_line_dedup, op8_license_scan, op9_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_token_counts, op5_line_dedup, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
 SQL = {"op5_line_dedup": _LINES}
