@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import jaccard, licenses, line_dedup, secrets, substring, tokens
+from rolecall.llm import decontaminate, fingerprint, jaccard, licenses, line_dedup, mixing, secrets, substring, tokens
 from rolecall.llm.storage import Staging
 
 
@@ -29,6 +29,10 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
 
 
+def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprint.edited_fingerprints(documents(spark, folder))
+
+
 def op4_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("piece_bpe_32k.model")
     n = tokens.n_tokens("text", str(path))
@@ -42,6 +46,15 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+def op6_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.find_leaks(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
+def op7_source_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", "source", F.char_length("text").alias("length"))
+    return mixing.mix_sources(docs, size="length").select("doc_id", "source", "mix_block", "mix_at", "mix_slot")
+
+
 def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     done = licenses.scan_licenses(documents(spark, folder).select("doc_id", "text"))
     return done.select("doc_id", *[F.col(f"licenses.{c}").alias(c) for c in ("n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")])
@@ -76,5 +89,5 @@ FROM keyed LEFT JOIN owner o ON length(keyed.key) >= 10 AND o.key = keyed.key
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op4_token_counts, op5_line_dedup, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_fingerprints, op4_token_counts, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
 SQL = {"op5_line_dedup": _LINES}
