@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import decontaminate, fingerprint, jaccard, licenses, line_dedup, mixing, secrets, substring, tokens
+from rolecall.llm import decontaminate, fingerprint, jaccard, licenses, line_dedup, mixing, secrets, substring, tokens, toxicity
 from rolecall.llm.storage import Staging
 
 
@@ -29,6 +29,13 @@ def op1_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", *count, F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("s")).alias("spans"))
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit_model(docs, spark.read.parquet(f"{folder}/labels.parquet"), ~toxicity.held_out("doc_id"))
+    scored = docs.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), toxicity.toxicity("text", model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
+
+
 def op3_fingerprints(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprint.edited_fingerprints(documents(spark, folder))
 
@@ -89,5 +96,5 @@ FROM keyed LEFT JOIN owner o ON length(keyed.key) >= 10 AND o.key = keyed.key
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op3_fingerprints, op4_token_counts, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_fingerprints, op4_token_counts, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
 SQL = {"op5_line_dedup": _LINES}
