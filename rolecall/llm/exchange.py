@@ -109,11 +109,13 @@ def shared_keys(
     parts: int,
     wide: bool = True,
     leader_too: bool = False,
+    with_leader: bool = True,
     flagged: bool = False,
     fan: int = FAN,
 ) -> DataFrame:
-    """(owner, leader, places) of every owner of a key that has several owners, once or more per
-    pair; ``leader`` is the smallest owner seen with the key and ``places`` packs int32 places.
+    """(owner, leader, places) of every owner of a key that has several owners, one row per pair;
+    ``leader`` is the smallest owner seen with the key (in the piece or among pieces) and
+    ``places`` packs the int32 places, ascending. ``with_leader`` false: leader 0, one row per owner.
 
     ``make`` turns a piece of ``rows`` into entries. ``wide`` deals 64-bit keys; otherwise 32 bits
     inside a range, where a few false meetings are harmless. ``leader_too`` also lists the smallest
@@ -139,25 +141,19 @@ def shared_keys(
             place[some[order]] |= np.where(flag, np.int32(-(2**31)), np.int32(0))
         return Entries(e.key[keep], e.owner[keep], place[keep]), found
 
-    def by_owner(f: Found) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-        """(owner, leader, packed places), one per owner and leader."""
-        leader = f.owner if leader_too else f.leader  # who leads does not matter to that caller
-        order = np.lexsort((leader, f.owner))
-        o, m = f.owner[order], leader[order]
-        new = np.ones(len(o), bool)
-        new[1:] = (o[1:] != o[:-1]) | (m[1:] != m[:-1])
-        head = np.flatnonzero(new)
-        return o[head], m[head], _pack(f.place[order].astype(np.int32), np.diff(np.append(head, len(o))))
+    def by_owner(f: Found, mark: int) -> pa.RecordBatch:
+        """What was found, packed by the range of its owner; ``mark`` -1: in ranges below 0."""
+        to = _ranges(mix(f.owner.view(np.uint64)), coarse)
+        leader = f.leader if with_leader else np.zeros(len(f.owner), np.int64)
+        rows = _rows(Entries(leader.view(np.uint64), f.owner, f.place.astype(np.int32)), to, True)
+        return rows if mark > 0 else rows.set_column(0, "part", pc.subtract(pa.scalar(-1, pa.int32()), rows.column("part")))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, text):
                 e, found = settled(make(piece))
-                if len(found.owner):  # settled rows travel in ranges below 0, spread by owner
-                    owner, leader, places = by_owner(found)
-                    one = np.ones(len(owner), np.int64)
-                    part = -1 - (mix(owner.view(np.uint64)) % np.uint64(parts)).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), _pack(leader, one), _pack(owner, one), places], names=_NAMES)
+                if len(found.owner):
+                    yield by_owner(found, -1)
                 if len(e.key):
                     yield _rows(e, _ranges(e.key, coarse), wide or fine > 1)
 
@@ -171,19 +167,31 @@ def shared_keys(
                 yield _rows(Entries(key, unpack(batch.column("owners"), np.int64)[0], unpack(batch.column("places"), np.int32)[0]), _ranges(key, coarse * fine), wide)
 
     def meet(table: pa.Table) -> pa.Table:
-        owner = unpack(table.column("owners"), np.int64)[0]
-        if table.column("part")[0].as_py() < 0:
-            return pa.table({"owner": owner, "leader": unpack(table.column("keys"), np.int64)[0], "places": table.column("places")})
+        part = table.column("part")[0].as_py()
+        if part < 0:  # settled in a piece: only passed on to the range of its owner
+            return table.set_column(0, "part", pa.array(np.full(table.num_rows, -1 - part), pa.int32()))
         key = unpack(table.column("keys"), np.uint64 if wide else np.uint32)[0]
-        place = unpack(table.column("places"), np.int32)[0]
+        owner, place = unpack(table.column("owners"), np.int64)[0], unpack(table.column("places"), np.int32)[0]
         some, low, high, flag = _shared(key, owner, place)
         hit = listed(owner[some], low, high)
         if flagged:
             hit &= flag
-        owner, leader, places = by_owner(Found(owner[some][hit], low[hit], place[some][hit] & 0x7FFFFFFF))
-        return pa.table({"owner": owner, "leader": leader, "places": places})
+        return pa.Table.from_batches([by_owner(Found(owner[some][hit], low[hit], place[some][hit] & 0x7FFFFFFF), 1)])
+
+    def gather(table: pa.Table) -> pa.Table:
+        leader, owner, place = (unpack(table.column(c), t)[0] for c, t in (("keys", np.int64), ("owners", np.int64), ("places", np.int32)))
+        order = np.lexsort((place, leader, owner))
+        leader, owner, place = leader[order], owner[order], place[order]
+        pair = np.ones(len(owner), bool)
+        pair[1:] = (owner[1:] != owner[:-1]) | (leader[1:] != leader[:-1])
+        new = pair.copy()
+        new[1:] |= place[1:] != place[:-1]
+        head = np.flatnonzero(pair)
+        count = np.add.reduceat(new.astype(np.int64), head) if len(head) else head
+        return pa.table({"owner": owner[head], "leader": leader[head], "places": _pack(place[new], count)})
 
     dealt = rows.mapInArrow(deal, _SCHEMA)
     if fine > 1:
         dealt = dealt.repartition("part").mapInArrow(deal_again, _SCHEMA)
-    return dealt.groupBy("part").applyInArrow(meet, "owner long, leader long, places binary")
+    met = dealt.groupBy("part").applyInArrow(meet, _SCHEMA)
+    return met.groupBy("part").applyInArrow(gather, "owner long, leader long, places binary")

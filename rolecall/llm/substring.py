@@ -83,13 +83,11 @@ def repeated_places(docs: DataFrame, staging: Staging, width: int = 13, id_col:
         return Entries(h, piece.column("_id").to_numpy(zero_copy_only=False).astype(np.int64)[w.row[at]], (at - w.first[w.row[at]]).astype(np.int32))
 
     def by_document(found: DataFrame, name: str) -> DataFrame:
-        listed = found.groupBy("owner").agg(F.collect_list("places").alias("l"))
-        joined = F.aggregate("l", F.lit(b"").cast("binary"), lambda a, x: F.concat(a, x))
-        return staging.write(listed.select(F.col("owner").alias("_owner"), joined.alias("_hits")), name)
+        return staging.write(found.select(F.col("owner").alias("_owner"), F.col("places").alias("_hits")), name)
 
-    hits = by_document(shared_keys(base, "_text", probes, parts, wide=False, leader_too=True, flagged=True), "hits")
+    hits = by_document(shared_keys(base, "_text", probes, parts, wide=False, leader_too=True, with_leader=False, flagged=True), "hits")
     near = base.join(hits, base["_id"] == hits["_owner"], "left").select("_id", "_text", "_hits")
-    return base, by_document(shared_keys(near, "_text", extended, parts), "repeats")
+    return base, by_document(shared_keys(near, "_text", extended, parts, with_leader=False), "repeats")
 
 
 def drop_repeats(docs: DataFrame, staging: Staging, width: int = 13, id_col: str = "doc_id", text: str = "text") -> DataFrame:
