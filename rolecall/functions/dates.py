@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall.functions.text import clean_text
 
@@ -26,17 +27,20 @@ _ISO = (
     r"^(\d{4})(-?)(\d{2})\2(\d{2})"
     r"(?:.(\d{2})(?::?(\d{2})(?::?(\d{2})(?:[.,](\d+))?)?)?(Z|[+-]\d{2}:?\d{2})?)?$"
 )
-_EPOCH = r"^[+-]?(\d+\.?\d*|\.\d+)$"
 _NAIVE = "yyyy-MM-dd'T'HH:mm:ss"
 
 
 def with_dates(df: DataFrame, columns: dict[str, Column], instants: dict[str, str] | None = None) -> DataFrame:
     """Add each column read as canonical ISO text, and ``instants`` (name: text column).
 
-    Reads ISO text, the other layouts, or epoch seconds. Eight digits are a calendar date,
-    other numbers epoch seconds in UTC. The steps are separate columns so that each is
-    worked out once per row.
+    Text is read as ISO or one of the other layouts; eight digits are a calendar date and other
+    digits are no date. Only a numeric column is epoch seconds in UTC. The steps are separate
+    columns so that each is worked out once per row.
     """
+    kinds = df.select(*[c.alias(n) for n, c in columns.items()]).schema
+    numbers = {n: c for n, c in columns.items() if isinstance(kinds[n].dataType, T.NumericType)}
+    df = df.withColumns({n: epoch_text(c) for n, c in numbers.items()})
+    columns = {n: F.col(n) if n in numbers else c for n, c in columns.items()}
     text = {n: F.col(f"_{n}_text") for n in columns}
     parts = {n: F.col(f"_{n}_parts") for n in columns}
     iso = {n: F.col(f"_{n}_iso") for n in columns}
@@ -70,26 +74,23 @@ def _iso_text(parts: Column) -> Column:
 
 
 def _best_text(text: Column, iso: Column) -> Column:
-    epoch = F.when(
-        text.rlike(_EPOCH), F.timestamp_micros((text.try_cast("double") * 1000000).try_cast("long"))
-    )
     other = F.coalesce(
         *[F.when(text.rlike(shape), F.try_to_timestamp(text, F.lit(layout))) for layout, shape in LAYOUTS]
     )
     return F.coalesce(
         F.when(iso_instant(iso).isNotNull(), iso),
-        F.when(
-            epoch.isNotNull() & F.year(epoch).between(1, 9999),
-            F.concat(
-                F.date_format(epoch, _NAIVE),
-                F.when(F.date_format(epoch, "SSSSSS") == "000000", "").otherwise(F.date_format(epoch, ".SSSSSS")),
-                F.lit("+00:00"),
-            ),
-        ),
         F.date_format(other, _NAIVE),
     )
 
 
+def epoch_text(seconds: Column) -> Column:
+    """Canonical text of epoch seconds in UTC; null outside the years 1 to 9999."""
+    at = F.timestamp_micros((seconds.cast("double") * 1000000).try_cast("long"))
+    micros = F.date_format(at, "SSSSSS")
+    text = F.concat(F.date_format(at, _NAIVE), F.when(micros == "000000", "").otherwise(F.concat(F.lit("."), micros)), F.lit("+00:00"))
+    return F.when(F.year(at).between(1, 9999), text)
+
+
 def iso_instant(iso: Column) -> Column:
     """Timestamp of canonical ISO text; text without an offset counts as UTC."""
     zoned = F.when(iso.rlike(r"[+-]\d\d:\d\d$"), iso).otherwise(F.concat(iso, F.lit("+00:00")))

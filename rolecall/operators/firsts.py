@@ -44,7 +44,7 @@ def promoted_source(df: DataFrame, key: str, seq: str = "seq") -> DataFrame:
 
 def latest_review_rows(errors: DataFrame, seq: str = "error_id") -> DataFrame:
     """Keep one MANUAL_REVIEW row per (source, company), the latest; all other errors stay."""
-    review = F.col("error_type") == "MANUAL_REVIEW"
+    review = F.col("error_type").eqNullSafe("MANUAL_REVIEW")
     kept = latest_per(errors.where(review), ["source", "company"], seq)
     return kept.unionByName(errors.where(~review))
 

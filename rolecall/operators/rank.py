@@ -45,5 +45,7 @@ def newest_since(postings: DataFrame, since: Column, n: int = 100) -> DataFrame:
     )
 
 
-def latest_errors(errors: DataFrame, n: int = 20) -> DataFrame:
-    return errors.orderBy(F.col("error_id").desc()).limit(n)
+def latest_errors(errors: DataFrame, n: int | None = 20) -> DataFrame:
+    """The latest ``n`` errors, latest first; all of them without ``n``."""
+    latest = errors.orderBy(F.col("error_id").desc())
+    return latest if n is None else latest.limit(n)

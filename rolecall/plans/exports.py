@@ -62,7 +62,7 @@ def export_rows(records: DataFrame) -> DataFrame:
 
 def export_views(
     content: DataFrame, tracking: DataFrame, refs: DataFrame, entities: DataFrame, sources: DataFrame,
-    errors: DataFrame, discovery: DataFrame, cfg: SearchConfig, error_limit: int = 200,
+    errors: DataFrame, discovery: DataFrame, cfg: SearchConfig, error_limit: int | None = None,
 ) -> dict[str, DataFrame]:
     """The seven views, each in its own order.
 

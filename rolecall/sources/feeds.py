@@ -6,12 +6,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rolecall.functions.dates import epoch_text
 from rolecall.functions.text import blank_to_null
 from rolecall.schemas import PAYLOAD, PAYLOAD_FIELDS, RAW
 
 REQUIRED_ENTITY_COLUMNS = ("company_name", "company_domain", "careers_url", "priority", "enabled")
 TRUE_WORDS = ("1", "true", "yes", "y")
+BLOCK_BITS = 20
 
+BROKEN = "_broken"
+DATE_FIELDS = ("posted_date", "updated_date")
 _ENTRY = T.StructType([T.StructField("source", T.StringType()), *PAYLOAD.fields])
 
 
@@ -41,9 +45,40 @@ def explode_entries(docs: DataFrame, entries: Column, keep: tuple[str, ...] = ()
 
 
 def read_json_lines(spark: SparkSession, path: str, default_source: str = "fixture") -> DataFrame:
-    """One payload per line; read in parallel splits, ordered by (split, line)."""
-    rows = spark.read.schema(_ENTRY).json(path)
-    return to_raw(rows.withColumn("seq", F.monotonically_increasing_id()), default_source)
+    """One payload per line; read in parallel splits, ordered by (split, line). Broken lines are
+    left out; :func:`read_json_lines_checked` also returns them."""
+    return read_json_lines_checked(spark, path, default_source)[0]
+
+
+def read_json_lines_checked(spark: SparkSession, path: str, default_source: str = "fixture") -> tuple[DataFrame, DataFrame]:
+    """(raw rows, broken lines as (seq, line)). A date given as a number is epoch seconds."""
+    kinds = [T.StructField(f.name, T.VariantType() if f.name in DATE_FIELDS else f.dataType) for f in _ENTRY.fields]
+    layout = T.StructType([*kinds, T.StructField(BROKEN, T.StringType())])
+    lines = spark.read.schema(layout).json(path, columnNameOfCorruptRecord=BROKEN)
+    lines = lines.withColumn("seq", F.monotonically_increasing_id())
+    lines = lines.withColumns({f: _date_text(F.col(f)) for f in DATE_FIELDS})
+    # a line counts as broken only by its own text: the column must be read with another one
+    good = lines.where(F.col(BROKEN).isNull()).drop(BROKEN)
+    broken = lines.where(F.col(BROKEN).isNotNull()).select("seq", F.col(BROKEN).alias("line"))
+    return to_raw(good, default_source), broken
+
+
+def quarantine_split(lines: DataFrame, line: str, default_source: str = "fixture") -> tuple[DataFrame, DataFrame]:
+    """(raw rows, broken lines) of payload text in a column; ``seq`` is kept."""
+    layout = T.StructType([*_ENTRY.fields, T.StructField(BROKEN, T.StringType())])
+    read = lines.select("seq", F.from_json(F.col(line), layout, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("p"), F.col(line).alias("line"))
+    bad = F.col("p").isNull() | F.col(f"p.{BROKEN}").isNotNull()
+    return to_raw(read.where(~bad).select("seq", "p.*").drop(BROKEN), default_source), read.where(bad).select("seq", "line")
+
+
+def broken_rows(broken: DataFrame, source: str) -> DataFrame:
+    """Error rows of broken lines, one each; the whole line is kept."""
+    return broken.select("seq", F.lit(source).alias("source"), F.lit("INGEST").alias("error_type"), F.concat(F.lit("unreadable record: "), "line").alias("message"))
+
+
+def _date_text(value: Column) -> Column:
+    number = F.schema_of_variant(value).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT)")
+    return F.when(number, epoch_text(F.try_variant_get(value, "$", "double"))).otherwise(F.try_variant_get(value, "$", "string"))
 
 
 def to_raw(rows: DataFrame, default_source: str, mode: str = "board") -> DataFrame:
@@ -110,11 +145,16 @@ def select_entities(entities: DataFrame, company: str | None = None, limit: int
 
 
 def combine(parts: list[DataFrame]) -> DataFrame:
-    """All sources in one layout; arrival order is (place of the source, its own order)."""
-    room = 1 << 52  # row numbers of one source stay below this
-    out = None
-    for place, part in enumerate(parts):
-        rows = part.withColumn("seq", F.col("seq") + F.lit(place * room))
+    """All sources in one layout; arrival order is (place of the source, its own order).
+
+    Each source's numbers start at the first block of 2^20 behind the source before it, so no two
+    sources share a number, however many tasks read them.
+    """
+    out, start = None, 0
+    for part in parts:
+        rows = part.withColumn("seq", F.col("seq") + F.lit(start << BLOCK_BITS))
+        last = part.agg(F.max("seq")).first()[0]  # one number
+        start += 0 if last is None else (last >> BLOCK_BITS) + 1
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise ValueError("no sources to combine")

@@ -144,7 +144,7 @@ def collect_sources(spark: SparkSession, sources: list[Source], missing: list[st
                 )
             )
         except Exception as problem:  # noqa: BLE001 - one source must never stop the others
-            failures.append((source.key, type(problem).__name__, str(problem)[:2000]))
+            failures.append((source.key, type(problem).__name__, str(problem)))
     results.append(
         spark.createDataFrame(
             [(-1, key, "FAILED", None, None, text, "Not retried; see the error.", 0) for key, _, text in failures],

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# Text that shows a page asks for a person, and how far into a page it counts.
+# Text that shows a page asks for a person.
 CHALLENGE_MARKERS = (
     "captcha", "are you a robot", "unusual traffic", "verify you are human", "cloudflare ray id",
     "attention required",
 )
-CHALLENGE_WINDOW = 4000
 BLOCKED_CODES = (401, 403, 429, 503)
 
 NO_PAGE_REASON = "No careers page is known for this entity and none is looked up automatically."
@@ -35,14 +34,16 @@ def review_queue(entities: DataFrame, source: str = "generic", seq: Column | Non
     )
 
 
-def triage(log: DataFrame, max_retries: int = 2) -> DataFrame:
+def triage(log: DataFrame, max_retries: int = 2, window: int | None = None) -> DataFrame:
     """Add ``outcome`` and ``outcome_reason`` to fetch responses (status, body, attempt).
 
     ``attempt`` counts from 0. Blocked and challenged responses go to a person and are never
-    retried; server errors are retried until the attempts are used up.
+    retried; server errors are retried until the attempts are used up. ``window`` limits the search
+    for challenges to the first characters of a body; by default all of it is searched.
     """
     status = F.col("status")
-    head = F.lower(F.substring(F.coalesce("body", F.lit("")), 1, CHALLENGE_WINDOW))
+    body = F.coalesce("body", F.lit(""))
+    head = F.lower(body if window is None else F.substring(body, 1, window))
     challenged = (status >= 400) & head.rlike("|".join(CHALLENGE_MARKERS))
     server = status.between(500, 599)
     code = F.concat(F.lit("HTTP "), status.cast("string"))

@@ -47,7 +47,7 @@ def _month(names: list[str]) -> str:
 
 
 _DATES = f"""
-SELECT id, y, mm, dd, kind, CASE kind WHEN 0 THEN concat(y, '-', mm, '-', dd) WHEN 1 THEN concat(y, '/', mm, '/', dd)
+SELECT id, y, mm, dd, kind, id * 86461 AS seconds, CASE kind WHEN 0 THEN concat(y, '-', mm, '-', dd) WHEN 1 THEN concat(y, '/', mm, '/', dd)
  WHEN 2 THEN concat(d, ' ', {_month(_MONTHS)}, ' ', y) WHEN 3 THEN concat(d, '  ', {_month(_LONG)}, ' ', y)
  WHEN 4 THEN concat({_month(_MONTHS)}, ' ', d, ', ', y) WHEN 5 THEN concat({_month(_LONG)}, ' ', dd, ', ', y)
  WHEN 6 THEN concat(dd, '-', mm, '-', y) WHEN 7 THEN concat({_month(_MONTHS)}, ' ', dd, ' ', y)
@@ -63,8 +63,8 @@ _DAY = "y || '-' || mm || '-' || dd"
 
 @query(
     "date_parsing",
-    f"""SELECT id, CASE WHEN kind IN (11, 14, 15, 16) THEN NULL
- WHEN kind = 12 THEN '1970-01-01T00:' || lpad(CAST(CAST(y AS INTEGER) // 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST(y AS INTEGER) % 60 AS VARCHAR), 2, '0') || '+00:00'
+    f"""SELECT id, strftime(TIMESTAMP '1970-01-01' + to_seconds(seconds), '%Y-%m-%dT%H:%M:%S+00:00') AS epoch,
+ CASE WHEN kind IN (11, 12, 14, 15, 16) THEN NULL
  WHEN kind = 8 THEN {_DAY} || 'T10:20:30+00:00' WHEN kind = 9 THEN {_DAY} || 'T10:20:00'
  WHEN kind = 13 THEN {_DAY} || 'T01:02:03.500000+05:30' ELSE {_DAY} || 'T00:00:00' END AS iso,
  CASE WHEN kind IN (11, 12, 14, 15, 16) THEN NULL WHEN kind = 8 THEN CAST({_DAY} AS TIMESTAMP) + INTERVAL 37230 SECOND
@@ -73,8 +73,8 @@ _DAY = "y || '-' || mm || '-' || dd"
  ELSE CAST({_DAY} AS TIMESTAMP) END AS instant FROM ({duck(_DATES)})""",
 )
 def date_parsing(t: Tables) -> DataFrame:
-    read = dates.with_dates(t.sql(_DATES), {"iso": F.col("raw")}, {"instant": "iso"})
-    return read.select("id", "iso", F.when(F.col("kind") != 12, F.col("instant")).alias("instant"))
+    columns = {"iso": F.col("raw"), "epoch": F.col("seconds")}
+    return dates.with_dates(t.sql(_DATES), columns, {"instant": "iso"}).select("id", "epoch", "iso", "instant")
 
 
 def normalized(t: Tables) -> DataFrame:

@@ -6,7 +6,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.functions.text import clean_text
-from rolecall.sources.feeds import combine, entity_rows, explode_entries, narrow, select_entities, to_raw
+from rolecall.sources.feeds import (
+    broken_rows,
+    combine,
+    entity_rows,
+    explode_entries,
+    narrow,
+    quarantine_split,
+    select_entities,
+    to_raw,
+)
 from rolecall.sources.registry import mark_not_available
 from rolecall.sources.triage import (
     NO_PAGE_ACTION,
@@ -72,8 +81,8 @@ def source_pushdown(t: Tables) -> DataFrame:
     "source_union",
     """SELECT o_orderkey AS seq, 'orders' AS source, CAST(o_custkey AS VARCHAR) AS source_job_id, o_orderpriority AS title,
  CAST(NULL AS VARCHAR) AS source_url FROM orders
-UNION ALL SELECT page_id + 4503599627370496, 'pages', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), url FROM pages
-UNION ALL SELECT event_id + 9007199254740992, event_type, CAST(user_id AS VARCHAR), props, CAST(NULL AS VARCHAR) FROM events""",
+UNION ALL SELECT page_id + 1048576 * (1 + (SELECT max(o_orderkey) // 1048576 FROM orders)), 'pages', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), url FROM pages
+UNION ALL SELECT event_id + 1048576 * (2 + (SELECT max(o_orderkey) // 1048576 FROM orders) + (SELECT max(page_id) // 1048576 FROM pages)), event_type, CAST(user_id AS VARCHAR), props, CAST(NULL AS VARCHAR) FROM events""",
 )
 def source_union(t: Tables) -> DataFrame:
     """Three tables of different shape in the one raw layout."""
@@ -124,7 +133,7 @@ def manual_review_queue(t: Tables) -> DataFrame:
 
 @query(
     "response_triage",
-    f"""WITH r AS ({duck(RESPONSES)}), j AS (SELECT *, lower(body[1:4000]) AS head FROM r)
+    f"""WITH r AS ({duck(RESPONSES)}), j AS (SELECT *, lower(body) AS head FROM r)
 SELECT seq, CASE WHEN status = 200 THEN 'OK'
  WHEN status IN (401, 403, 429, 503) OR (status >= 400 AND contains(head, 'verify you are human')) THEN 'MANUAL_REVIEW'
  WHEN status = 404 THEN 'FAILED' WHEN status BETWEEN 500 AND 599 THEN CASE WHEN attempt < 2 THEN 'RETRY' ELSE 'FAILED' END ELSE 'FAILED' END AS outcome,
@@ -138,3 +147,26 @@ SELECT seq, CASE WHEN status = 200 THEN 'OK'
 )
 def response_triage(t: Tables) -> DataFrame:
     return triage(t.responses).select("seq", "outcome", "outcome_reason")
+
+
+# Payload lines of a feed, one per event; every fifth is cut off and every seventh is no object.
+_LINES = """
+SELECT event_id AS seq, CASE WHEN event_id % 5 = 0 THEN concat('{{"company_name": "Customer ', CAST(user_id AS STRING), '", "title": "tr')
+ WHEN event_id % 7 = 0 THEN concat('no record ', CAST(event_id AS STRING))
+ ELSE concat('{{"source": "', event_type, '", "company_name": "Customer ', CAST(user_id AS STRING), '", "title": "', event_type, ' ', CAST(event_id AS STRING), '"}}') END AS line
+FROM {events}
+"""
+
+
+@query(
+    "quarantine_split",
+    f"""SELECT seq, CASE WHEN bad THEN NULL ELSE event_type END AS source, CASE WHEN bad THEN NULL ELSE 'Customer ' || user_id END AS company_name,
+ CASE WHEN bad THEN NULL ELSE event_type || ' ' || seq END AS title, CASE WHEN bad THEN 'unreadable record: ' || line END AS message
+FROM (SELECT l.*, e.event_type, e.user_id, l.seq % 5 = 0 OR l.seq % 7 = 0 AS bad FROM ({duck(_LINES)}) l JOIN events e ON e.event_id = l.seq)""",
+)
+def broken_lines(t: Tables) -> DataFrame:
+    """Good records of a feed, and an error row for each broken line."""
+    good, broken = quarantine_split(t.sql(_LINES), "line")
+    rows = good.select("seq", "source", "company_name", "title", F.lit(None).cast("string").alias("message"))
+    message = broken_rows(broken, "feed").select("message", "seq")
+    return rows.unionByName(message, allowMissingColumns=True)

@@ -10,16 +10,12 @@ import datetime as dt
 from pyspark.sql import DataFrame, SparkSession
 
 from rolecall.config import SearchConfig
-from rolecall.session import spread
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents",
     "embeddings", "pages", "benchmark", "labels", "conversations",
 )
 
-#: Tables whose rows go through costly column rules.
-WORKED = ("orders", "documents")
-
 CONFIG = SearchConfig(
     roles=("small widget", "red plate", "hot ring economy", "blue ring promo", "old rod"),
     locations=("Asia", "NATION_3", "Remote"),
@@ -36,7 +32,8 @@ CONFIG = SearchConfig(
 AS_OF = dt.datetime(2001, 8, 2, tzinfo=dt.UTC)
 
 # One raw posting per order. The customer number drives links and source ids, pairs of
-# customers share name, title and place, and the order number varies the spelling.
+# customers share name, title and place, and the order number varies the spelling. Texts and
+# skills go by the order number, so that all documents and parts are reached.
 POSTINGS = """
 SELECT o.o_orderkey AS seq,
  CASE o.o_orderstatus WHEN 'F' THEN 'company_careers' WHEN 'O' THEN 'greenhouse' ELSE 'indeed' END AS source,
@@ -54,19 +51,19 @@ SELECT o.o_orderkey AS seq,
  CASE WHEN o.h % 7 = 0 THEN 'open' ELSE CAST(o.h % 6 + 2 AS STRING) END AS experience_max,
  concat('https://Jobs.example.com/p/', CAST(o.e AS STRING), CASE o.k % 4 WHEN 0 THEN '?utm_source=x&b=2&a=1' WHEN 1 THEN '/?a=1&b=2' WHEN 2 THEN '?b=2&a=1#top' ELSE '?ref=m&a=1&b=2' END) AS url,
  CASE WHEN o.h % 8 = 0 THEN NULL ELSE d.text END AS description,
- CASE WHEN o.h % 6 = 0 THEN NULL ELSE concat(p.p_type, '; ', p.p_brand, ',, the') END AS skills,
+ CASE WHEN o.h % 6 = 0 THEN NULL ELSE concat(p2.p_type, '; ', p2.p_brand, ',, the') END AS skills,
  CASE WHEN o.k % 2 = 0 THEN concat('USD ', CAST(o.o_totalprice AS STRING)) ELSE NULL END AS salary_max,
  CASE o.k % 4 WHEN 0 THEN CAST(CAST(o.o_orderdate AS DATE) AS STRING)
   WHEN 1 THEN replace(CAST(CAST(o.o_orderdate AS DATE) AS STRING), '-', '/') WHEN 2 THEN 'soon' ELSE NULL END AS posted_date
-FROM (SELECT *, o_custkey AS e, CAST(floor(o_custkey / 2) AS BIGINT) AS h, o_orderkey % 12 AS k FROM {orders}) o
- CROSS JOIN (SELECT count(*) AS ns FROM {supplier}) cs
- CROSS JOIN (SELECT count(*) AS np FROM {part}) cp
- CROSS JOIN (SELECT count(*) AS nd FROM {documents}) cd
- JOIN {supplier} s ON s.s_suppkey = o.h % cs.ns
+FROM (SELECT *, h % (SELECT count(*) FROM {supplier}) AS sk, h % (SELECT count(*) FROM {part}) AS pk,
+  o_orderkey % (SELECT count(*) FROM {part}) AS qk, o_orderkey % (SELECT count(*) FROM {documents}) AS dk
+  FROM (SELECT *, o_custkey AS e, CAST(floor(o_custkey / 2) AS BIGINT) AS h, o_orderkey % 12 AS k FROM {orders}) x) o
+ JOIN {supplier} s ON s.s_suppkey = o.sk
  JOIN {nation} n ON n.n_nationkey = s.s_nationkey
  JOIN {region} r ON r.r_regionkey = n.n_regionkey
- JOIN {part} p ON p.p_partkey = o.h % cp.np
- JOIN {documents} d ON d.doc_id = o.h % cd.nd
+ JOIN {part} p ON p.p_partkey = o.pk
+ JOIN {part} p2 ON p2.p_partkey = o.qk
+ JOIN {documents} d ON d.doc_id = o.dk
 """
 
 ENTITIES = """
@@ -152,8 +149,7 @@ class Tables:
 
     def __getattr__(self, name: str) -> DataFrame:
         if name in TABLES:
-            scan = self.spark.read.parquet(f"{self.folder}/{name}.parquet")
-            return spread(scan) if name in WORKED else scan
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
         if name in SQL:
             return self.sql(SQL[name])
         raise AttributeError(name)

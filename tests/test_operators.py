@@ -47,11 +47,14 @@ def test_links(spark):
 
 
 def test_dates(spark):
-    values = ["2026-10-04", "4 Oct 2026", "Oct 04, 2026", "not a date", None, "2026-10-04T10:00:00Z", "0", "10:30", "2026-02-30"]
+    values = ["2026-10-04", "4 Oct 2026", "Oct 04, 2026", "not a date", None, "2026-10-04T10:00:00Z", "0", "10:30", "2026-02-30", "2026", "5"]
     rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
     out = [r.d for r in dates.with_dates(rows, {"d": F.col("v")}).orderBy("i").collect()]
     day = "2026-10-04T00:00:00"
-    assert out == [day, day, day, None, None, "2026-10-04T10:00:00+00:00", "1970-01-01T00:00:00+00:00", None, None]
+    assert out == [day, day, day, None, None, "2026-10-04T10:00:00+00:00", None, None, None, None, None]
+    numbers = spark.createDataFrame([(0.0,), (1.5,), (-1.0,), (1e18,), (None,)], "v double")
+    out = [r.d for r in dates.with_dates(numbers, {"d": F.col("v")}).collect()]
+    assert out == ["1970-01-01T00:00:00+00:00", "1970-01-01T00:00:01.500000+00:00", "1969-12-31T23:59:59+00:00", None, None]
 
 
 def test_entity_key(spark):
