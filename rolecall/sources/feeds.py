@@ -52,23 +52,19 @@ def read_json_lines(spark: SparkSession, path: str, default_source: str = "fixtu
 
 def read_json_lines_checked(spark: SparkSession, path: str, default_source: str = "fixture") -> tuple[DataFrame, DataFrame]:
     """(raw rows, broken lines as (seq, line)). A date given as a number is epoch seconds."""
-    kinds = [T.StructField(f.name, T.VariantType() if f.name in DATE_FIELDS else f.dataType) for f in _ENTRY.fields]
-    layout = T.StructType([*kinds, T.StructField(BROKEN, T.StringType())])
-    lines = spark.read.schema(layout).json(path, columnNameOfCorruptRecord=BROKEN)
-    lines = lines.withColumn("seq", F.monotonically_increasing_id())
-    lines = lines.withColumns({f: _date_text(F.col(f)) for f in DATE_FIELDS})
-    # a line counts as broken only by its own text: the column must be read with another one
-    good = lines.where(F.col(BROKEN).isNull()).drop(BROKEN)
-    broken = lines.where(F.col(BROKEN).isNotNull()).select("seq", F.col(BROKEN).alias("line"))
-    return to_raw(good, default_source), broken
+    lines = spark.read.text(path).where(F.trim("value") != "").withColumn("seq", F.monotonically_increasing_id())
+    return quarantine_split(lines, "value", default_source)
 
 
 def quarantine_split(lines: DataFrame, line: str, default_source: str = "fixture") -> tuple[DataFrame, DataFrame]:
     """(raw rows, broken lines) of payload text in a column; ``seq`` is kept."""
-    layout = T.StructType([*_ENTRY.fields, T.StructField(BROKEN, T.StringType())])
-    read = lines.select("seq", F.from_json(F.col(line), layout, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN}).alias("p"), F.col(line).alias("line"))
+    kinds = [T.StructField(f.name, T.VariantType() if f.name in DATE_FIELDS else f.dataType) for f in _ENTRY.fields]
+    layout = T.StructType([*kinds, T.StructField(BROKEN, T.StringType())])
+    payload = F.from_json(F.col(line), layout, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": BROKEN})
+    read = lines.select("seq", payload.alias("p"), F.col(line).alias("line"))
     bad = F.col("p").isNull() | F.col(f"p.{BROKEN}").isNotNull()
-    return to_raw(read.where(~bad).select("seq", "p.*").drop(BROKEN), default_source), read.where(bad).select("seq", "line")
+    good = read.where(~bad).select("seq", "p.*").drop(BROKEN).withColumns({f: _date_text(F.col(f)) for f in DATE_FIELDS})
+    return to_raw(good, default_source), read.where(bad).select("seq", "line")
 
 
 def broken_rows(broken: DataFrame, source: str) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rolecall.schemas import ERRORS, FETCH_RESULTS, RAW
 from rolecall.session import stage
-from rolecall.sources.feeds import narrow
+from rolecall.sources.feeds import broken_rows, narrow
 from rolecall.sources.triage import review_queue
 
 
@@ -119,8 +119,10 @@ def blocks_used(rows: DataFrame) -> tuple[int, int]:
 def collect_sources(spark: SparkSession, sources: list[Source], missing: list[str], scope: Scope) -> Collected:
     """Read every source on its own; a failing one becomes a FAILED result and an error row.
 
-    A source is staged while it is read, so that a bad file fails here and not in the run.
+    A source is staged while it is read, so that a bad file fails here and not in the run. One that
+    returns (rows, broken lines) has an INGEST error row for every broken line.
     """
+    quarantined: list[DataFrame] = []
     raws: list[DataFrame] = []
     results = [mark_not_available(spark.createDataFrame([(k,) for k in missing], "source string"))]
     failures: list[tuple[str, str, str]] = []
@@ -128,6 +130,9 @@ def collect_sources(spark: SparkSession, sources: list[Source], missing: list[st
     for source in sources:
         try:
             rows = source.read(spark, scope)
+            if isinstance(rows, tuple):
+                rows, broken = rows
+                quarantined.append(broken_rows(broken, source.key).drop("seq").to(ERRORS))
             if "status" in rows.columns:
                 results.append(stage(rows.to(FETCH_RESULTS), source.key))
                 continue
@@ -160,6 +165,8 @@ def collect_sources(spark: SparkSession, sources: list[Source], missing: list[st
     errors = spark.createDataFrame(
         [(None, None, key, None, None, kind, None, text, None) for key, kind, text in failures], ERRORS
     )
+    for part in quarantined:
+        errors = errors.unionByName(part)
     return Collected(raw, union, errors)
 
 

@@ -133,3 +133,20 @@ def test_stale_records_close_but_stay(spark, two_runs):
     assert len(entities) == 7 and not any(entities.values())
     kinds = sorted(r.error_type for r in store.read(now, "errors").collect())
     assert kinds == ["FAILED", "OSError"]
+
+
+def test_broken_lines_become_error_rows(spark, tmp_path):
+    from rolecall.sources.feeds import read_json_lines_checked
+    from rolecall.sources.registry import Scope, Source, collect_sources
+
+    lines = ['{"company_name": "A", "title": "x", "posted_date": 1700000000}', "{broken", "", '{"company_name": "B", "posted_date": "2026"}', "no json"]
+    (tmp_path / "a.json").write_text("\n".join(lines))
+    scope = Scope(spark.createDataFrame([], "name string, careers_url string"), None, None)
+    source = Source("feed", lambda s, _: read_json_lines_checked(s, str(tmp_path / "a.json")), "board")
+    got = collect_sources(spark, [source], [], scope)
+    assert sorted((r.company_name, r.posted_date) for r in got.raw.collect()) == [("A", "2023-11-14T22:13:20+00:00"), ("B", "2026")]
+    assert sorted((r.source, r.error_type, r.message) for r in got.errors.collect()) == [
+        ("feed", "INGEST", "unreadable record: no json"),
+        ("feed", "INGEST", "unreadable record: {broken"),
+    ]
+    assert got.results.where("status = 'OK'").first()["n_jobs"] == 2
