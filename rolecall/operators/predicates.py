@@ -67,14 +67,29 @@ def title_level(title: Column, roles: tuple[str, ...]) -> tuple[Column, Column]:
     return level, F.when(low != "", F.coalesce(full, partial))
 
 
+def wanted_places(cfg: SearchConfig) -> set[str]:
+    """Lower-cased names that stand for a wanted location."""
+    named = {place.lower() for place in cfg.locations}
+    return named.union(*[map(str.lower, other) for place, other in cfg.location_aliases.items() if place.lower() in named])
+
+
+def location_variants(wanted: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(position, name) of wanted locations (position, location), each followed by its aliases
+    (location, alias, place): lower-cased, each name once, at its first place."""
+    own = wanted.select("position", F.lit(-1).cast("long").alias("place"), F.lower("location").alias("name"))
+    other = aliases.select(F.lower("location").alias("name"), "place", F.lower("alias").alias("alias"))
+    other = own.select("position", "name").join(other, "name").select("position", "place", F.col("alias").alias("name"))
+    first = own.unionByName(other).groupBy("name").agg(F.min(F.struct("position", "place")).alias("at"))
+    return first.select("at.position", "at.place", "name")
+
+
 def location_level(location: Column, city: Column, country: Column, remote: Column, cfg: SearchConfig) -> Column:
     """FULL for a wanted place or remote work, PARTIAL for a wanted country."""
     if not cfg.locations and not cfg.countries:
         return F.lit(FULL)
     hay = F.concat_ws(" ", blank_to_null(folded(location)), blank_to_null(folded(city)))
-    places = [v for v in cfg.location_variants() if v and v != "remote"]
     in_place = F.lit(False)
-    for place in places:
+    for place in sorted(wanted_places(cfg) - {"", "remote"}):
         in_place = in_place | F.contains(hay, F.lit(place))
     level = F.when(in_place, FULL)
     level = level.when(

@@ -306,3 +306,21 @@ def counters(t: Tables) -> DataFrame:
         "match_score",
     )
     return run_counters(decisions, CONFIG.high_match_score, CONFIG.minimum_match_score)
+
+
+_WANTED = "SELECT CAST(n_nationkey AS BIGINT) AS position, n_name AS location FROM {nation} WHERE n_nationkey % 2 = 0"
+_ALIASES = """
+SELECT upper(n.n_name) AS location, CASE WHEN s.s_suppkey % 3 = 0 THEN 'Everywhere' WHEN s.s_suppkey % 5 = 0 THEN n.n_name ELSE s.s_name END AS alias,
+ CAST(s.s_suppkey AS BIGINT) AS place FROM {nation} n JOIN {supplier} s ON s.s_nationkey = n.n_nationkey
+"""
+
+
+@query(
+    "location_variants",
+    f"""WITH w AS ({duck(_WANTED)}), a AS ({duck(_ALIASES)}), v AS (
+ SELECT position, -1 AS place, lower(location) AS name FROM w UNION ALL
+ SELECT w.position, a.place, lower(a.alias) FROM w JOIN a ON lower(a.location) = lower(w.location))
+SELECT position, CAST(place AS BIGINT) AS place, name FROM v QUALIFY row_number() OVER (PARTITION BY name ORDER BY position, place) = 1""",
+)
+def location_variants(t: Tables) -> DataFrame:
+    return pred.location_variants(t.sql(_WANTED), t.sql(_ALIASES))
