@@ -195,3 +195,26 @@ def text_bytes(df: DataFrame, text: str) -> int:
     from pyspark.sql import functions as F
 
     return df.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+
+
+_MARK_BITS = 23
+
+
+def only_marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """``rows`` less most of those whose ``key`` is not in ``wanted``, so that a join with ``wanted``
+    moves little. The filter is a bitmap of fixed size; where it is full, rows just pass."""
+    from pyspark.sql import functions as F
+
+    slot = lambda df: F.pmod(F.xxhash64(df[key]), F.lit(1 << _MARK_BITS))
+    bits = wanted.select(slot(wanted).alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 AS int))")).alias("bit"))
+    filled = bits.toArrow()  # at most 2 ** (_MARK_BITS - 5) rows
+    bitmap = np.zeros(1 << (_MARK_BITS - 5), np.uint32)
+    bitmap[filled.column("word").to_numpy()] = filled.column("bit").to_numpy()
+
+    @F.arrow_udf("boolean")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in batches:
+            at = s.to_numpy(zero_copy_only=False)
+            yield pa.array((bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
+
+    return rows.where(marked(slot(rows)))

@@ -15,8 +15,10 @@ The join never lists all pairs of a group:
    (:func:`exchange.shared_keys` deals the signatures), by the exact similarity of the sets;
 3. components of the links found so far are formed;
 4. only where classes that share a signature still lie in different components are the missing
-   pairs tested: blocks of such a group are dealt to tasks, which keep at most one link for each
-   class. After that every pair that shares a signature is tested or already in one component.
+   pairs looked at: blocks of such a group are dealt to tasks, which compare short sketches that bound
+   the difference of two sets from below. What the sketches cannot rule out is tested exactly, the
+   closest class of each other component first and, after new components, all that is
+   left. After that every pair that shares a signature is tested, ruled out or in one component.
 
 Defined cases: words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased; a text with fewer
 words than a shingle is one shingle; a text without words has an empty set, is linked with nothing
@@ -36,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import LOWER, WHITE, mix, pieces, shingles, text_bytes, utf8, words
+from rolecall.llm.common import LOWER, WHITE, mix, only_marked, pieces, shingles, text_bytes, utf8, words
 from rolecall.llm.exchange import Entries, _pack, part_count, shared_keys, unpack
 from rolecall.llm.graph import components
 from rolecall.llm.storage import Staging
@@ -71,12 +73,12 @@ def bands(largest: int, num: int) -> np.ndarray:
     return np.array([*out, low * 100 // num], np.int64)
 
 
-def signatures(h: np.ndarray, first: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, signature) of all sets, for the band of each set and the next one."""
+def signatures(h: np.ndarray, first: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, signature, band) of all sets, for the band of each set and the next one."""
     size = np.diff(first)
     high = bands(int(size.max(initial=1)), num)
     own = np.searchsorted(high, size)
-    rows, sigs = [], []
+    rows, sigs, of_band = [], [], []
     for band in (own, own + 1):
         k = 2 * (100 - num) * high[band] // (100 + num)  # features in which two such sets may differ
         spare = 2 + k // 16
@@ -95,14 +97,16 @@ def signatures(h: np.ndarray, first: np.ndarray, num: int) -> tuple[np.ndarray,
         label = mix((band[owner] * 1_000_003 + part).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
         rows.append(owner[filled])
         sigs.append(mix(total[filled] ^ label[filled]))
+        of_band.append(band[owner[filled]])
         empty = np.bincount(owner[~filled], minlength=len(size)) if len(owner) else np.zeros(len(size), np.int64)
         for r in np.flatnonzero(empty > spare):
             gaps = label[start[r] : start[r + 1]][~filled[start[r] : start[r + 1]]]
             chosen = np.array(list(combinations(gaps.tolist(), int(spare[r]) + 1)), np.uint64)
             rows.append(np.full(len(chosen), r))
             sigs.append(mix(chosen.sum(axis=1, dtype=np.uint64) ^ np.uint64(0x94D049BB133111EB)))
+            of_band.append(np.full(len(chosen), band[r]))
             assert len(chosen) == comb(int(empty[r]), int(spare[r]) + 1)
-    return np.concatenate(rows), np.concatenate(sigs)
+    return np.concatenate(rows), np.concatenate(sigs), np.concatenate(of_band)
 
 
 def similar(a: np.ndarray, b: np.ndarray, num: int) -> bool:
@@ -135,87 +139,129 @@ def _sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
                 packed = _pack(h, np.diff(first))
                 yield pa.RecordBatch.from_arrays([pa.array(kind), packed], names=["_class", "_set"]).filter(pa.array(right))
 
-    return base.join(wanted, "_id").select("_text", "_class").mapInArrow(build, "_class long, _set binary")
+    return only_marked(base, "_id", wanted).join(wanted, "_id").select("_text", "_class").mapInArrow(build, "_class long, _set binary")
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar."""
+def _tested(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar: by their sketches first, then exactly."""
+
+    @F.arrow_udf("boolean")
+    def near(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right, m, n in parts:
+            out = [(np.frombuffer(x.as_py(), np.uint8) != np.frombuffer(y.as_py(), np.uint8)).sum() for x, y in zip(left, right, strict=True)]
+            yield pa.array(np.array(out, np.int64) <= (100 - num) * (m.to_numpy() + n.to_numpy()) // (100 + num))
 
     @F.arrow_udf("boolean")
     def check(parts: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         for left, right in parts:
             yield pa.array([similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num) for x, y in zip(left, right, strict=True)], pa.bool_())
 
+    one = sketches.select(F.col("_class").alias("a"), "band", F.col("size").alias("m"), F.col("sketch").alias("s"))
+    two = sketches.select(F.col("_class").alias("b"), "band", F.col("size").alias("n"), F.col("sketch").alias("t"))
+    fit = F.least("m", "n") * 100 >= F.greatest("m", "n") * num
+    pairs = pairs.join(one, "a").join(two, ["b", "band"]).where(fit).where(near("s", "t", "m", "n")).select("a", "b").distinct()
     left = sets.select(F.col("_class").alias("a"), F.col("_set").alias("_x"))
     right = sets.select(F.col("_class").alias("b"), F.col("_set").alias("_y"))
     return pairs.join(left, "a").join(right, "b").where(check("_x", "_y")).select("a", "b")
 
 
-def _missing_links(sets: DataFrame, found: DataFrame, num: int, parts: int, block: int) -> DataFrame:
-    """Links between classes that share a signature but lie in different components ``found``."""
+def _sketched(sets: DataFrame, num: int) -> DataFrame:
+    """(_class, band, size, sketch), two bands for each class."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, count = unpack(batch.column("_set"), np.uint64)
+            for row, band, sketch in _sketches(h, np.concatenate([[0], np.cumsum(count)]), num):
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([batch.column("_class").take(at), pa.array(band, pa.int64()), pa.array(count, pa.int64()), sketch], names=["_class", "band", "size", "sketch"])
+
+    return sets.mapInArrow(make, "_class long, band long, size long, sketch binary").where(F.length("sketch") > 0)
+
+
+def _sketches(h: np.ndarray, first: np.ndarray, num: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(row, band, packed sketch) for the band of each set and the next. A sketch has one byte for
+    each of ``4 k`` slots, a sum over the features that fall into the slot; two sets differ in at
+    least as many features as their sketches differ in bytes."""
+    size = np.diff(first)
+    high = bands(int(size.max(initial=1)), num)
+    own = np.searchsorted(high, size)
+    row = np.repeat(np.arange(len(size)), size)
+    out = []
+    for band in (own, own + 1):
+        slots = 4 * (2 * (100 - num) * high[band] // (100 + num))
+        start = np.concatenate([[0], np.cumsum(slots)])
+        inside = slots[row] > 0
+        f, r = h[inside], row[inside]
+        slot = start[r] + (((f >> np.uint64(32)) * slots[r].astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
+        total = np.zeros(start[-1], np.uint8)
+        np.add.at(total, slot, (mix(f) & np.uint64(255)).astype(np.uint8))
+        out.append((np.arange(len(size)), band, _pack(total, slots)))
+    return out
+
+
+def _groups(sets: DataFrame, staging: Staging, num: int) -> DataFrame:
+    """(sig, band, _class, n) of all groups of three or more classes that share a signature; of
+    groups with the same classes, one. Two classes alone were tested with each other."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, count = unpack(batch.column("_set"), np.uint64)
-            row, sig = signatures(h, np.concatenate([[0], np.cumsum(count)]), num)
-            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), batch.column("_class").take(pa.array(row)), batch.column("_root").take(pa.array(row))], names=["sig", "_class", "_root"])
-
-    rooted = sets.join(found, sets["_class"] == found["node"], "left").select("_class", "_set", F.coalesce("root", "_class").alias("_root"))
-    signed = rooted.mapInArrow(sign, "sig long, _class long, _root long")
-    groups = signed.groupBy("sig").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("_class") / F.lit(2.0**20)).alias("who"))
-    # groups of the same classes need one test; two classes alone were tested with each other
-    groups = groups.where("lo <> hi AND n > 2").groupBy("n", "who", "lo", "hi").agg(F.min("sig").alias("sig"))
-    groups = groups.select("sig", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
-    member = signed.join(groups, "sig").withColumn("mine", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int"))
+            row, sig, band = signatures(h, np.concatenate([[0], np.cumsum(count)]), num)
+            yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(band, pa.int64()), batch.column("_class").take(pa.array(row))], names=["sig", "band", "_class"])
+
+    signed = sets.mapInArrow(sign, "sig long, band long, _class long")
+    many = signed.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.shiftright("_class", 24)).alias("who")).where("n > 2")
+    many = staging.write(many.groupBy("n", "who").agg(F.min("sig").alias("sig")).select("sig", "n"), "many")
+    return staging.write(signed.join(many, "sig"), "groups")
+
+
+def _near_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, num: int, parts: int, block: int) -> DataFrame:
+    """(a, b, best): classes that share a signature, lie in different components ``found`` and may
+    be similar by their sketches; ``best`` marks the closest one in each other component."""
+    rooted = groups.join(found, groups["_class"] == found["node"], "left").select("sig", "band", "_class", "n", F.coalesce("root", "_class").alias("_root"))
+    open_ = rooted.groupBy("sig").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select("sig")
+    member = rooted.join(open_, "sig").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    member = member.withColumn("mine", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int"))
     member = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    member = member.select("_class", "_root", "mine", F.struct("sig", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j")).alias("cell"))
-    cells = member.join(sets, "_class").select(F.pmod(F.xxhash64("cell"), F.lit(parts)).alias("part"), F.xxhash64("cell").alias("cell"), F.col("cell.i").alias("i"), F.col("cell.j").alias("j"), "mine", "_class", "_root", "_set")
+    cell = F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other"))
+    member = member.select("_class", "_root", "band", "mine", (F.col("mine") != F.col("other")).alias("cross"), cell.alias("cell"))
+    cells = member.join(sketches, ["_class", "band"]).select(F.pmod("cell", F.lit(parts)).alias("part"), "cell", "cross", "mine", "_class", "_root", "size", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("cell")
         cell = table.column("cell").to_numpy()
-        h, count = unpack(table.column("_set"), np.uint64)
-        first = np.concatenate([[0], np.cumsum(count)])
-        kind, root, mine = (table.column(c).to_numpy() for c in ("_class", "_root", "mine"))
-        i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+        flat, width = unpack(table.column("sketch"), np.uint8)
+        start = np.concatenate([[0], np.cumsum(width)])
+        kind, root, mine, size = (table.column(c).to_numpy() for c in ("_class", "_root", "mine", "size"))
+        cross = np.flatnonzero(table.column("cross").to_numpy(zero_copy_only=False))
+        crossed = set(cell[cross].tolist())
         cuts = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, bool]] = []
         for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-            out += _cell_links(h[first[lo] : first[hi]], first[lo : hi + 1] - first[lo], kind[lo:hi], root[lo:hi], mine[lo:hi], i[lo] == j[lo], num)
-        return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([y for _, y in out], pa.int64())})
-
-    return cells.groupBy("part").applyInArrow(compare, "a long, b long")
+            if hi - lo > 1 and root[lo:hi].min() != root[lo:hi].max():
+                m = flat[start[lo] : start[hi]].reshape(hi - lo, -1)
+                out += _cell_pairs(m, kind[lo:hi], root[lo:hi], mine[lo:hi] if int(cell[lo]) in crossed else None, size[lo:hi], num)
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "best": pa.array([x[2] for x in out], pa.bool_())})
 
+    return cells.groupBy("part").applyInArrow(compare, "a long, b long, best boolean").groupBy("a", "b").agg(F.bool_or("best").alias("best"))
 
-def _cell_links(h: np.ndarray, first: np.ndarray, kind: np.ndarray, root: np.ndarray, mine: np.ndarray, one_block: bool, num: int) -> list[tuple[int, int]]:
-    """Links between different roots inside a cell, none that an earlier one makes needless."""
-    _, code = np.unique(h, return_inverse=True)
-    size = np.diff(first)
-    tree = {int(r): int(r) for r in root}
-
-    def top(x: int) -> int:
-        while tree[x] != x:
-            tree[x] = tree[tree[x]]
-            x = tree[x]
-        return x
 
+def _cell_pairs(m: np.ndarray, kind: np.ndarray, root: np.ndarray, side: np.ndarray | None, size: np.ndarray, num: int) -> list[tuple[int, int, bool]]:
+    """Pairs (smaller class first, closest or not) of a cell: of one block, or of two if ``side`` tells them apart."""
     out = []
-    seen = np.zeros(int(code.max(initial=0)) + 1, bool)
     for x in range(len(kind)):
-        rest = np.arange(len(kind)) > x if one_block else mine != mine[x]
-        if not one_block and mine[x] != mine.min():
-            continue
-        rest &= (root != root[x]) & (100 * np.minimum(size, size[x]) >= num * np.maximum(size, size[x]))
-        if not rest.any():
+        ok = (root != root[x]) & (100 * np.minimum(size, size[x]) >= num * np.maximum(size, size[x]))
+        if side is not None:
+            ok &= side != side[x]
+        at = np.flatnonzero(ok)
+        if not len(at):
             continue
-        seen[code[first[x] : first[x + 1]]] = True
-        both = np.add.reduceat(seen[code].astype(np.int64), first[:-1])
-        seen[code[first[x] : first[x + 1]]] = False
-        for y in np.flatnonzero(rest & (100 * both >= num * (size + size[x] - both))):
-            p, q = top(int(root[x])), top(int(root[y]))
-            if p != q:
-                tree[max(p, q)] = min(p, q)
-                out.append((int(kind[x]), int(kind[y])))
+        differ = (m[at] != m[x]).sum(axis=1)
+        near = differ <= (100 - num) * (size[at] + size[x]) // (100 + num)
+        at, seen = at[near][np.argsort(differ[near], kind="stable")], set()
+        for y in at.tolist():
+            out.append((min(int(kind[x]), int(kind[y])), max(int(kind[x]), int(kind[y])), root[y] not in seen))
+            seen.add(root[y])
     return out
 
 
@@ -254,16 +300,24 @@ def component_ids(docs: DataFrame, staging: Staging, n: int = 4, num: int = 85,
         once = np.sort(once[kind[once] != 0])  # of equal sets in a piece, one
         size = np.diff(start)[once]
         keep = np.repeat(start[once], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        row, sig = signatures(h[keep], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), num)
+        row, sig, _ = signatures(h[keep], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), num)
         return Entries(sig, kind[once][row], np.zeros(len(row), np.int32))
 
     pairs = shared_keys(base, "_text", sign, parts).select(F.col("leader").alias("a"), F.col("owner").alias("b")).distinct()
     pairs = staging.write(pairs, "pairs")
     wanted = pairs.select(F.col("a").alias("_class")).union(pairs.select("b")).distinct().join(first, "_class")
     sets = staging.write(_sets(base, wanted, n), "sets")
-    links = staging.write(_tested(pairs, sets, num), "links")
-    more = staging.write(_missing_links(sets, components(links, staging, "first"), num, parts, block), "more")
-    found = components(links.unionByName(more), staging, "last")
+    sketches = staging.write(_sketched(sets, num), "sketches")
+    links = staging.write(_tested(pairs, sets, sketches, num), "links")
+    found = components(links, staging, "first")
+    near = _near_pairs(_groups(sets, staging, num), sketches, found, num, parts, block)
+    near = staging.write(near.join(pairs, ["a", "b"], "left_anti"), "near")
+    links = links.unionByName(staging.write(_tested(near.where("best").select("a", "b"), sets, sketches, num), "near_links"))
+    found = components(links, staging, "second")
+    roots = [found.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
+    rest = near.where("NOT best").join(roots[0], "a", "left").join(roots[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
+    links = links.unionByName(staging.write(_tested(rest, sets, sketches, num), "rest_links"))
+    found = components(links, staging, "last")
     least = first.join(found, first["_class"] == found["node"], "left").select("_class", "_id", F.coalesce("root", "_class").alias("root"))
     least = staging.write(least, "roots")
     least = least.join(least.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("_class", "component_id")

@@ -19,6 +19,7 @@ pass through; ``n_lines``, ``n_dropped`` and the text column are replaced where
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -52,7 +53,7 @@ class LineRuns:
         return [run for level in self.levels for _, run in level]
 
     def _write(self, df: DataFrame) -> tuple[str, DataFrame]:
-        name = f"run{self._n}"
+        name = f"run{self._n}_{uuid.uuid4().hex[:6]}"
         self._n += 1
         return name, self.staging.write_sorted(df.select(*_KEY, "owner"), name, _KEY, self.buckets)
 

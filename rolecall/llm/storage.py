@@ -23,11 +23,13 @@ class Staging:
             base = tempfile.mkdtemp(prefix="rolecall-")
         self.spark = spark
         self.id = f"{name}_{uuid.uuid4().hex[:12]}"
+        self._n = 0
         self.path = f"{base.rstrip('/')}/{self.id}"
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``df`` as Parquet, read back with its own schema."""
-        path = f"{self.path}/{name}"
+        self._n += 1
+        path = f"{self.path}/{name}-{self._n}"
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
