@@ -41,8 +41,10 @@ def start_ingest(
     def apply(batch: DataFrame, batch_id: int) -> None:
         if store.latest().marks.get(mark, -1) >= batch_id:
             return
-        ordered = batch.withColumn("seq", F.coalesce("seq", F.monotonically_increasing_id()))
-        rows = stage(ordered, f"{name}-{batch_id}")
+        # numbers from files only order the rows: two files may use the same ones
+        placed = batch.withColumn("_place", F.monotonically_increasing_id())
+        ordered = placed.orderBy(F.col("seq").asc_nulls_last(), "_place").drop("_place")
+        rows = stage(ordered.withColumn("seq", F.monotonically_increasing_id()), f"{name}-{batch_id}")
         results = (
             rows.groupBy("source")
             .agg(F.count("*").alias("n_jobs"))
