@@ -73,6 +73,19 @@ def bands(largest: int, num: int) -> np.ndarray:
     return np.array([*out, low * 100 // num], np.int64)
 
 
+def spare_parts(high: np.ndarray, num: int) -> np.ndarray:
+    """How many parts beyond ``k + 1`` each band gets: as many as parts are likely empty for its
+    smallest sets, so that enumerating empty parts stays rare; of small ``k``, no more than ``k``."""
+    k = 2 * (100 - num) * high // (100 + num)
+    low = np.concatenate([[1, 1], high[:-2] + 1])  # smallest set of the band before
+    spare = np.full(len(high), 2.0)
+    for _ in range(12):
+        parts = k + 1 + spare
+        empty = parts * np.exp(-low / parts)
+        spare = np.minimum(np.ceil(empty + 4 * np.sqrt(empty) + 1), np.maximum(2, k))
+    return spare.astype(np.int64)
+
+
 def signatures(h: np.ndarray, first: np.ndarray, num: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, signature, band) of all sets, for the band of each set and the next one."""
     size = np.diff(first)
@@ -81,7 +94,7 @@ def signatures(h: np.ndarray, first: np.ndarray, num: int) -> tuple[np.ndarray,
     rows, sigs, of_band = [], [], []
     for band in (own, own + 1):
         k = 2 * (100 - num) * high[band] // (100 + num)  # features in which two such sets may differ
-        spare = 2 + k // 16
+        spare = spare_parts(high, num)[band]
         use = (k > 0) & (size > 0)  # k = 0: only equal sets, which are one class
         parts = np.where(use, k + 1 + spare, 0)
         start = np.concatenate([[0], np.cumsum(parts)])
