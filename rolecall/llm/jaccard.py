@@ -43,7 +43,7 @@ from rolecall.llm.exchange import Entries, _pack, part_count, shared_keys, unpac
 from rolecall.llm.graph import components
 from rolecall.llm.storage import Staging
 
-BLOCK = 128
+BLOCK = 512
 
 
 def sets_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
