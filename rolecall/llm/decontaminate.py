@@ -5,8 +5,10 @@ Words lose punctuation and case, and numbers, names (words with a capital first
 parameters keeps its template. Windows of ``WINDOW`` template words are hash-joined: the windows
 of all benchmark items set bits in a bitmap of fixed size, documents send only windows whose
 bits are set, and a join by hash decides. For every place where an item lies in a document the slots are
-compared: one filler of the item must stand for one filler of the document in all its
-slots. An item counts as found when its consistent windows cover at least ``COVER`` of it.
+compared: a window stays if each of its fillers stands for the filler that most of that filler's slots at
+the place stand for, or if its fillers are the item's own. An item counts as found when its consistent
+windows cover at least ``COVER`` of it. With ``veto``, one filler that stands for two removes the whole
+place; the queries do without.
 
 Defined cases: words are ``[^\x20\x09-\x0D]+`` less everything but letters and digits, and a word
 of which nothing is left is skipped; an item with fewer words than a window is one window; windows
@@ -17,6 +19,7 @@ windows are each reported.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -110,7 +113,30 @@ def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
     return items.select(F.col(item_id).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(make, "key long, hash long, at int, slots array<long>")
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cover: float = COVER) -> DataFrame:
+def _consistent(windows: list[dict], veto: bool) -> list[dict]:
+    """The windows of one place whose fillers agree."""
+    votes = Counter((f, g) for _, f, g in {(x["at"] + k, f, g) for x in windows for k, (f, g) in enumerate(zip(x["f"], x["g"], strict=True)) if f})
+    best: dict[int, int] = {}
+    for (f, g), _ in sorted(votes.items(), key=lambda v: (-v[1], v[0])):
+        best.setdefault(f, g)
+    if veto:
+        return windows if len(best) == len(votes) else []
+    return [x for x in windows if x["f"] == x["g"] or all(best[f] == g for f, g in zip(x["f"], x["g"], strict=True) if f)]
+
+
+def _covered(veto: bool):
+    """Of the windows of one place: the words of the item that the consistent ones cover."""
+
+    @F.arrow_udf("array<int>")
+    def covered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for places in batches:
+            kept = (_consistent(windows, veto) for windows in places.to_pylist())
+            yield pa.array([sorted({x["at"] + k for x in windows for k in range(len(x["f"]))}) for windows in kept], pa.list_(pa.int32()))
+
+    return covered
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cover: float = COVER, veto: bool = True) -> DataFrame:
     """(id, item_id, share, word) of every benchmark item found in a document: the covered share
     of the item and the document's first word of the match."""
     index = item_windows(items, item_id, item_text)
@@ -143,17 +169,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
         F.col("d.key").alias("doc"),
         F.col("i.key").alias("item"),
         (F.col("d.at") - F.col("i.at")).alias("offset"),
-        F.col("i.at").alias("at"),
-        F.size("i.slots").alias("size"),
-        F.explode(F.arrays_zip(F.col("i.slots").alias("f"), F.col("d.slots").alias("g"))).alias("slot"),
+        F.struct(F.col("i.at").alias("at"), F.col("i.slots").alias("f"), F.transform(F.arrays_zip(F.col("i.slots").alias("f"), F.col("d.slots").alias("g")), lambda x: F.when(x["f"] != 0, x["g"]).otherwise(0)).alias("g")).alias("window"),
     )
-    # of one place: which item words its windows cover, and whether every filler stands for one
-    slots = met.groupBy("doc", "item", "offset").agg(F.collect_set(F.when(F.col("slot.f") != 0, F.col("slot"))).alias("pairs"), F.collect_set(F.struct("at", "size")).alias("windows"))
-    slots = slots.where(F.size(F.array_distinct(F.transform("pairs", lambda p: p["f"]))) == F.size("pairs"))
-    places = slots.groupBy("doc", "item").agg(F.flatten(F.collect_list("windows")).alias("windows"), F.min(F.col("offset") + F.array_min(F.transform("windows", lambda x: x["at"]))).alias("word"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("windows", lambda x: F.sequence(x["at"], x["at"] + x["size"] - 1)))))
+    # of one place: at most one window for each word of the item
+    places = met.groupBy("doc", "item", "offset").agg(F.collect_set("window").alias("windows")).select("doc", "item", "offset", _covered(veto)("windows").alias("words")).where(F.size("words") > 0)
+    places = places.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.min(F.col("offset") + F.array_min("words")).alias("word"))
     lengths = index.groupBy(F.col("key").alias("item")).agg(F.max(F.col("at") + F.size("slots")).alias("end"), F.min("at").alias("start"))
-    share = places.select("doc", "item", "word", covered.alias("covered")).join(lengths, "item").withColumn("share", F.col("covered") / (F.col("end") - F.col("start")))
+    share = places.join(lengths, "item").withColumn("share", F.col("covered") / (F.col("end") - F.col("start")))
     return share.where(F.col("share") >= cover).select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "share", F.col("word").cast("long").alias("word"))
 
 

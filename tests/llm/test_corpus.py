@@ -172,6 +172,18 @@ def test_decontamination(spark, docs):
     assert decontaminate.find_leaks(df.limit(0), items).count() == 0 and decontaminate.find_leaks(df, items.limit(0)).count() == 0
 
 
+def leaks(spark, docs, items, texts):
+    items = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.find_leaks(docs(list(enumerate(texts))), items, veto=False).collect()}
+
+
+def test_one_changed_filler_does_not_hide_an_item(spark, docs):
+    mixed = ITEM.replace("Anna walks another", "Boris walks another")
+    other = ITEM.replace("Anna", "Boris").replace("before Boris", "before Clara").replace("12", "40")
+    found = leaks(spark, docs, [ITEM], [prose(4, 30) + " " + mixed, prose(5, 30), prose(6, 30) + " " + other])
+    assert set(found) == {(0, 0), (2, 0)}
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1, "b": 1000, "c": 3, "d": 7, "e": 11.5}])
 def test_pattern_keeps_less_than_a_block(weights):
     share = mixing.shares(weights, 997)
