@@ -2,7 +2,8 @@ r"""Benchmark decontamination by template canonicalisation.
 
 Words lose punctuation and case, and numbers, names (words with a capital first letter) and units
 (listed words behind a number) become typed placeholders, so a question asked again with other
-parameters keeps its template. Windows of ``WINDOW`` template words are hash-joined: the windows
+parameters keeps its template. Beside these typed windows every place has a plain one, of the words
+themselves without case, for copies whatever their share of placeholders. Windows of ``WINDOW`` template words are hash-joined: the windows
 of all benchmark items set bits in a bitmap of fixed size, documents send only windows whose
 bits are set, and a join by hash decides. For every place where an item lies in a document the slots are
 compared: a window stays if each of its fillers stands for the filler that most of that filler's slots at
@@ -11,9 +12,10 @@ windows cover at least ``COVER`` of it. With ``veto``, one filler that stands fo
 place; the queries do without.
 
 Defined cases: words are ``[^\x20\x09-\x0D]+`` less everything but letters and digits, and a word
-of which nothing is left is skipped; an item with fewer words than a window is one window; windows
-with fewer than ``LITERALS`` (or, of a short item, half) literal words are not used, so an item made of
-placeholders is never found; null or empty texts match nothing. Items with the same template
+of which nothing is left is skipped; an item with fewer words than a window is one window; typed
+windows with fewer than ``LITERALS`` (or, of a short item, half) literal words are not used, so an item made
+of placeholders is found by its own words only; letters are lower-cased one by one (``ß`` is not ``SS``);
+the share is of the whole item or, if greater, of the part with typed windows; null or empty texts match nothing. Items with the same template
 windows are each reported.
 """
 
@@ -25,6 +27,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +39,7 @@ COVER = 0.5
 #: Unit words.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ounce ounces pound pounds ml l liter liters litre litres gallon gallons s sec second seconds minute minutes h hour hours day days week weeks month months year years c f degrees degree percent dollar dollars euro euros cent cents v w kw j kj pa hz".split()
 _BITS = 23
+_PLAIN = np.uint64(0x5B1F9E37A6C2D481)
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x8CB92BA72F3D8DD7))
 
 
@@ -69,6 +73,17 @@ def templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     return Words(start, end, row, h, np.searchsorted(row, np.arange(len(offsets)))), shape, ~(number | unit | name)
 
 
+def plain(texts: pa.Array, w: Words) -> np.ndarray:
+    """Hashes of the words of ``templates`` with letters beyond ASCII lower-cased too."""
+    data, _ = utf8(texts)
+    if not len(data) or data.max() < 0x80:
+        return w.hash
+    data, offsets = utf8(pc.utf8_lower(texts))
+    low = words(data, offsets, WHITE, LOWER, ~NOT_WORD)
+    kept = np.concatenate([[0], np.cumsum(~NOT_WORD[LOWER[data]])])
+    return low.hash[kept[low.end] > kept[low.start]]
+
+
 def _windows(w: Words, shape: np.ndarray, literal: np.ndarray, size: int, least: int) -> tuple[np.ndarray, np.ndarray]:
     """First words and hashes of the usable windows."""
     h = rolling(shape, size)
@@ -85,8 +100,17 @@ def _fillers(w: Words, literal: np.ndarray, at: np.ndarray, size: int) -> pa.Arr
     return pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * size, pa.int32()), pa.array(flat, pa.int64()))
 
 
-def _rows(key: pa.Array, w: Words, literal: np.ndarray, at: np.ndarray, h: np.ndarray, size: int) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([key.take(pa.array(w.row[at])), pa.array(h.view(np.int64)), pa.array((at - w.first[w.row[at]]).astype(np.int32)), _fillers(w, literal, at, size)], names=["key", "hash", "at", "slots"])
+def _rows(key: pa.Array, w: Words, literal: np.ndarray, at: np.ndarray, h: np.ndarray, size: int, typed: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([key.take(pa.array(w.row[at])), pa.array(h.view(np.int64)), pa.array((at - w.first[w.row[at]]).astype(np.int32)), _fillers(w, literal, at, size), pa.array(np.full(len(at), typed))], names=["key", "hash", "at", "slots", "typed"])
+
+
+_ROWS = "key long, hash long, at int, slots array<long>, typed boolean"
+
+
+def _both(texts: pa.Array) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, bool]]]:
+    """Words with (hashes, which are literal, typed) for typed and for plain windows."""
+    w, shape, literal = templates(texts)
+    return w, [(shape, literal, True), (plain(texts, w) ^ _PLAIN, np.ones(len(shape), bool), False)]
 
 
 def _least(size: int) -> int:
@@ -98,19 +122,20 @@ def _bits(h: np.ndarray) -> np.ndarray:
 
 
 def item_windows(items: DataFrame, item_id: str, text: str) -> DataFrame:
-    """(key, hash, at, slots) of all template windows of the benchmark."""
+    """(key, hash, at, slots, typed) of all windows of the benchmark."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                w, shape, literal = templates(piece.column("text"))
+                w, kinds = _both(piece.column("text"))
                 length = np.diff(w.first)
                 for size in sorted({min(WINDOW, int(n)) for n in length if n}):
-                    at, h = _windows(w, shape, literal, size, _least(size))
-                    fit = (length[w.row[at]] == size) | ((size == WINDOW) & (length[w.row[at]] >= WINDOW))
-                    yield _rows(piece.column("key"), w, literal, at[fit], h[fit], size)
+                    for shape, literal, typed in kinds:
+                        at, h = _windows(w, shape, literal, size, _least(size))
+                        fit = (length[w.row[at]] == size) | ((size == WINDOW) & (length[w.row[at]] >= WINDOW))
+                        yield _rows(piece.column("key"), w, literal, at[fit], h[fit], size, typed)
 
-    return items.select(F.col(item_id).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(make, "key long, hash long, at int, slots array<long>")
+    return items.select(F.col(item_id).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(make, _ROWS)
 
 
 def _consistent(windows: list[dict], veto: bool) -> list[dict]:
@@ -125,13 +150,16 @@ def _consistent(windows: list[dict], veto: bool) -> list[dict]:
 
 
 def _covered(veto: bool):
-    """Of the windows of one place: the words of the item that the consistent ones cover."""
+    """Of the windows of one place: the words of the item that the consistent ones cover, and
+    those that the typed ones of them cover."""
+    kind = pa.struct([("words", pa.list_(pa.int32())), ("typed", pa.list_(pa.int32()))])
 
-    @F.arrow_udf("array<int>")
+    @F.arrow_udf("struct<words:array<int>,typed:array<int>>")
     def covered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        reach = lambda windows: sorted({x["at"] + k for x in windows for k in range(len(x["f"]))})
         for places in batches:
-            kept = (_consistent(windows, veto) for windows in places.to_pylist())
-            yield pa.array([sorted({x["at"] + k for x in windows for k in range(len(x["f"]))}) for windows in kept], pa.list_(pa.int32()))
+            kept = [_consistent(windows, veto) for windows in places.to_pylist()]
+            yield pa.array([{"words": reach(windows), "typed": reach([x for x in windows if x["typed"]])} for windows in kept], kind)
 
     return covered
 
@@ -155,27 +183,30 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for piece in pieces(batch, "text"):
-                w, shape, literal = templates(piece.column("text"))
+                w, kinds = _both(piece.column("text"))
                 for size in sizes:
-                    at, h = _windows(w, shape, literal, size, _least(size))
-                    bit = _bits(h)
-                    hit = (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
-                    hit = hit[: len(h)] & hit[len(h) :]
-                    if hit.any():
-                        yield _rows(piece.column("key"), w, literal, at[hit], h[hit], size)
-
-    probes = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(probe, "key long, hash long, at int, slots array<long>")
+                    for shape, literal, typed in kinds:
+                        at, h = _windows(w, shape, literal, size, _least(size))
+                        bit = _bits(h)
+                        hit = (bitmap[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).astype(bool)
+                        hit = hit[: len(h)] & hit[len(h) :]
+                        if hit.any():
+                            yield _rows(piece.column("key"), w, literal, at[hit], h[hit], size, typed)
+
+    probes = docs.select(F.col(id_col).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(probe, _ROWS)
     met = probes.alias("d").join(index.alias("i"), "hash").select(
         F.col("d.key").alias("doc"),
         F.col("i.key").alias("item"),
         (F.col("d.at") - F.col("i.at")).alias("offset"),
-        F.struct(F.col("i.at").alias("at"), F.col("i.slots").alias("f"), F.transform(F.arrays_zip(F.col("i.slots").alias("f"), F.col("d.slots").alias("g")), lambda x: F.when(x["f"] != 0, x["g"]).otherwise(0)).alias("g")).alias("window"),
+        F.struct(F.col("i.at").alias("at"), F.col("i.slots").alias("f"), F.transform(F.arrays_zip(F.col("i.slots").alias("f"), F.col("d.slots").alias("g")), lambda x: F.when(x["f"] != 0, x["g"]).otherwise(0)).alias("g"), F.col("i.typed").alias("typed")).alias("window"),
     )
-    # of one place: at most one window for each word of the item
-    places = met.groupBy("doc", "item", "offset").agg(F.collect_set("window").alias("windows")).select("doc", "item", "offset", _covered(veto)("windows").alias("words")).where(F.size("words") > 0)
-    places = places.groupBy("doc", "item").agg(F.size(F.array_distinct(F.flatten(F.collect_list("words")))).alias("covered"), F.min(F.col("offset") + F.array_min("words")).alias("word"))
-    lengths = index.groupBy(F.col("key").alias("item")).agg(F.max(F.col("at") + F.size("slots")).alias("end"), F.min("at").alias("start"))
-    share = places.join(lengths, "item").withColumn("share", F.col("covered") / (F.col("end") - F.col("start")))
+    # of one place: at most two windows for each word of the item
+    places = met.groupBy("doc", "item", "offset").agg(F.collect_set("window").alias("windows")).select("doc", "item", "offset", _covered(veto)("windows").alias("c")).select("doc", "item", "offset", "c.*").where(F.size("words") > 0)
+    covered = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
+    places = places.groupBy("doc", "item").agg(covered("words").alias("covered"), covered("typed").alias("typed"), F.min(F.col("offset") + F.array_min("words")).alias("word"))
+    end, start = F.col("at") + F.size("slots"), F.when(F.col("typed"), F.col("at"))
+    lengths = index.groupBy(F.col("key").alias("item")).agg(F.max(end).alias("length"), (F.max(F.when(F.col("typed"), end)) - F.min(start)).alias("span"))
+    share = places.join(lengths, "item").withColumn("share", F.greatest(F.col("covered") / F.col("length"), F.col("typed") / F.col("span")))
     return share.where(F.col("share") >= cover).select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "share", F.col("word").cast("long").alias("word"))
 
 

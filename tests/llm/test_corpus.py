@@ -184,6 +184,15 @@ def test_one_changed_filler_does_not_hide_an_item(spark, docs):
     assert set(found) == {(0, 0), (2, 0)}
 
 
+def test_copies_are_found_whatever_their_placeholders_and_case(spark, docs):
+    names = "Anna Boris Clara 12 Denis Elena 15 Franz Greta 7 Hanna Élodie Ivan"
+    short = "The river was cold. Anna Bell went home. What did Boris Hill say? Nobody Else Knew."
+    numbers = "12 13 14 15 16 17 18 19 20 21"
+    texts = [prose(4, 30) + " " + t + " " + prose(5, 30) for t in (names, names.lower(), names.upper(), short.lower(), short.upper(), numbers, "Anna Boris Clara 13 Denis Elena 16 Franz Greta 8 Hanna Zoe Ivan")]
+    found = leaks(spark, docs, [names, short, numbers], texts)
+    assert found == {(0, 0): 1.0, (1, 0): 1.0, (2, 0): 1.0, (3, 1): 1.0, (4, 1): 1.0, (5, 2): 1.0}
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1, "b": 1000, "c": 3, "d": 7, "e": 11.5}])
 def test_pattern_keeps_less_than_a_block(weights):
     share = mixing.shares(weights, 997)
