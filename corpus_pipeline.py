@@ -41,7 +41,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which at least half of a benchmark item is found go."""
+    """Documents in which at least half of a benchmark item, or 13 words of it in a row, are found go."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), veto=False).select(*COLUMNS)
 
 

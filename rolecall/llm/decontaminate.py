@@ -8,7 +8,7 @@ of all benchmark items set bits in a bitmap of fixed size, documents send only w
 bits are set, and a join by hash decides. For every place where an item lies in a document the slots are
 compared: a window stays if each of its fillers stands for the filler that most of that filler's slots at
 the place stand for, or if its fillers are the item's own. An item counts as found when its consistent
-windows cover at least ``COVER`` of it. With ``veto``, one filler that stands for two removes the whole
+windows cover at least ``COVER`` of it, or ``RUN`` words of it in a row at one place. With ``veto``, one filler that stands for two removes the whole
 place; the queries do without.
 
 Defined cases: words are ``[^\x20\x09-\x0D]+`` less everything but letters and digits, and a word
@@ -36,6 +36,7 @@ from rolecall.llm.common import LOWER, NOT_WORD, WHITE, Words, mix, pieces, roll
 WINDOW = 8
 LITERALS = 5
 COVER = 0.5
+RUN = 13
 #: Unit words.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ounce ounces pound pounds ml l liter liters litre litres gallon gallons s sec second seconds minute minutes h hour hours day days week weeks month months year years c f degrees degree percent dollar dollars euro euros cent cents v w kw j kj pa hz".split()
 _BITS = 23
@@ -149,22 +150,27 @@ def _consistent(windows: list[dict], veto: bool) -> list[dict]:
     return [x for x in windows if x["f"] == x["g"] or all(best[f] == g for f, g in zip(x["f"], x["g"], strict=True) if f)]
 
 
+def _longest(at: list[int]) -> int:
+    """The most consecutive numbers among sorted distinct ones."""
+    return max(Counter(x - k for k, x in enumerate(at)).values(), default=0)
+
+
 def _covered(veto: bool):
     """Of the windows of one place: the words of the item that the consistent ones cover, and
-    those that the typed ones of them cover."""
-    kind = pa.struct([("words", pa.list_(pa.int32())), ("typed", pa.list_(pa.int32()))])
+    those that the typed ones of them cover, and the most words in a row."""
+    kind = pa.struct([("words", pa.list_(pa.int32())), ("typed", pa.list_(pa.int32())), ("run", pa.int32())])
 
-    @F.arrow_udf("struct<words:array<int>,typed:array<int>>")
+    @F.arrow_udf("struct<words:array<int>,typed:array<int>,run:int>")
     def covered(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         reach = lambda windows: sorted({x["at"] + k for x in windows for k in range(len(x["f"]))})
         for places in batches:
             kept = [_consistent(windows, veto) for windows in places.to_pylist()]
-            yield pa.array([{"words": reach(windows), "typed": reach([x for x in windows if x["typed"]])} for windows in kept], kind)
+            yield pa.array([{"words": (at := reach(windows)), "typed": reach([x for x in windows if x["typed"]]), "run": _longest(at)} for windows in kept], kind)
 
     return covered
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cover: float = COVER, veto: bool = True) -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", cover: float = COVER, run: int = RUN, veto: bool = True) -> DataFrame:
     """(id, item_id, share, word) of every benchmark item found in a document: the covered share
     of the item and the document's first word of the match."""
     index = item_windows(items, item_id, item_text)
@@ -203,11 +209,11 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text:
     # of one place: at most two windows for each word of the item
     places = met.groupBy("doc", "item", "offset").agg(F.collect_set("window").alias("windows")).select("doc", "item", "offset", _covered(veto)("windows").alias("c")).select("doc", "item", "offset", "c.*").where(F.size("words") > 0)
     covered = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    places = places.groupBy("doc", "item").agg(covered("words").alias("covered"), covered("typed").alias("typed"), F.min(F.col("offset") + F.array_min("words")).alias("word"))
+    places = places.groupBy("doc", "item").agg(covered("words").alias("covered"), covered("typed").alias("typed"), F.max("run").alias("run"), F.min(F.col("offset") + F.array_min("words")).alias("word"))
     end, start = F.col("at") + F.size("slots"), F.when(F.col("typed"), F.col("at"))
     lengths = index.groupBy(F.col("key").alias("item")).agg(F.max(end).alias("length"), (F.max(F.when(F.col("typed"), end)) - F.min(start)).alias("span"))
     share = places.join(lengths, "item").withColumn("share", F.greatest(F.col("covered") / F.col("length"), F.col("typed") / F.col("span")))
-    return share.where(F.col("share") >= cover).select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "share", F.col("word").cast("long").alias("word"))
+    return share.where((F.col("share") >= cover) | (F.col("run") >= run)).select(F.col("doc").alias(id_col), F.col("item").alias("item_id"), "share", F.col("word").cast("long").alias("word"))
 
 
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", **how) -> DataFrame:

@@ -193,6 +193,13 @@ def test_copies_are_found_whatever_their_placeholders_and_case(spark, docs):
     assert found == {(0, 0): 1.0, (1, 0): 1.0, (2, 0): 1.0, (3, 1): 1.0, (4, 1): 1.0, (5, 2): 1.0}
 
 
+def test_a_long_passage_of_a_longer_item_is_found(spark, docs):
+    item = prose(8, 200).split()
+    texts = [prose(4, 30) + " " + " ".join(item[a:b]) + " " + prose(5, 30) for a, b in ((60, 150), (60, 73), (60, 70))]
+    found = leaks(spark, docs, [" ".join(item)], texts)
+    assert set(found) == {(0, 0), (1, 0)} and 0.4 < found[0, 0] < 0.5
+
+
 @pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1, "b": 1000, "c": 3, "d": 7, "e": 11.5}])
 def test_pattern_keeps_less_than_a_block(weights):
     share = mixing.shares(weights, 997)
