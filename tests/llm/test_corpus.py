@@ -226,6 +226,37 @@ def test_phases_use_every_block_once():
     assert {s: list(range(n)) for s, n in blocks.items()} == order
 
 
+@pytest.mark.parametrize("weights", [{"a": 1, "b": 1, "c": 1}, {"a": 0.9, **{f"s{i}": 0.1 / 600 for i in range(600)}}, {"a": 0.7, "b": 0.2, "c": 0.1, "d": 2**0.5}])
+def test_schedule_keeps_less_than_a_block_of_the_exact_weights(weights):
+    total = sum(weights.values())
+    blocks = {s: int(w / total * 20_000) + 40 for s, w in weights.items()}
+    slots = mixing.schedule(blocks, weights)
+    assert sorted(x for s in slots.values() for x in s.tolist()) == list(range(sum(blocks.values())))
+    first = int(min(blocks[s] * total / w for s, w in weights.items()))  # until then no source has run out
+    for s, x in slots.items():
+        x, share = x[x < first].tolist(), weights[s] / total
+        assert x == sorted(x) and len(x) > 2
+        assert all(abs(j - share * t) < 1 + 1e-6 and abs(j + 1 - share * (t + 1)) < 1 + 1e-6 for j, t in enumerate(x))
+
+
+def test_schedule_goes_on_when_sources_run_out():
+    blocks = {"a": 500, "b": 37, "c": 120, "d": 1, "e": 0, "f": 3, "g": 2}
+    slots = mixing.schedule(blocks, {"a": 1.0, "b": 1.0, "c": 2.0, "d": 5.0, "e": 1.0, "f": 0.0, "g": 0.0})
+    assert sorted(x for s in slots.values() for x in s.tolist()) == list(range(663))
+    assert all((x[1:] > x[:-1]).all() for x in slots.values()) and min(*slots["f"], *slots["g"]) == 658
+    with pytest.raises(ValueError):
+        mixing.schedule({"a": 1}, {"a": -1.0})
+
+
+def test_mixing_by_exact_weights(docs, monkeypatch):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
+    rows = [(i, "x" * 400, "abc"[i % 3]) for i in range(600)]
+    got = mixing.mix_sources(docs(rows), dict.fromkeys("abc", 1.0), block_chars=400).collect()
+    want = mixing.schedule(dict.fromkeys("abc", 201), dict.fromkeys("abc", 1.0))
+    assert len(got) == 600 and all(x["mix_slot"] == want[x["source"]][x["mix_block"]] for x in got)
+    assert mixing.mix_sources(docs(rows).limit(0)).count() == 0
+
+
 def test_mixing(docs, monkeypatch):
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 20)
     r = random.Random(4)
