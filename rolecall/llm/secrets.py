@@ -8,8 +8,9 @@ keyword is 24 such digits.
 Base kinds (kept whatever else holds): ``assign``, ``access``, ``hex``. Further kinds must also
 pass the check that their format embeds: ``github`` and ``npm`` (the last six characters are the
 CRC-32 of the rest in base 62), ``jwt`` (the head is base64url JSON that names an algorithm),
-``card`` (a payment number after a card keyword; Luhn digit), ``pem`` (the armoured body is
-base64 of a DER sequence whose length fits).
+``card`` (a payment number after a card keyword; Luhn digit, of the longest group of digits that
+has it and ends where digits end), ``pem`` (the armoured body is base64 of a DER sequence or an
+OpenSSH key whose lengths fit or, under a ``DEK-Info`` line, of whole cipher blocks).
 
 Defined cases: null or empty text has no spans; matches of one kind are leftmost and do not
 overlap, different kinds may; positions are code points, end exclusive; equal starts are ordered
@@ -49,7 +50,7 @@ PATTERNS = {
     "npm": r"npm_([0-9A-Za-z]{30})([0-9A-Za-z]{6})(?![0-9A-Za-z])",
     "jwt": r"(eyJ[A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)",
     "card": r"(?ai:card|visa|mastercard|amex)[^0-9\n]{0,20}([0-9](?:[ -]?[0-9]){12,18})(?![0-9])",
-    "pem": r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----",
+    "pem": r"-----BEGIN ((?:[A-Z]+ )*PRIVATE KEY)-----\s*+((?:[A-Za-z0-9-]+:[^\n]*\n(?:[ \t]+[^\s][^\n]*\n)*)*)([A-Za-z0-9+/=\s]+)-----END \1-----",
 }
 HEX_LEAST = 24
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
@@ -79,11 +80,7 @@ def _jwt(head: str) -> bool:
         return False
 
 
-def _der(body: str) -> bool:
-    try:
-        raw = base64.b64decode("".join(body.split()), validate=True)
-    except (binascii.Error, ValueError):
-        return False
+def _der(raw: bytes) -> bool:
     if len(raw) < 4 or raw[0] != 0x30:
         return False
     if raw[1] < 0x80:
@@ -92,14 +89,56 @@ def _der(body: str) -> bool:
     return len(raw) == int.from_bytes(raw[2 : 2 + size], "big") + 2 + size
 
 
+_OPENSSH = b"openssh-key-v1\0"
+
+
+def _openssh(raw: bytes) -> bool:
+    """Magic, three strings, the number of keys, and a string for each and for the private part."""
+    at, left = len(_OPENSSH), 3
+    counted = False
+    while raw.startswith(_OPENSSH) and at + 4 <= len(raw):
+        size = int.from_bytes(raw[at : at + 4], "big")
+        at += 4
+        if not left and not counted:
+            left, counted = size + 1, True
+            continue
+        at, left = at + size, left - 1
+        if counted and not left:
+            return at == len(raw)
+    return False
+
+
+def _pem(headers: str, body: str) -> bool:
+    try:
+        raw = base64.b64decode("".join(body.split()), validate=True)
+    except (binascii.Error, ValueError):
+        return False
+    if "DEK-Info:" in headers:
+        return len(raw) > 0 and len(raw) % 8 == 0
+    return _der(raw) or _openssh(raw)
+
+
+def _card(m: re.Match) -> int:
+    """Where the longest number with a Luhn digit ends, 0 without one."""
+    for end in range(m.end(1), m.start(1), -1):
+        digits = re.sub(r"[^0-9]", "", m[1][: end - m.start(1)])
+        if len(digits) < 13:
+            return 0
+        whole = end == m.end(1) or not m.string[end].isdecimal()
+        if whole and m.string[end - 1].isdecimal() and luhn(digits):
+            return end
+    return 0
+
+
+#: Whether a match holds, or where it then ends.
 CHECKS = {
     "assign": lambda m: len(m[1]) >= 6,
     "access": lambda m: len(m[0]) >= 20,
     "github": lambda m: crc_digits(m[1]) == m[2],
     "npm": lambda m: crc_digits(m[1]) == m[2],
     "jwt": lambda m: _jwt(m[1]),
-    "card": lambda m: luhn(re.sub(r"\D", "", m[1])),
-    "pem": lambda m: _der(m[2]),
+    "card": _card,
+    "pem": lambda m: _pem(m[2], m[3]),
 }
 
 
@@ -134,7 +173,8 @@ def scan(text: str | None) -> list[tuple[int, int, str]]:
         for start in sorted(starts):
             if start >= free and (m := patterns[kind].match(text, start)):
                 free = m.end()
-                if CHECKS[kind](m):
+                if good := CHECKS[kind](m):
+                    free = free if good is True else good
                     out.append((start, free, kind))
     digits = raw.translate(_HEX)
     at = digits.find(b"x" * HEX_LEAST)

@@ -45,6 +45,23 @@ def test_checked_secrets():
     assert found("-----BEGIN PRIVATE KEY-----\nMAMCAQ==\n-----END PRIVATE KEY-----") == []
 
 
+def test_keys_of_other_formats_and_cards_before_other_digits():
+    import base64
+
+    found = lambda t: [k for _, _, k in secrets.scan(t)]
+    string = lambda b: len(b).to_bytes(4, "big") + b
+    raw = b"openssh-key-v1\0" + string(b"none") * 2 + string(b"") + (1).to_bytes(4, "big") + string(b"public" * 9) + string(b"private" * 20)
+    key = lambda b: f"-----BEGIN OPENSSH PRIVATE KEY-----\n{base64.encodebytes(b).decode()}-----END OPENSSH PRIVATE KEY-----"
+    assert found(key(raw)) == ["pem"] and found(key(raw[:-1])) == [] and found(key(b"x" + raw)) == []
+    old = "-----BEGIN RSA PRIVATE KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n\n{}\n-----END RSA PRIVATE KEY-----"
+    assert found(old.format(base64.b64encode(b"\x91" * 64).decode())) == ["pem"] and found(old.format(base64.b64encode(b"\x91" * 63).decode())) == []
+    assert found(old.replace("DEK-Info: AES-128-CBC,0011", "Comment: x").format("MAMCAQA=")) == ["pem"]
+    text = "card 4111 1111 1111 1111 12/27"
+    assert secrets.scan(text) == [(0, len(text) - 6, "card")]
+    assert found("visa: 4111-1111-1111-1111-123") == ["card"] and found("card 4111 1111 1111 1112 12/27") == []
+    assert found("card 41111111111111111") == []  # 17 digits in one group
+
+
 def test_secret_column(docs):
     df = docs(list(enumerate(SECRETS)), kind=F.lit("clash"), spans=F.lit(1))
     got = {r["doc_id"]: [f"{s['kind']}:{s['start']}:{s['end']}" for s in r["found"]] for r in df.withColumn("found", secrets.secrets("text")).collect()}
