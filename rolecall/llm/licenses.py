@@ -5,8 +5,8 @@ Templates are licence phrases. Their words are looked up in the corpus once to w
 anchor: the heaviest word, with its position. A file's words are hashed in one pass; the few that are
 anchors are looked up, and the postings of the template's other words are intersected by
 position relative to the anchor. Short phrases (``PHRASES``) must agree in every word; longer
-templates (``TEMPLATES``) tolerate single different words, which their mandatory key phrase
-does not.
+templates (``TEMPLATES``) tolerate single different words, which their mandatory key phrases, the
+version among them where the label names one, do not.
 
 Defined cases: words are ``[^\x00-\x2F\x3A-\x60\x7B-\x7F]+`` of the text with A-Z lower-cased; a
 null or empty text has no words; overlapping places all count; a phrase's label is given once per
@@ -33,17 +33,48 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: Opening passages of public licences with label and mandatory key phrase.
+_FREE = "is free software you can redistribute it and or modify it under the terms of the"
+_BY_FSF = "as published by the free software foundation either version"
+#: Licences of the Free Software Foundation: name, version, label.
+_GNU = (
+    ("gnu general public license", "1", "gpl-1"),
+    ("gnu general public license", "2", "gpl-2"),
+    ("gnu general public license", "3", "gpl-3"),
+    ("gnu affero general public license", "3", "agpl-3"),
+    ("gnu library general public license", "2", "lgpl-2"),
+    ("gnu lesser general public license", "2 1", "lgpl-2.1"),
+    ("gnu lesser general public license", "3", "lgpl-3"),
+)
+#: Creative Commons terms and their labels.
+_COMMONS = (
+    ("attribution", "cc-by"),
+    ("attribution sharealike", "cc-by-sa"),
+    ("attribution noderivatives", "cc-by-nd"),
+    ("attribution noncommercial", "cc-by-nc"),
+    ("attribution noncommercial sharealike", "cc-by-nc-sa"),
+    ("attribution noncommercial noderivatives", "cc-by-nc-nd"),
+)
+#: Opening passages of public licences with label and mandatory key phrases.
 TEMPLATES = (
     ("permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "mit", "permission is hereby granted free of charge"),
     ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license", "apache-2", "apache license version 2 0"),
-    ("licensed under the gnu general public license version 3", "gpl-3", "gnu general public license"),
-    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "gpl-3", "gnu general public license"),
+    *((f"licensed under the {name} version {v}", label, name, f"version {v}") for name, v, label in _GNU),
+    *((f"under the terms of the {name} version {v} as published by the free software foundation", label, name, f"version {v} as") for name, v, label in _GNU),
+    *((f"this {what} {_FREE} {name} {_BY_FSF} {v} of the license", label, name, f"version {v} of the license") for name, v, label in _GNU for what in ("program", "library")),
     ("this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lgpl", "gnu lesser general public license"),
     ("redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", "bsd", "redistribution and use in source and binary forms"),
-    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", "mozilla public license"),
-    ("this work is licensed under a creative commons attribution noncommercial 4 0 international license", "cc-by-nc", "creative commons attribution noncommercial"),
-    ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by", "creative commons attribution 4 0"),
+    ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2", "mozilla public license v 2 0"),
+    ("the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license", "mpl-1.1", "mozilla public license version 1 1"),
+    *((f"this work is licensed under a creative commons {terms} {v} license", label, f"creative commons {terms} {v[:3]}") for terms, label in _COMMONS for v in ("4 0 international", "3 0 unported", "2 5 generic", "2 0 generic", "1 0 generic")),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc", "distribute this software for any purpose with or without fee is hereby granted provided that"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided as is", "0bsd", "distribute this software for any purpose with or without fee is hereby granted the software is"),
+    ("has waived all copyright and related or neighboring rights to this work", "cc0", "waived all copyright and related or neighboring rights"),
+    ("creative commons legal code cc0 1 0 universal", "cc0", "cc0 1 0 universal"),
+    ("this is free and unencumbered software released into the public domain", "unlicense", "free and unencumbered software"),
+    ("distributed under the boost software license version 1 0", "bsl-1", "boost software license version 1 0"),
+    ("this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", "zlib", "in no event will the authors be held liable"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license 2 0", "epl-2", "eclipse public license 2 0"),
+    ("this program and the accompanying materials are made available under the terms of the eclipse public license v1 0", "epl-1", "eclipse public license v1 0"),
 )
 #: Least weighted share of a longer template's words that must stand in place.
 COVER = 0.8
@@ -59,7 +90,7 @@ class Template(NamedTuple):
     weight: np.ndarray
     label: str
     base: bool
-    key: tuple[int, int]  # range of the mandatory key phrase
+    key: tuple[tuple[int, int], ...]  # ranges of the mandatory key phrases
     anchor: int  # position of the heaviest word
 
 
@@ -100,11 +131,13 @@ def build_index(n_docs: int, counts: dict[int, int]) -> list[Template]:
         h = _hash(text)
         weight = np.array([math.log((n_docs + 1) / (counts.get(int(x), 0) + 0.5)) for x in h])
         weight = np.maximum(weight, 0.01)
-        phrase = key[0].split() if key else text.split()
         body = text.split()
-        at = next(i for i in range(len(body)) if body[i : i + len(phrase)] == phrase)
-        inside = range(at, at + len(phrase))  # the anchor is a word that must be there
-        out.append(Template(h, weight, label, not key, (at, at + len(phrase)), max(inside, key=lambda i: weight[i])))
+        ranges = []
+        for phrase in (k.split() for k in key or (text,)):
+            at = next(i for i in range(len(body)) if body[i : i + len(phrase)] == phrase)
+            ranges.append((at, at + len(phrase)))
+        inside = [i for a, b in ranges for i in range(a, b)]  # the anchor is a word that must be there
+        out.append(Template(h, weight, label, not key, tuple(ranges), max(inside, key=lambda i: weight[i])))
     return out
 
 
@@ -128,7 +161,7 @@ def find_places(w: Words, index: list[Template]) -> Places:
             place = np.where(ok, place, 0)
             ok &= (w.hash[place] == h) & (w.row[place] == row) if len(w.hash) else False
             cover += ok * weight
-            if t.key[0] <= i < t.key[1]:
+            if any(a <= i < b for a, b in t.key):
                 key_ok &= ok
         cover /= t.weight.sum()
         good = key_ok & (cover >= (COVER if not t.base else 0))

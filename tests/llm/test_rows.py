@@ -108,6 +108,24 @@ def test_licenses(docs):
     assert licenses.scan_licenses(df.limit(0)).count() == 0
 
 
+def test_versions_and_further_licenses(docs):
+    notice = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+    texts = {
+        notice.format("program", "", "2"): "gpl-2",
+        notice.format("program", "", "3"): "gpl-3",
+        notice.format("program", "Affero", "3"): "agpl-3",
+        notice.format("library", "Lesser", "2.1"): "lgpl,lgpl-2.1",
+        "under the terms of the GNU General Public License version 2 as published by the Free Software Foundation": "gpl-2",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.": "isc",
+        "The author has waived all copyright and related or neighboring rights to this work.": "cc0",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.": "cc-by-nc-sa",
+        "This work is licensed under a Creative Commons Attribution-NonCommercial 3.0 Unported License.": "cc-by-nc",
+    }
+    got = {r["text"]: r["licenses"]["labels"] for r in licenses.scan_licenses(docs(list(enumerate(texts)))).collect()}
+    assert got == texts
+
+
 def test_words_across_segments(monkeypatch):
     import pyarrow as pa
 
