@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rolecall.llm import decontaminate, fingerprint, jaccard, licenses, line_dedup, mixing, secrets, substring, tokens, toxicity
+from rolecall.llm import collocations, covertree, decontaminate, fingerprint, jaccard, licenses, line_dedup, mixing, periodic, secrets, substring, tokens, toxicity
 from rolecall.llm.storage import Staging
 
 
@@ -77,6 +77,28 @@ def op10_jaccard_join(spark: SparkSession, folder: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), F.col("_n").alias("n_shingles"), "component_id")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    found = collocations.collocations(documents(spark, folder).select("text", "lang"), Staging(spark, "collocations"))
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder).select("doc_id", periodic.looped("text", "doc_id").alias("text"))
+    found = docs.select("doc_id", periodic.periodic_runs("text").alias("p")).select("doc_id", "p.*")
+    line = lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n"))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.*",
+        F.expr("best.length * 1000L div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{folder}/embeddings.parquet")
+    return covertree.top_k(vectors, Staging(spark, "top_k"), F.col("vec_id") % 50 == 0)
+
+
 _LINES = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
@@ -96,5 +118,44 @@ FROM keyed LEFT JOIN owner o ON length(keyed.key) >= 10 AND o.key = keyed.key
 GROUP BY doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_fingerprints, op4_token_counts, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join)}
-SQL = {"op5_line_dedup": _LINES}
+_PHRASES = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM pieces),
+places AS (
+  SELECT lang, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM split, (SELECT unnest([1, 2, 3, 4, 5]) AS k) WHERE len(w) >= k),
+counts AS (
+  SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase, count(*) AS f FROM places GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE k = 1 GROUP BY lang),
+candidates AS (SELECT lang, k, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE k > 1 AND f >= 100),
+inner_phrases AS (
+  SELECT lang, a, unnest([array_to_string(w[1:k - 1], ' '), array_to_string(w[2:k], ' ')]) AS phrase FROM candidates WHERE k > 2),
+held AS (SELECT lang, phrase, max(a) AS most FROM inner_phrases GROUP BY lang, phrase),
+cuts AS (
+  SELECT c.lang, c.phrase, c.a, n, x.f AS l, y.f AS r, cut, (1000::HUGEINT * c.a * n) // (x.f::HUGEINT * y.f) AS score
+  FROM (SELECT *, unnest(generate_series(1, k - 1)) AS cut FROM candidates) c
+  JOIN total USING (lang)
+  JOIN counts x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:cut], ' ')
+  JOIN counts y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[cut + 1:c.k], ' ')
+  LEFT JOIN held h ON h.lang = c.lang AND h.phrase = c.phrase
+  WHERE h.most IS NULL OR 100 * h.most < 100 * c.a),
+best AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best)
+SELECT lang, rank, phrase, a, l, r, n, score::BIGINT AS score FROM ranked WHERE rank <= 2000
+"""
+
+_NEAREST = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scores AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda x: x[1] * x[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scores)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
+QUERIES = {f.__name__: f for f in (op1_secret_scan, op2_toxicity, op3_fingerprints, op4_token_counts, op5_line_dedup, op6_decontamination, op7_source_mixing, op8_license_scan, op9_substring_dedup, op10_jaccard_join, op11_collocations, op12_periodic_runs, op13_top_k)}
+SQL = {"op5_line_dedup": _LINES, "op11_collocations": _PHRASES, "op13_top_k": _NEAREST}

@@ -14,6 +14,11 @@ def sha(text):
     return hashlib.sha256(text.encode()).hexdigest()
 
 
+def phrase_pieces(text):
+    """Words of each piece between the marks that end a phrase."""
+    return [re.findall("[^\x20\x09]+", x) for x in re.split("[.,;:!?\x0A-\x0D]", (text or "").translate(FOLD))]
+
+
 def op1(text):
     text = text or ""
     spans = []

@@ -24,7 +24,7 @@ def result(spark, name):
 
 
 def test_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(QUERIES) < set(contract.queries())
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14)) and set(QUERIES) < set(contract.queries())
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
