@@ -11,7 +11,8 @@ phrases as words. They are found in three passes:
    counters; what is taken off in all is less than ``least``, so every frequent phrase
    survives, whatever the order of the merges.
 2. **Longer phrases**, the same way, of those alone whose pairs all survived.
-3. **Exact counts** of the survivors, keyed by the phrase itself and added up before the shuffle.
+3. **Exact counts** of the survivors: a task adds them up over all its text and sends packed rows by hash range, where
+   they are totalled by the phrases themselves.
 
 Survivors reach the tasks as bitmaps of fixed size. They let a few others through, and would let all
 through if they were full; pass 3 counts these exactly and drops them, so results do not depend on it.
@@ -21,8 +22,8 @@ phrases alone. Scores are integer divisions of 38-digit decimals.
 
 Defined cases: A-Z are lower-cased; a null text has no words, a null language is ``und``; pieces end at ``[.,;:!?\x0A-\x0D]``
 and texts, words at ``[\x20\x09]``; repeated rows count each time; ties of the score go to the more
-frequent phrase, then in byte order; an empty table gives no rows. Inside one summarised piece of 4 MB, equal
-phrases are told by a 64-bit hash.
+frequent phrase, then in byte order; an empty table gives no rows. Inside one task, equal
+phrases are told by a 64-bit hash; between tasks, by their words.
 """
 
 from __future__ import annotations
@@ -32,6 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,6 +46,8 @@ _BETWEEN = _STOP | separators([(0x09, 0x09), (0x20, 0x20)])
 _SUMMARY = "part int, body int, mass long, keys binary, counts binary"
 _BITS = 26
 _BUCKETS = 256
+#: Distinct phrases that a task counts before it sends them on.
+_TALLY = 1 << 19
 
 
 class Phrases:
@@ -200,29 +204,71 @@ def frequent_phrases(docs: DataFrame, staging: Staging, least: int = 100, longes
     long = bitmap_of(staging.write(survivors(base, longer, parts, least, fan), "long"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tally = Tally(parts)
         for batch in batches:
             for piece in pieces(batch, "_text"):
                 p = Phrases(piece)
-                langs, phrases, size, n = [], [], [], []
                 total = np.diff(p.w.first)
                 for x in sorted(set(p.langs)):
-                    langs.append(x), phrases.append(""), size.append(0)
-                    n.append(int(total[[y == x for y in p.langs]].sum()))
+                    tally.add(np.array([int(p.salt[p.langs.index(x)])], np.uint64), np.array([int(total[[y == x for y in p.langs]].sum())]), [(x, "", 0)].__getitem__)
                 allowed = p.starts(2, short)
                 for k in range(1, longest + 1):
                     at, key = p.of_length(k, allowed if k > 1 else None)
                     hit = marked(key, short if k < 3 else long)
-                    _, where, times = np.unique(key[hit], return_index=True, return_counts=True)
+                    key, where, times = np.unique(key[hit], return_index=True, return_counts=True)
                     at = at[hit][where]
-                    langs += [p.langs[r] for r in p.w.row[at].tolist()]
-                    phrases += [p.text(i, k) for i in at.tolist()]
-                    size += [k] * len(at)
-                    n += times.tolist()
-                yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(phrases, pa.string()), pa.array(size, pa.int32()), pa.array(n, pa.int64())], names=["lang", "phrase", "words", "n"])
-
-    counted = base.mapInArrow(count, "lang string, phrase string, words int, n long")
-    summed_up = counted.groupBy("lang", "phrase", "words").agg(F.sum("n").alias("f"))
-    return staging.write(summed_up.where((F.col("f") >= least) | (F.col("words") == 0)), "counts")
+                    tally.add(key, times, lambda i, at=at, k=k, p=p: (p.langs[p.w.row[at[i]]], p.text(int(at[i]), k), k))
+                if len(tally.names) > _TALLY:
+                    yield from tally.rows()
+        yield from tally.rows()
+
+    def total_up(table: pa.Table) -> pa.Table:
+        flat = pa.table({c: pc.list_flatten(table.column(c)) for c in ("lang", "phrase", "words", "n")})
+        out = flat.group_by(["lang", "phrase", "words"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "f"})
+        return out.filter(pc.or_(pc.greater_equal(out.column("f"), least), pc.equal(out.column("words"), 0)))
+
+    packed = base.mapInArrow(count, "part long, lang array<string>, phrase array<string>, words array<int>, n array<long>")
+    return staging.write(packed.groupBy("part").applyInArrow(total_up, "lang string, phrase string, words int, f long"), "counts")
+
+
+class Tally:
+    """Counts of phrases by key; a phrase is spelt out when it is first met."""
+
+    def __init__(self, parts: int) -> None:
+        self.parts = parts
+        self.clear()
+
+    def clear(self) -> None:
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted keys, and their places in the lists
+        self.names: list[tuple[str, str, int]] = []
+        self.counts = np.zeros(0, np.int64)
+
+    def add(self, keys: np.ndarray, counts: np.ndarray, name: Callable[[int], tuple[str, str, int]]) -> None:
+        """Add counts of distinct keys; ``name(i)`` spells the i-th."""
+        place = np.searchsorted(self.keys, keys)
+        known = np.zeros(len(keys), bool)
+        inside = place < len(self.keys)
+        known[inside] = self.keys[place[inside]] == keys[inside]
+        self.counts[self.at[place[known]]] += counts[known]
+        new = np.flatnonzero(~known)
+        if len(new):
+            at = len(self.names) + np.arange(len(new))
+            self.names += [name(i) for i in new.tolist()]
+            self.counts = np.concatenate([self.counts, counts[new]])
+            merged = np.argsort(np.concatenate([self.keys, keys[new]]), kind="stable")
+            self.keys, self.at = np.concatenate([self.keys, keys[new]])[merged], np.concatenate([self.at, at])[merged]
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """One row for each hash part, and a fresh start."""
+        part = _ranges(self.keys, self.parts)  # ascending, as the keys are
+        at, first = np.unique(part, return_index=True)
+        offsets = pa.array(np.append(first, len(part)), pa.int32())
+        names = [self.names[i] for i in self.at.tolist()]
+        columns = [pa.array([x[c] for x in names], t) for c, t in enumerate((pa.string(), pa.string(), pa.int32()))]
+        columns.append(pa.array(self.counts[self.at], pa.int64()))
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.ListArray.from_arrays(offsets, c) for c in columns]], names=["part", "lang", "phrase", "words", "n"])
+        self.clear()
 
 
 def _first(df: DataFrame, limit: int, *order: Column) -> DataFrame:
