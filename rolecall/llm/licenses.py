@@ -1,10 +1,11 @@
 r"""License scans over a positional index of licence templates.
 
 Templates are licence phrases. Their words are looked up in the corpus once to weigh them
-(inverse document frequency over all documents). The index then holds, for each template, its
-anchor: the heaviest word, with its position. A file's words are hashed in one pass; the few that are
-anchors are looked up, and the postings of the template's other words are intersected by
-position relative to the anchor. Short phrases (``PHRASES``) must agree in every word; longer
+(inverse document frequency over all documents). The index is a sorted array of words with postings (template,
+position in it): of each template it holds the ``LEADS`` heaviest words of the mandatory key phrases, so common words
+have no postings. A batch of files takes one look-up of all its words, whatever the number of templates; the
+postings of a file's heavy licence words are intersected by relative position, and a template is
+compared word by word only where all its leads agree on a start. Short phrases (``PHRASES``) must agree in every word; longer
 templates (``TEMPLATES``) tolerate single different words, which their mandatory key phrases, the
 version among them where the label names one, do not.
 
@@ -78,6 +79,8 @@ TEMPLATES = (
 )
 #: Least weighted share of a longer template's words that must stand in place.
 COVER = 0.8
+#: How many of a template's heaviest mandatory words have postings.
+LEADS = 2
 
 
 def _hash(text: str) -> np.ndarray:
@@ -90,12 +93,22 @@ class Template(NamedTuple):
     weight: np.ndarray
     label: str
     base: bool
-    key: tuple[tuple[int, int], ...]  # ranges of the mandatory key phrases
-    anchor: int  # position of the heaviest word
+    must: np.ndarray  # which words belong to the mandatory key phrases
 
 
-def vocabulary() -> list[str]:
-    return sorted({w for text, *_ in (*PHRASES, *TEMPLATES) for w in text.split()})
+class Index(NamedTuple):
+    """Postings of the leading words: those of ``words[i]`` are ``first[i]`` to ``first[i + 1]``."""
+
+    templates: list[Template]
+    words: np.ndarray
+    first: np.ndarray
+    template: np.ndarray
+    place: np.ndarray
+    leads: np.ndarray  # number of leading words of each template
+
+
+def vocabulary(entries: tuple = (*PHRASES, *TEMPLATES)) -> list[str]:
+    return sorted({w for text, *_ in entries for w in text.split()})
 
 
 def file_words(texts: pa.Array) -> tuple[Words, np.ndarray]:
@@ -125,20 +138,25 @@ def document_counts(docs: DataFrame, text: str) -> tuple[int, dict[int, int]]:
     return found.pop(-1, 0), {int(vocab[k]): n for k, n in found.items()}
 
 
-def build_index(n_docs: int, counts: dict[int, int]) -> list[Template]:
-    out = []
-    for text, label, *key in (*PHRASES, *TEMPLATES):
+def build_index(n_docs: int, counts: dict[int, int], entries: tuple = (*PHRASES, *TEMPLATES)) -> Index:
+    """The index of (text, label, mandatory key phrases ...) entries; one without key phrases is a base phrase."""
+    templates, postings = [], []
+    for k, (text, label, *key) in enumerate(entries):
         h = _hash(text)
         weight = np.array([math.log((n_docs + 1) / (counts.get(int(x), 0) + 0.5)) for x in h])
         weight = np.maximum(weight, 0.01)
-        body = text.split()
-        ranges = []
-        for phrase in (k.split() for k in key or (text,)):
+        body, must = text.split(), np.zeros(len(h), bool)
+        for phrase in (x.split() for x in key or (text,)):
             at = next(i for i in range(len(body)) if body[i : i + len(phrase)] == phrase)
-            ranges.append((at, at + len(phrase)))
-        inside = [i for a, b in ranges for i in range(a, b)]  # the anchor is a word that must be there
-        out.append(Template(h, weight, label, not key, tuple(ranges), max(inside, key=lambda i: weight[i])))
-    return out
+            must[at : at + len(phrase)] = True
+        templates.append(Template(h, weight, label, not key, must))
+        leading = sorted(np.flatnonzero(must).tolist(), key=lambda i: -weight[i])[:LEADS]
+        postings += [(int(h[i]), k, i) for i in leading]
+    postings.sort()
+    word = np.array([x[0] for x in postings], np.uint64)
+    distinct, first = np.unique(word, return_index=True)
+    template, place = (np.array([x[c] for x in postings], np.int64) for c in (1, 2))
+    return Index(templates, distinct, np.append(first, len(word)), template, place, np.bincount(template, minlength=len(templates)))
 
 
 class Places(NamedTuple):
@@ -148,25 +166,35 @@ class Places(NamedTuple):
     cover: np.ndarray
 
 
-def find_places(w: Words, index: list[Template]) -> Places:
-    """All places where a template stands: anchors looked up, other words by relative position."""
-    found: list[tuple[np.ndarray, ...]] = []
-    for k, t in enumerate(index):
-        at = np.flatnonzero(w.hash == t.words[t.anchor])
-        row, first = w.row[at], at - t.anchor
-        cover, key_ok = np.zeros(len(at)), np.ones(len(at), bool)
-        for i, (h, weight) in enumerate(zip(t.words, t.weight, strict=True)):
-            place = first + i
-            ok = (place >= 0) & (place < len(w.hash))
-            place = np.where(ok, place, 0)
-            ok &= (w.hash[place] == h) & (w.row[place] == row) if len(w.hash) else False
-            cover += ok * weight
-            if any(a <= i < b for a, b in t.key):
-                key_ok &= ok
-        cover /= t.weight.sum()
-        good = key_ok & (cover >= (COVER if not t.base else 0))
-        found.append((row[good], first[good], np.full(good.sum(), k), np.minimum(cover[good], 1.0)))
-    return Places(*(np.concatenate(x) for x in zip(*found, strict=True)))
+def candidates(w: Words, index: Index) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, template) wherever all leading words of a template stand in their relative places."""
+    at = np.minimum(np.searchsorted(index.words, w.hash), len(index.words) - 1)
+    hit = np.flatnonzero(index.words[at] == w.hash)
+    word = at[hit]
+    n = index.first[word + 1] - index.first[word]
+    posting = np.repeat(index.first[word], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    row, template = np.repeat(w.row[hit], n).astype(np.int64), index.template[posting]
+    longest = max(len(t.words) for t in index.templates)  # a start may lie before the text's first word
+    start = np.repeat(hit, n) - index.place[posting] + longest
+    span, kinds = len(w.hash) + 2 * longest, len(index.templates)
+    key, agree = np.unique((row * span + start) * kinds + template, return_counts=True)
+    key = key[agree == index.leads[key % kinds]]
+    return key // kinds // span, key // kinds % span - longest, key % kinds
+
+
+def find_places(w: Words, index: Index) -> Places:
+    """All places where a template stands: postings intersected, then the words compared."""
+    row, first, template = candidates(w, index)
+    cover, good = np.zeros(len(row)), np.zeros(len(row), bool)
+    for k in np.unique(template).tolist():
+        t, mine = index.templates[k], np.flatnonzero(template == k)
+        place = first[mine][:, None] + np.arange(len(t.words))
+        inside = (place >= 0) & (place < len(w.hash))
+        place = np.where(inside, place, 0)
+        same = inside & (w.hash[place] == t.words) & (w.row[place] == row[mine][:, None])
+        cover[mine] = same @ t.weight / t.weight.sum()
+        good[mine] = same[:, t.must].all(axis=1) & (cover[mine] >= (0 if t.base else COVER))
+    return Places(row[good], first[good], template[good], np.minimum(cover[good], 1.0))
 
 
 def scan_licenses(docs: DataFrame, text: str = "text", out: str = "licenses") -> DataFrame:
@@ -184,7 +212,7 @@ def scan_licenses(docs: DataFrame, text: str = "text", out: str = "licenses") ->
                 mine = [{"n_words": int(n), "n_base": 0, "first_word": None, "last_word": None, "base_labels": "", "labels": "", "score": 0.0, "places": []} for n in np.diff(w.first)]
                 p = find_places(w, index)
                 for row, first, k, cover in sorted(zip(p.row.tolist(), p.first.tolist(), p.template.tolist(), p.cover.tolist(), strict=True)):
-                    one, t, at = mine[row], index[k], first - int(w.first[row])
+                    one, t, at = mine[row], index.templates[k], first - int(w.first[row])
                     one["places"].append({"label": t.label, "word": at, "share": cover, "base": t.base})
                 for one in mine:
                     if one["places"]:
