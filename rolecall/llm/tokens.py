@@ -77,7 +77,7 @@ def count_batch(texts: list[str | None], path: str, part_chars: int = PART_CHARS
         for part in safe_parts(text, part_chars) if cut else [text]:
             call.append(part)
             owner.append(row)
-            size += len(part)
+            size += len(part) if part.isascii() else len(part.encode())
             if size >= call_bytes:
                 flush()
                 size = 0

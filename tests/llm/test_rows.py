@@ -3,6 +3,7 @@
 import hashlib
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -176,3 +177,31 @@ def test_fingerprints_of_odd_tables(docs):
     one = fingerprint.edited_fingerprints(docs([(4, "a b c d e f g h")])).collect()
     assert len(one) == 1 and one[0]["near_next"] == 1.0
     assert fingerprint.edited_fingerprints(docs([(4, "a"), (4, "a"), (None, "b"), (9, None)])).count() == 4
+
+
+def test_license_index_takes_one_look_up_for_many_templates():
+    """Two thousand templates: candidates come from the postings alone, and every planted template is found."""
+    import random
+
+    from rolecall.llm.licenses import build_index, candidates, file_words, find_places
+
+    r = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(3000)]
+    entries = tuple((" ".join(r.sample(vocabulary, 12)), f"t{k}") for k in range(2000))
+    counts = {int(h): r.randrange(1, 500) for h in set(file_words(pa.array([" ".join(vocabulary)]))[0].hash.tolist())}
+    index = build_index(1000, counts, entries)
+    planted = {i: r.randrange(2000) for i in range(0, 300, 3)}
+    texts = [" ".join(r.choices(vocabulary, k=40)) + (f" {entries[planted[i]][0]} " if i in planted else " ") + " ".join(r.choices(vocabulary, k=5)) for i in range(300)]
+    w, _ = file_words(pa.array(texts))
+    found = find_places(w, index)
+    assert dict(zip(found.row.tolist(), found.template.tolist(), strict=True)) == planted
+    assert len(candidates(w, index)[0]) < 2 * len(planted) and len(index.template) == 2 * 2000
+
+
+def test_calls_are_balanced_by_bytes(monkeypatch):
+    from rolecall.llm import tokens
+
+    calls = []
+    monkeypatch.setattr(tokens, "_encoder", lambda path: (lambda texts: [calls.append([t for t in texts])] and [1] * len(texts), False))
+    tokens.count_batch(["漢" * 100] * 20, "x", call_bytes=600)
+    assert [len(c) for c in calls] == [2] * 10
