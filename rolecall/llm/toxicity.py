@@ -1,19 +1,21 @@
 r"""Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, on toxic and on ordinary text. A window of words is
-compressed twice: with the ordinary dictionary, and with the ordinary one that the toxic one
-follows (padding of equal length stands in its place in the first case, so that both see the
-ordinary part at equal distances). The gap of the two lengths is what toxic text alone explains.
-The toxic dictionary is trained on contrast: words of toxic samples that hold a byte n-gram far more
-common in toxic than in ordinary samples, as most of a toxic text is ordinary. The gaps of a
+Two zstandard dictionaries are trained, on windows of toxic and of ordinary text. A window of words is
+compressed twice: with the ordinary dictionary, and with the toxic one in front of the ordinary one
+(padding of equal length stands in its place in the first case). The ordinary part lies nearer to the window in
+both cases, so the far toxic part is used only for what the ordinary part does not explain as well, and the
+gap of the two lengths is what toxic text alone explains. As most of a toxic document is ordinary, the toxic dictionary is
+trained on contrast: on those windows of ``TOXIC_WINDOW`` words, whole, that hold a byte n-gram far more
+common in toxic than in ordinary samples. The gaps of a
 document's windows are summed up in a few numbers, which a logistic curve turns into a score; it is
 calibrated on documents that the dictionaries have not seen (two halves of the sample in turn,
 weighted to the share of toxic documents among all labels), and shifted so that 0.7 is the
 threshold with the best F1 there. The dictionaries in use are then trained on the whole sample.
 
-The model is fitted in one place on a bounded sample: at most ``TOXIC_DOCS`` and ``ORDINARY_DOCS``,
-taken by hash order of their ids from the labelled rows allowed. Everything else runs on the
-executors over all windows of all texts. Ids, languages and sources are never inputs of a score.
+The model is fitted on a bounded sample: at most ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` documents,
+taken by hash order of their ids from the labelled rows allowed, and of these at most ``ORDINARY_WINDOWS`` ordinary
+windows train the ordinary dictionary. Its three parts (two halves, the whole) are fitted by a task each. Everything else
+runs over all windows of all texts. Ids, languages and sources are never inputs of a score.
 
 Defined cases: a document with several labels is toxic if one of them is 1; labels without a
 document, or null, are not used; a null, empty or wordless text has no window and gets the score of no
@@ -22,23 +24,25 @@ evidence; without a toxic or an ordinary sample every score is 0. Words are runs
 
 from __future__ import annotations
 
+import pickle
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rolecall.llm.common import mix
 
 TOXIC_DOCS, ORDINARY_DOCS = 1_500, 3_500
-TOXIC_BYTES, ORDINARY_BYTES = 3_000, 112_000
-WINDOW = 20
+ORDINARY_WINDOWS = 60_000
+TOXIC_BYTES, ORDINARY_BYTES = 6_000, 112_000
+WINDOW, TOXIC_WINDOW = 20, 4
 LEVEL = 12
 GRAM = 6
 THRESHOLD = 0.7
@@ -58,9 +62,9 @@ def word_list(text: str | None) -> list[str]:
     return [w for w in _SPLIT.split((text or "").translate(_FOLD)) if w]
 
 
-def windows(text: str | None) -> list[bytes]:
+def windows(text: str | None, size: int = WINDOW) -> list[bytes]:
     w = word_list(text)
-    return [f" {' '.join(w[i : i + WINDOW])} ".encode() for i in range(0, len(w), WINDOW)]
+    return [f" {' '.join(w[i : i + size])} ".encode() for i in range(0, len(w), size)]
 
 
 def _grams(text: bytes) -> np.ndarray:
@@ -84,17 +88,6 @@ def _document_counts(texts: list[str]) -> np.ndarray:
     return count
 
 
-def _telling_words(text: str, marked: np.ndarray) -> list[bytes]:
-    """Words, with a space at both ends, that hold a marked n-gram."""
-    b = _joined(text)
-    seen = np.concatenate([[0], np.cumsum(marked[_grams(b)])])
-    space = np.flatnonzero(np.frombuffer(b, np.uint8) == 32)
-    start, end = space[:-1], space[1:] + 1
-    last = np.clip(end - GRAM + 1, 0, len(seen) - 1)
-    hit = (end - start >= GRAM) & (seen[last] > seen[np.minimum(start, len(seen) - 1)])
-    return [b[s:e] for s, e in zip(start[hit].tolist(), end[hit].tolist(), strict=True)]
-
-
 def _train(size: int, samples: list[bytes], k: int, d: int) -> bytes:
     """The last ``size`` bytes of a trained dictionary: its best segments stand at the end."""
     try:
@@ -107,12 +100,10 @@ def dictionaries(toxic: list[str], ordinary: list[str]) -> tuple[bytes, bytes]:
     in_toxic, in_ordinary = _document_counts(toxic), _document_counts(ordinary)
     least = max(min(4, 1 + len(toxic) // 20), round(0.01 * len(toxic)))
     marked = (in_toxic >= least) & (in_toxic * len(ordinary) >= 6.0 * len(toxic) * (in_ordinary + 1))
-    telling = [w for t in toxic for w in _telling_words(t, marked)]
-    samples = [b"".join(telling[i : i + 6]) for i in range(0, len(telling), 6)]
-    chosen = random.Random(7)
+    telling = [w for t in toxic for w in windows(t, TOXIC_WINDOW) if marked[_grams(w)].any()]
     plain = [w for t in ordinary for w in windows(t)]
-    plain = chosen.sample(plain, min(len(plain), 60_000))
-    return _train(ORDINARY_BYTES, plain, 48, 8), _train(TOXIC_BYTES, samples, 16, 6)
+    plain = random.Random(7).sample(plain, min(len(plain), ORDINARY_WINDOWS))
+    return _train(ORDINARY_BYTES, plain, 48, 8), _train(TOXIC_BYTES, telling, 24, 6)
 
 
 @lru_cache(maxsize=2)
@@ -122,7 +113,7 @@ def _compressors(ordinary: bytes, toxic: bytes):
         d.precompute_compress(level=LEVEL)
         return zstandard.ZstdCompressor(level=LEVEL, dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False)
 
-    return build(ordinary + bytes([1]) * len(toxic)), build(ordinary + toxic)
+    return build(bytes([1]) * len(toxic) + ordinary), build(toxic + ordinary)
 
 
 def features(text: str | None, ordinary: bytes, toxic: bytes) -> list[float]:
@@ -154,24 +145,33 @@ def calibrate(rows: np.ndarray, toxic: np.ndarray, weight: np.ndarray) -> tuple[
     return tuple(float(v) for v in flat), float(cut)
 
 
-def fit(sample: list[tuple[str, int]], share: float) -> Model | None:
-    """Fit on (text, label); ``share`` is the share of toxic documents to calibrate for."""
+class Fitted(NamedTuple):
+    ordinary: bytes
+    toxic: bytes
+    rows: list[list[float]]  # features of the other half, and their labels
+    labels: list[int]
+
+
+def fit(sample: list[tuple[str, int]], share: float, each: Callable[[Callable[[int], Fitted], Iterable[int]], Iterable[Fitted]] = map) -> Model | None:
+    """Fit on (text, label); ``share`` is the share of toxic documents to calibrate for. ``each`` runs the three parts."""
     label: dict[str, int] = {}
     for t, y in sample:
         label[t] = max(y, label.get(t, 0))
     by = [[t for t, y in label.items() if y == k] for k in (0, 1)]
     if len(by[0]) < 2 or len(by[1]) < 2:
         return None
-    rows, toxic = [], []
-    for half in (0, 1):
-        o, t = dictionaries(by[1][1 - half :: 2], by[0][1 - half :: 2])
-        for y in (0, 1):
-            rows += [features(x, o, t) for x in by[y][half::2]]
-            toxic += [y] * len(by[y][half::2])
-    y = np.array(toxic, float)
+
+    def part(k: int) -> Fitted:
+        if k == 2:
+            return Fitted(*dictionaries(by[1], by[0]), [], [])
+        o, t = dictionaries(by[1][1 - k :: 2], by[0][1 - k :: 2])
+        rows = [(features(x, o, t), y) for y in (0, 1) for x in by[y][k::2]]
+        return Fitted(o, t, [x for x, _ in rows], [y for _, y in rows])
+
+    *halves, whole = each(part, range(3))
+    y = np.array(halves[0].labels + halves[1].labels, float)
     weight = np.where(y == 1, share / y.mean(), (1 - share) / (1 - y.mean()))
-    o, t = dictionaries(by[1], by[0])
-    return Model(o, t, *calibrate(np.array(rows), y, weight))
+    return Model(whole.ordinary, whole.toxic, *calibrate(np.array(halves[0].rows + halves[1].rows), y, weight))
 
 
 def score_of(text: str | None, m: Model) -> float:
@@ -191,7 +191,24 @@ def fit_model(docs: DataFrame, labels: DataFrame, allowed: Column, id_col: str =
     chosen = first(1, TOXIC_DOCS).unionByName(first(0, ORDINARY_DOCS))
     taken = docs.select(id_col, text).join(F.broadcast(chosen), F.col(id_col) == F.col("_key")).where(F.col(text).isNotNull())
     rows = sorted((r["_h"], r[text], r["_y"]) for r in taken.select("_h", text, "_y").collect())
-    return fit([(t, y) for _, t, y in rows], share)
+    return fit([(t, y) for _, t, y in rows], share, _in_tasks(docs.sparkSession))
+
+
+def _in_tasks(spark: SparkSession):
+    """``map`` over a few numbers, one task for each."""
+
+    def each(function: Callable[[int], Fitted], numbers: Iterable[int]) -> list[Fitted]:
+        numbers = list(numbers)
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for k in batch.column("id").to_pylist():
+                    yield pa.RecordBatch.from_pydict({"k": pa.array([k], pa.int64()), "out": pa.array([pickle.dumps(tuple(function(k)))], pa.binary())})
+
+        done = spark.range(0, len(numbers), 1, len(numbers)).mapInArrow(work, "k long, out binary").collect()
+        return [Fitted(*pickle.loads(r["out"])) for r in sorted(done, key=lambda r: r["k"])]
+
+    return each
 
 
 def toxicity(text: Column | str, model: Model | None) -> Column:
