@@ -213,3 +213,49 @@ scored AS (SELECT *, {FAIL_ANY} AS reject_reason,
   CASE WHEN employment_level = 'UNKNOWN' THEN 'Employment type not listed' END,
   CASE WHEN salary_max IS NULL THEN 'Salary unavailable' END) AS warnings
  FROM leveled)"""
+
+
+def replay(rows: str) -> str:
+    """``folded``: the sequential rule, one row after another. ``rows`` names a table (ord, job_new, source, sid,
+    url, raw, hash) in order of ``ord``; a row that starts a record gives it the id ``job_new``.
+
+    Rows without a common key, direct or by way of others, never look at one another, so each such set (``part``)
+    is folded by itself: a recursion whose state is the list of its records and the list of its references.
+    """
+    empty_jobs = "[]::STRUCT(job BIGINT, source VARCHAR, sid VARCHAR, url VARCHAR, hash VARCHAR, tier INTEGER)[]"
+    empty_refs = "[]::STRUCT(job BIGINT, source VARCHAR, sid VARCHAR, raw VARCHAR)[]"
+    first = lambda table, test: f"list_filter({table}, lambda x: {test})[1].job"
+    least = lambda table, test: f"list_min(list_transform(list_filter({table}, lambda x: {test}), lambda x: x.job))"
+    return f"""
+keys AS (SELECT ord, concat('i', source, chr(1), sid) AS key FROM {rows} WHERE sid IS NOT NULL
+ UNION SELECT ord, 'u' || url FROM {rows} WHERE url IS NOT NULL UNION SELECT ord, 'u' || raw FROM {rows} WHERE raw IS NOT NULL
+ UNION SELECT ord, 'h' || hash FROM {rows}),
+star AS (SELECT k.ord, m.hub FROM keys k JOIN (SELECT key, min(ord) AS hub FROM keys GROUP BY key) m USING (key)),
+edges AS MATERIALIZED (SELECT ord AS a, hub AS b FROM star UNION SELECT hub, ord FROM star),
+reach AS (SELECT ord, ord AS other FROM {rows} UNION SELECT r.ord, e.b FROM reach r JOIN edges e ON e.a = r.other),
+parts AS (SELECT ord, min(other) AS part FROM reach GROUP BY ord),
+queue AS MATERIALIZED (SELECT r.*, {tier('source')} AS tier, part, row_number() OVER (PARTITION BY part ORDER BY r.ord) AS i
+ FROM {rows} r JOIN parts p ON p.ord = r.ord),
+fold AS (
+ SELECT DISTINCT part, 0::BIGINT AS i, {empty_jobs} AS jobs, {empty_refs} AS refs,
+  NULL::BIGINT AS ord, NULL::BIGINT AS job, NULL::BOOLEAN AS is_new, NULL::BOOLEAN AS promoted FROM queue
+ UNION ALL
+ SELECT part, i,
+  CASE WHEN is_new THEN list_append(jobs, struct_pack(job := job, source := source, sid := sid, url := url, hash := hash, tier := tier))
+   WHEN promoted THEN list_transform(jobs, lambda x: CASE WHEN x.job = job
+    THEN struct_pack(job := x.job, source := source, sid := sid, url := coalesce(url, raw), hash := x.hash, tier := tier) ELSE x END)
+   ELSE jobs END,
+  CASE WHEN len(list_filter(refs, lambda x: x.job = job AND x.source = source AND x.sid = coalesce(sid, ''))) = 0
+   THEN list_append(refs, struct_pack(job := job, source := source, sid := coalesce(sid, ''), raw := raw))
+   WHEN raw IS NOT NULL THEN list_transform(refs, lambda x: CASE WHEN x.job = job AND x.source = source AND x.sid = coalesce(sid, '')
+    THEN struct_pack(job := x.job, source := x.source, sid := x.sid, raw := raw) ELSE x END)
+   ELSE refs END,
+  ord, job, is_new, promoted
+ FROM (SELECT *, coalesce(hit, job_new) AS job, hit IS NULL AS is_new,
+   coalesce(tier < list_filter(jobs, lambda x: x.job = hit)[1].tier, FALSE) AS promoted
+  FROM (SELECT q.part, q.i, q.ord, q.job_new, q.source, q.sid, q.url, q.raw, q.hash, q.tier, f.jobs, f.refs, coalesce(
+    CASE WHEN q.sid IS NOT NULL THEN coalesce({least('f.refs', 'x.source = q.source AND x.sid = q.sid')}, {least('f.jobs', 'x.source = q.source AND x.sid = q.sid')}) END,
+    CASE WHEN q.url IS NOT NULL THEN coalesce({least('f.jobs', 'x.url = q.url')}, {first('f.refs', 'x.raw = q.url')}) END,
+    {least('f.jobs', 'x.hash = q.hash')}) AS hit
+   FROM fold f JOIN queue q ON q.part = f.part AND q.i = f.i + 1))),
+folded AS (SELECT ord, job, is_new, promoted FROM fold WHERE i > 0)"""
