@@ -135,17 +135,19 @@ def has_keyword(low_text: Column, keyword: str) -> Column:
     return F.contains(low_text, F.lit(word)) & low_text.rlike(pattern)
 
 
-def with_skills(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
+def with_skills(postings: DataFrame, cfg: SearchConfig, where: Column | None = None) -> DataFrame:
     """Add which wanted skills a record names, in its list or its description.
 
     ``skills_found``, ``skills_missing`` and ``preferred_found`` keep the configured order;
     ``has_skill_data`` is false for a record with neither. The folded text and each skill's
-    test are columns of their own, so that a long text is folded and searched once.
+    test are columns of their own, so that a long text is folded and searched once. Only texts of rows
+    that meet ``where`` are folded and searched; the other rows go by their skill list alone.
     """
     wanted = list(dict.fromkeys((*cfg.skills, *cfg.preferred_skills)))
     flag = {skill: f"_has_{i}" for i, skill in enumerate(wanted)}
+    body = folded(F.col("description"))
     folded_rows = postings.withColumns(
-        {"_body": folded(F.col("description")), "_listed": F.transform("skills", lambda s: F.lower(s))}
+        {"_body": body if where is None else F.when(where, body).otherwise(""), "_listed": F.transform("skills", lambda s: F.lower(s))}
     )
 
     def present(skill: str) -> Column:
@@ -155,7 +157,7 @@ def with_skills(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
     tested = folded_rows.withColumns(
         {
             **{flag[s]: present(s) for s in wanted},
-            "has_skill_data": (F.coalesce(F.size("skills"), F.lit(0)) > 0) | (F.col("_body") != ""),
+            "has_skill_data": (F.coalesce(F.size("skills"), F.lit(0)) > 0) | (F.coalesce("description", F.lit("")) != ""),
         }
     )
     return tested.withColumns(
@@ -177,11 +179,10 @@ def excluded_hit(title: Column, description: Column, cfg: SearchConfig) -> Colum
     )
 
 
-def with_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Add each match level once; the filter and the score both read them."""
+def _with_cheap_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
     col = F.col
     role_level, role = title_level(col("title"), cfg.roles)
-    return with_skills(postings, cfg).withColumns(
+    return postings.withColumns(
         {
             "title_level": role_level,
             "role": role,
@@ -196,15 +197,22 @@ def with_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
     )
 
 
-def ordered_filter(leveled: DataFrame, cfg: SearchConfig) -> DataFrame:
-    """Add ``accepted``, ``reject_reason`` (the first failed test) and ``notes``.
+def with_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Add each match level once; the filter and the score both read them."""
+    return with_skills(_with_cheap_levels(postings, cfg), cfg)
 
-    Order: target, excluded word, role, location, experience, employment, skills. Unknown
-    data never rejects, except for skills in ``all`` mode.
-    """
-    col, lit = F.col, F.lit
-    say = F.concat
-    n_found = F.size("skills_found")
+
+def judge(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """:func:`ordered_filter` over :func:`with_levels`, stopping at the first failed test: the long texts of
+    rows that a test before the skills rejects are not searched, and their skill columns tell nothing."""
+    cheap = _with_cheap_levels(postings, cfg)
+    cheap = cheap.withColumn("_alive", _first(*_early_failures(cfg)).isNull())
+    return ordered_filter(with_skills(cheap, cfg, F.col("_alive")).drop("_alive"), cfg)
+
+
+def _early_failures(cfg: SearchConfig) -> list[Column]:
+    """Reason of each failed test before the skills, in order."""
+    col, lit, say = F.col, F.lit, F.concat
     bounds = f"{cfg.experience_min}-{cfg.experience_max} yrs"
     failures: list[Column] = []
     if cfg.require_target_company:
@@ -214,7 +222,7 @@ def ordered_filter(leveled: DataFrame, cfg: SearchConfig) -> DataFrame:
         failures.append(
             F.when(col("title_level") == NONE, say(lit("No role match for '"), col("title"), lit("'")))
         )
-    failures += [
+    return failures + [
         F.when(
             col("location_level") == NONE,
             say(lit("Location not in list: "), F.coalesce("location", lit("unknown"))),
@@ -228,6 +236,18 @@ def ordered_filter(leveled: DataFrame, cfg: SearchConfig) -> DataFrame:
             say(lit("Employment type not wanted: "), col("employment_type")),
         ),
     ]
+
+
+def ordered_filter(leveled: DataFrame, cfg: SearchConfig) -> DataFrame:
+    """Add ``accepted``, ``reject_reason`` (the first failed test) and ``notes``.
+
+    Order: target, excluded word, role, location, experience, employment, skills. Unknown
+    data never rejects, except for skills in ``all`` mode.
+    """
+    col, lit = F.col, F.lit
+    say = F.concat
+    n_found = F.size("skills_found")
+    failures = _early_failures(cfg)
     short = n_found < cfg.min_skill_matches
     if cfg.skills and cfg.skill_match_mode == "all":
         failures.append(

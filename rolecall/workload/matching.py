@@ -130,7 +130,7 @@ def excluded_keyword(t: Tables) -> DataFrame:
 SELECT seq, reject_reason IS NULL AS accepted, reject_reason, coalesce(reject_reason, kept) AS notes FROM f""",
 )
 def ordered_filter(t: Tables) -> DataFrame:
-    return pred.ordered_filter(leveled(t), CONFIG).select(
+    return pred.judge(matched(t), CONFIG).select(
         "seq", "accepted", "reject_reason", F.array_join("notes", MANY).alias("notes")
     )
 
@@ -143,7 +143,7 @@ _ALL = dataclasses.replace(CONFIG, skill_match_mode="all")
     f"""WITH {q.LEVELED} SELECT reject_reason, count(*) AS n FROM (SELECT {q.FAIL_ALL} AS reject_reason FROM leveled) GROUP BY 1""",
 )
 def ordered_filter_all_skills(t: Tables) -> DataFrame:
-    judged = pred.ordered_filter(pred.with_levels(matched(t), _ALL), _ALL)
+    judged = pred.judge(matched(t), _ALL)
     return judged.groupBy("reject_reason").agg(F.count("*").alias("n"))
 
 
@@ -189,7 +189,7 @@ def score_policies(t: Tables) -> DataFrame:
     f"""WITH {q.SCORED} SELECT seq, CASE WHEN reject_reason IS NULL THEN match_score END AS match_score FROM scored""",
 )
 def score_accepted(t: Tables) -> DataFrame:
-    judged = pred.ordered_filter(leveled(t), CONFIG)
+    judged = pred.judge(matched(t), CONFIG)
     return with_score(judged, CONFIG, only_accepted=True).select("seq", "match_score")
 
 
@@ -288,7 +288,7 @@ SELECT count(*) AS jobs_found, count(*) FILTER (is_new) AS new_jobs, count(*) FI
 def counters(t: Tables) -> DataFrame:
     """Counters with identity taken from the content hash alone."""
     judged = stage(
-        with_score(pred.ordered_filter(leveled(t), CONFIG), CONFIG, only_accepted=True).select(
+        with_score(pred.judge(matched(t), CONFIG), CONFIG, only_accepted=True).select(
             "seq", "content_hash", "accepted", "match_score", "posted_date"
         ),
         "judged",

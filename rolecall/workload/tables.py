@@ -156,6 +156,10 @@ class Tables:
 
     def sql(self, text: str) -> DataFrame:
         used = {t: getattr(self, t) for t in TABLES if "{" + t + "}" in text}
+        if text is POSTINGS:
+            # all joins of the view may be broadcast; dealing the narrow side spreads the work on the joined texts
+            tasks = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            used["orders"] = used["orders"].repartition(tasks, "o_orderkey")
         return self.spark.sql(text, **used)
 
 
