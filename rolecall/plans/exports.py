@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import json
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rolecall.config import SearchConfig
 from rolecall.functions.text import blank_to_null, experience_label
 from rolecall.operators.match import best_links, with_priority
 from rolecall.operators.predicates import is_high_match, listed
-from rolecall.operators.rank import latest_errors, rank_order
+from rolecall.operators.rank import latest_errors, numbered, rank_order
 from rolecall.plans.reports import discovery_listing, entity_listing, source_listing
 
+# The display columns and their order.
 COLUMNS = (
     "Company", "Priority", "Job Title", "Location", "Remote", "Experience", "Match Score",
     "Match Reasons", "Posted Date", "First Seen", "Source", "ATS", "Canonical URL",
@@ -26,10 +31,10 @@ def records(content: DataFrame, tracking: DataFrame) -> DataFrame:
     return content.drop("content_hash", "first_seen").join(tracking, "job_id")
 
 
-def export_rows(records: DataFrame) -> DataFrame:
-    """The fifteen display columns.
+def export_rows(records: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """The fifteen display columns, after the columns to ``keep``.
 
-    Expects record columns with ``priority`` and ``application_url``; keeps nothing else.
+    Expects record columns with ``priority`` and ``application_url``.
     """
     text = lambda c, default="": F.coalesce(blank_to_null(F.col(c)), F.lit(default))
     mode = F.lit("Unknown")
@@ -57,24 +62,23 @@ def export_rows(records: DataFrame) -> DataFrame:
         text("application_url"),
         F.concat("status", F.when(F.col("is_fixture"), " [FIXTURE]").otherwise("")),
     )
-    return records.select(*[v.alias(name) for v, name in zip(values, COLUMNS, strict=True)])
+    return records.select(*keep, *[v.alias(name) for v, name in zip(values, COLUMNS, strict=True)])
 
 
-def export_views(
+def ranked_views(
     content: DataFrame, tracking: DataFrame, refs: DataFrame, entities: DataFrame, sources: DataFrame,
     errors: DataFrame, discovery: DataFrame, cfg: SearchConfig, error_limit: int | None = None,
 ) -> dict[str, DataFrame]:
-    """The seven views, each in its own order.
+    """The seven views. Those of records carry ``rank``, their place among all active records, which are
+    joined, numbered and staged once for all three.
 
     The application link is the best one over all references of a record.
     """
     active = listed(tracking, active_only=True)
     links = best_links(active.select("job_id", "source", "source_url", "canonical_url"), refs)
     rows = with_priority(records(content, active).join(links, "job_id"), entities, default="")
-
-    def view(part: DataFrame) -> DataFrame:
-        return export_rows(part.orderBy(*rank_order()))
-
+    rows = numbered(rows, rank_order())
+    view = lambda part: export_rows(part, keep=("rank",))
     return {
         "new_jobs": view(rows.where(F.col("status") == "NEW")),
         "high_match": view(rows.where(is_high_match(cfg))),
@@ -86,6 +90,15 @@ def export_views(
     }
 
 
+def export_views(
+    content: DataFrame, tracking: DataFrame, refs: DataFrame, entities: DataFrame, sources: DataFrame,
+    errors: DataFrame, discovery: DataFrame, cfg: SearchConfig, error_limit: int | None = None,
+) -> dict[str, DataFrame]:
+    """The seven views, each in its own order."""
+    views = ranked_views(content, tracking, refs, entities, sources, errors, discovery, cfg, error_limit)
+    return {name: v.orderBy("rank").drop("rank") if "rank" in v.columns else v for name, v in views.items()}
+
+
 def write_views(views: dict[str, DataFrame], root: str, fmt: str = "parquet", one_file: bool = False) -> list[str]:
     """Write each view to its own folder; file order follows the view's order.
 
@@ -98,3 +111,59 @@ def write_views(views: dict[str, DataFrame], root: str, fmt: str = "parquet", on
         out.write.mode("overwrite").options(**({"header": "true"} if fmt == "csv" else {})).format(fmt).save(path)
         paths.append(path)
     return paths
+
+
+CSV = {"header": "true", "multiLine": "true", "escape": '"'}
+
+
+@dataclass(frozen=True)
+class Part:
+    """One file of an ordered export: its name, the place of its first row, its number of rows."""
+
+    file: str
+    first: int
+    rows: int
+
+
+def write_in_order(rows: DataFrame, order: list[Column], root: str) -> list[Part]:
+    """``rows`` as CSV files that are in order one after the other, and ``_manifest.json``, which names them in
+    that order with the place of each one's first row. No task holds more than its range of rows."""
+    spark = rows.sparkSession
+    rows.orderBy(*order).write.mode("overwrite").options(**CSV).csv(root)
+    found = spark.read.options(**CSV).schema(rows.schema).csv(root).groupBy(F.col("_metadata.file_name").alias("f")).agg(F.count("*").alias("n"))
+    parts, at = [], 1
+    for name, n in sorted((tuple(r) for r in found.collect()), key=lambda p: int(p[0].split("-")[1])):  # part-<range>-…
+        parts.append(Part(name, at, n))
+        at += n
+    fs, path = _manifest(spark, root)
+    out = fs.create(path, True)
+    try:
+        out.write(bytearray(json.dumps([p.__dict__ for p in parts]).encode()))
+    finally:
+        out.close()
+    return parts
+
+
+def _manifest(spark: SparkSession, root: str):
+    """File system and path of the manifest; its leading underscore hides it from readers of the rows."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/_manifest.json")
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path
+
+
+def read_manifest(spark: SparkSession, root: str) -> list[Part]:
+    fs, path = _manifest(spark, root)
+    stream = fs.open(path)
+    try:
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+    return [Part(**p) for p in json.loads(text)]
+
+
+def read_in_order(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The rows of an ordered export with their place ``rank``; each file is numbered by itself."""
+    first = spark.createDataFrame([(p.file, p.first) for p in read_manifest(spark, root)], "_file string, _first long")
+    rows = spark.read.options(**CSV).schema(schema).csv(root)
+    rows = rows.select("*", F.col("_metadata.file_name").alias("_file"), F.monotonically_increasing_id().alias("_at"))
+    place = F.row_number().over(Window.partitionBy("_file").orderBy("_at"))
+    return rows.withColumn("_place", place).join(first, "_file").select(*schema.names, (F.col("_first") + F.col("_place") - 1).alias("rank"))

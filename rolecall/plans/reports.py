@@ -35,6 +35,20 @@ def status_report(
     return metric_rows(totals, totals.columns).unionByName(by_status)
 
 
+def status_lines(sources: DataFrame, runs: DataFrame) -> DataFrame:
+    """Source rows and the last finished run of the status report: ``(line, status, jobs_found, at)``."""
+    off = F.when(~F.coalesce("enabled", F.lit(False)), " (off in config)").otherwise("")
+    rows = sources.select(
+        F.col("source").alias("line"), F.concat(F.coalesce("status", F.lit("")), off).alias("status"),
+        F.coalesce("jobs_found", F.lit(0).cast("long")).alias("jobs_found"), F.col("last_run_at").alias("at"),
+    )
+    last = last_finished_run(runs).select(
+        F.concat(F.lit("run #"), F.col("run_id").cast("string")).alias("line"), "status",
+        F.col("counters.jobs_found").alias("jobs_found"), F.col("started_at").alias("at"),
+    )
+    return rows.unionByName(last)
+
+
 def source_listing(sources: DataFrame) -> DataFrame:
     return sources.orderBy("source")
 

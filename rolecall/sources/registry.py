@@ -71,6 +71,30 @@ def select_sources(
     return runnable, missing
 
 
+def choose_sources(
+    configured: DataFrame, installed: DataFrame, listed: DataFrame | None = None, mode: str = "both"
+) -> DataFrame:
+    """:func:`select_sources` for a table of sources: ``configured`` (source, enabled) with ``outcome`` RUN,
+    OTHER_MODE or NOT_AVAILABLE for each asked-for one. ``installed`` has (source, mode); ``listed`` (source) asks
+    for exactly these, switched on or not."""
+    asked = configured.where("enabled") if listed is None else configured.join(listed.select("source").distinct(), "source", "left_semi")
+    fits = F.lit(True) if mode == "both" else F.col("mode") == mode
+    outcome = F.when(F.col("mode").isNull(), "NOT_AVAILABLE").when(fits, "RUN").otherwise("OTHER_MODE")
+    return asked.join(installed.select("source", "mode"), "source", "left").select("source", outcome.alias("outcome"))
+
+
+def entity_results(rows: DataFrame, entities: DataFrame, source: str) -> DataFrame:
+    """Fetch results of a company-by-company source that returned ``rows``: one for each entity asked for, with
+    its rows; rows of no such entity count under a null company."""
+    hint = F.coalesce(F.nullif(F.col("company_hint"), F.lit("")), F.col("company_name"))
+    counts = rows.groupBy(hint.alias("name")).agg(F.count("*").alias("n_jobs"))
+    asked = entities.select("name").distinct()
+    known = asked.join(counts, "name", "left").select(F.col("name").alias("company"), F.coalesce("n_jobs", F.lit(0).cast("long")).alias("n_jobs"))
+    other = counts.join(asked, "name", "left_anti").agg(F.sum("n_jobs").alias("n_jobs")).where("n_jobs > 0")
+    found = known.unionByName(other.select(F.lit(None).cast("string").alias("company"), "n_jobs"))
+    return found.select(F.lit(-1).cast("long").alias("seq"), F.lit(source).alias("source"), F.lit("OK").alias("status"), "company", "n_jobs").to(FETCH_RESULTS)
+
+
 def mark_not_available(missing: DataFrame) -> DataFrame:
     """Fetch results for asked-for sources (column ``source``) nothing is registered for."""
     return missing.select(
@@ -143,11 +167,10 @@ def collect_sources(spark: SparkSession, sources: list[Source], missing: list[st
             n, blocks = blocks_used(staged)
             raws.append(compact_seq(staged, start))
             start += blocks
-            results.append(
-                spark.createDataFrame(
-                    [(-1, source.key, "OK", None, None, None, None, n)], FETCH_RESULTS
-                )
-            )
+            if source.mode == "company":
+                results.append(entity_results(staged, scope.entities, source.key))
+            else:
+                results.append(spark.createDataFrame([(-1, source.key, "OK", None, None, None, None, n)], FETCH_RESULTS))
         except Exception as problem:  # noqa: BLE001 - one source must never stop the others
             failures.append((source.key, type(problem).__name__, str(problem)))
     results.append(

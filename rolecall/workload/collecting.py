@@ -16,7 +16,7 @@ from rolecall.sources.feeds import (
     select_entities,
     to_raw,
 )
-from rolecall.sources.registry import mark_not_available
+from rolecall.sources.registry import choose_sources, entity_results, mark_not_available
 from rolecall.sources.triage import (
     NO_PAGE_ACTION,
     NO_PAGE_REASON,
@@ -112,6 +112,43 @@ def source_selection(t: Tables) -> DataFrame:
     return mark_not_available(asked.join(installed, "source", "left_anti")).select("source", "status", "n_jobs")
 
 
+# Configured sources: one per user, switched on for most; readers exist for some.
+_CONFIGURED = "SELECT concat('src', CAST(user_id AS STRING)) AS source, max(value) > 60 AS enabled, min(user_id) AS num FROM {events} GROUP BY user_id"
+
+
+def _choice(listed: str, mode: str) -> str:
+    fits = "TRUE" if mode == "both" else f"mode = '{mode}'"
+    return f"""SELECT c.source, CASE WHEN mode IS NULL THEN 'NOT_AVAILABLE' WHEN {fits} THEN 'RUN' ELSE 'OTHER_MODE' END AS outcome
+FROM (SELECT *, CASE WHEN num % 5 = 0 THEN NULL WHEN num % 3 = 0 THEN 'company' ELSE 'board' END AS mode FROM ({duck(_CONFIGURED)})) c WHERE {listed}"""
+
+
+@query(
+    "source_choice",
+    f"""SELECT 'enabled' AS asked, * FROM ({_choice('enabled', 'both')}) UNION ALL SELECT 'listed', * FROM ({_choice('num % 4 = 1', 'company')})""",
+)
+def source_choice(t: Tables) -> DataFrame:
+    """Sources that are switched on, and exactly the listed ones of one mode."""
+    configured = t.sql(_CONFIGURED)
+    installed = configured.where("num % 5 <> 0").select("source", F.when(F.col("num") % 3 == 0, "company").otherwise("board").alias("mode"))
+    unknown = t.spark.createDataFrame([("nobody",)], "source string")
+    listed = configured.where("num % 4 = 1").select("source").union(unknown)
+    on = choose_sources(configured, installed).withColumn("asked", F.lit("enabled"))
+    return on.unionByName(choose_sources(configured, installed, listed, "company").withColumn("asked", F.lit("listed")))
+
+
+@query(
+    "entity_results",
+    f"""WITH e AS (SELECT DISTINCT name FROM ({duck(ENTITIES)}) WHERE enabled),
+ r AS (SELECT coalesce(nullif(company_hint, ''), company_name) AS name, count(*) AS n FROM ({duck(POSTINGS)}) GROUP BY 1)
+SELECT e.name AS company, coalesce(r.n, 0) AS n_jobs, 'OK' AS status FROM e LEFT JOIN r ON r.name = e.name
+UNION ALL SELECT NULL, sum(n)::BIGINT, 'OK' FROM r WHERE name NOT IN (SELECT name FROM e) HAVING sum(n) > 0""",
+)
+def results_by_entity(t: Tables) -> DataFrame:
+    """One fetch result for each entity of a source that returned the postings."""
+    rows = t.postings.select("company_hint", "company_name")
+    return entity_results(rows, t.entities.where("enabled"), "feed").select("company", "n_jobs", "status")
+
+
 @query(
     "entity_selection",
     f"""SELECT name, priority FROM ({duck(ENTITIES)}) WHERE enabled AND contains(lower(name), '#00000000') ORDER BY priority, name LIMIT 7""",

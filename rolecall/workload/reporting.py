@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +11,12 @@ from rolecall.operators import predicates as pred
 from rolecall.operators.firsts import last_finished_run
 from rolecall.operators.match import match_entities, with_priority
 from rolecall.operators.normalize import normalize_postings
-from rolecall.operators.rank import latest_errors, listing_order, newest_since, ranked, top_scored
+from rolecall.operators.rank import latest_errors, listing_order, newest_since, numbered, rank_order, ranked, top_scored
 from rolecall.operators.score import with_score
 from rolecall.plans import reports
-from rolecall.plans.exports import export_rows, export_views
+from rolecall.plans.exports import export_rows, ranked_views, read_in_order, write_in_order
 from rolecall.schemas import COUNTER_NAMES, DISCOVERY
+from rolecall.session import shared_folder
 from rolecall.workload import sqltext as q
 from rolecall.workload.catalog import query
 from rolecall.workload.tables import CONFIG, ENTITIES, ERRORS, TRACKING, Tables, duck
@@ -64,7 +67,7 @@ def rank_top10(t: Tables) -> DataFrame:
 def posting_top10(t: Tables) -> DataFrame:
     """From raw postings to the ten best: normalise, match, filter, score, rank."""
     rows = match_entities(normalize_postings(t.postings), t.entities)
-    judged = with_score(pred.ordered_filter(pred.with_levels(rows, CONFIG), CONFIG), CONFIG, only_accepted=True)
+    judged = with_score(pred.judge(rows, CONFIG), CONFIG, only_accepted=True)
     shown = judged.select(F.col("seq").alias("job_id"), "company_name", "title", "match_score", "posted_at")
     return top_scored(with_priority(shown, t.entities)).select("job_id", "match_score", "company_name", "title")
 
@@ -173,22 +176,33 @@ FROM scored s LEFT JOIN entities e ON e.name = s.company_name"""
 def exported(t: Tables) -> DataFrame:
     """The display row of every posting."""
     rows = match_entities(normalize_postings(t.postings), t.entities)
-    judged = with_score(pred.ordered_filter(pred.with_levels(rows, CONFIG), CONFIG), CONFIG, only_accepted=True)
+    judged = with_score(pred.judge(rows, CONFIG), CONFIG, only_accepted=True)
     shown = with_priority(judged, t.entities, default="").withColumns(
         {"application_url": F.col("source_url"), "first_seen": F.col("seq"), "status": F.lit("NEW")}
     )
     return export_rows(shown).withColumnRenamed("First Seen", "seq")
 
 
+# Stored content beside the tracking rows, references from order lines, and every view's shown text.
+_SHOWN_ROW = "concat_ws('|', t.company_name, coalesce(e.priority, ''), t.title, 'Pune', 'Yes (remote)', '1-2 yrs', coalesce(CAST(t.match_score AS VARCHAR), ''), t.title, 'Not listed', strftime(t.first_seen, '%Y-%m-%d %H:%M:%S'), t.source, '', t.canonical_url, coalesce(b.url, t.canonical_url), t.status)"
+
+
 @query(
     "export_views",
-    f"""{_WITH} SELECT 'new_jobs' AS name, count(*) AS n FROM t WHERE is_active AND status = 'NEW' UNION ALL
-SELECT 'high_match', count(*) FROM t WHERE is_active AND match_score >= 75 UNION ALL SELECT 'all_active', count(*) FROM t WHERE is_active UNION ALL
-SELECT 'companies', count(*) FROM e UNION ALL SELECT 'sources', count(DISTINCT source) FROM t UNION ALL
-SELECT 'errors', count(*) FROM events UNION ALL SELECT 'discovery', count(*) FROM customer""",
+    f"""{_WITH}, links AS (SELECT job_id, {q.tier('source')} AS tier, -1 AS place, source_url AS url FROM t WHERE is_active AND source_url IS NOT NULL
+ UNION ALL SELECT l_orderkey, 2, l_linenumber, CAST(CAST(min(l_shipdate) AS DATE) AS VARCHAR) FROM lineitem GROUP BY 1, 2, 3),
+b AS (SELECT job_id, arg_min(url, (tier, place)) AS url FROM links GROUP BY job_id),
+r AS (SELECT t.status, t.match_score, row_number() OVER (ORDER BY {_ORDER}) AS place, {_SHOWN_ROW} AS shown
+ FROM t LEFT JOIN e ON e.name = t.company_name LEFT JOIN b ON b.job_id = t.job_id WHERE t.is_active)
+SELECT 'new_jobs' AS view, place, shown FROM r WHERE status = 'NEW' UNION ALL SELECT 'high_match', place, shown FROM r WHERE match_score >= 75
+UNION ALL SELECT 'all_active', place, shown FROM r
+UNION ALL SELECT 'companies', row_number() OVER (ORDER BY priority, name), concat_ws('|', name, domain, coalesce(careers_url, ''), priority, CAST(enabled AS VARCHAR), '') FROM e
+UNION ALL SELECT 'sources', row_number() OVER (ORDER BY source), source FROM (SELECT DISTINCT source FROM t)
+UNION ALL SELECT 'errors', row_number() OVER (ORDER BY error_id DESC), concat_ws('|', CAST(error_id AS VARCHAR), source, coalesce(company, ''), error_type, message, strftime(occurred_at, '%Y-%m-%d %H:%M:%S')) FROM ({duck(ERRORS)})
+UNION ALL SELECT 'discovery', row_number() OVER (ORDER BY c_name), c_name || '||||||' FROM customer""",
 )
-def view_sizes(t: Tables) -> DataFrame:
-    """Number of rows in each of the seven views."""
+def view_rows(t: Tables) -> DataFrame:
+    """Every row of the seven views: its place and all its shown columns."""
     tracking = t.tracking.withColumns(
         {"match_reasons": F.array("title"), "match_warnings": F.array().cast("array<string>")}
     )
@@ -198,19 +212,83 @@ def view_sizes(t: Tables) -> DataFrame:
         F.lit(None).cast("string").alias("ats"), F.lit(False).alias("is_fixture"),
         F.lit("").alias("content_hash"), F.lit(None).cast("timestamp").alias("first_seen"),
     )
-    refs = t.lineitem.select(
-        F.col("l_orderkey").alias("job_id"), F.lit("lever").alias("source"), F.col("l_shipdate").cast("string").alias("source_url"),
+    refs = t.lineitem.groupBy("l_orderkey", "l_linenumber").agg(F.min("l_shipdate").alias("at")).select(
+        F.col("l_orderkey").alias("job_id"), F.lit("lever").alias("source"), F.col("at").cast("date").cast("string").alias("source_url"),
         F.col("l_linenumber").cast("long").alias("ref_id"),
     )
     discovery = t.spark.createDataFrame([], DISCOVERY).unionByName(
         t.customer.select(F.col("c_name").alias("company_name")), allowMissingColumns=True
     )
-    views = export_views(
+    views = ranked_views(
         content, tracking.drop("company_name", "title", "posted_at"), refs, t.entities, t.tracking.select("source").distinct(),
         t.errors, discovery, CONFIG,
     )
+    order = {
+        "companies": ["priority", "name"], "sources": ["source"], "errors": [F.col("error_id").desc()], "discovery": ["company_name"],
+    }
     out = None
     for name, view in views.items():
-        part = view.agg(F.count("*").alias("n")).select(F.lit(name).alias("name"), "n")
+        columns = [c for c in view.columns if c != "rank"]
+        if name in order:
+            view = numbered(view, [F.col(c) if isinstance(c, str) else c for c in order[name]])
+        text = [F.date_format(c, "yyyy-MM-dd HH:mm:ss") if view.schema[c].dataType.typeName().startswith("timestamp") else F.col(c).cast("string") for c in columns]
+        shown = F.concat_ws("|", *[F.coalesce(x, F.lit("")) for x in text])
+        part = view.select(F.lit(name).alias("view"), F.col("rank").alias("place"), shown.alias("shown"))
         out = part if out is None else out.unionByName(part)
     return out
+
+
+@query("rank_number", f"{_WITH} SELECT t.job_id, row_number() OVER (ORDER BY {_ORDER}) AS rank FROM t LEFT JOIN e ON e.name = t.company_name")
+def rank_number(t: Tables) -> DataFrame:
+    """The place of every record in the ranking."""
+    return numbered(with_priority(t.tracking, t.entities), rank_order()).select("job_id", "rank")
+
+
+@query(
+    "ordered_export",
+    f"{_WITH} SELECT row_number() OVER (ORDER BY {_ORDER}) AS rank, t.job_id, t.company_name, t.title, t.match_score FROM t LEFT JOIN e ON e.name = t.company_name",
+)
+def ordered_export(t: Tables) -> DataFrame:
+    """The ranking written as ordered CSV files and read back by their manifest."""
+    rows = with_priority(t.tracking, t.entities)
+    shown = rows.select("job_id", "company_name", "title", "match_score", "priority", "posted_at")
+    folder = f"{shared_folder(t.spark)}/export-{uuid.uuid4().hex}"
+    write_in_order(shown, rank_order(), folder)
+    return read_in_order(t.spark, folder, shown.schema).select("rank", "job_id", "company_name", "title", "match_score")
+
+
+@query(
+    "newest_more",
+    f"SELECT greatest(count(*) FILTER (first_seen > {_NOW} - INTERVAL 365 DAY) - 100, 0) AS n_more FROM ({duck(TRACKING)})",
+)
+def newest_more(t: Tables) -> DataFrame:
+    """How many new records a report of a hundred leaves out."""
+    return reports.new_rows(t.tracking, moment(AT) - F.expr("INTERVAL 365 DAYS"))[1]
+
+
+_SOURCE_ROWS = """
+SELECT source, min(source_type) AS source_type, bool_or(value > 50) AS enabled, max(status) AS status, max(ts) AS last_run_at,
+ CAST(NULL AS TIMESTAMP) AS last_success_at, CAST(NULL AS STRING) AS last_error, CAST(floor(sum(value)) AS BIGINT) AS jobs_found
+FROM (SELECT concat('src', CAST(user_id % 7 AS STRING)) AS source, event_type AS source_type, CASE WHEN user_id % 2 = 0 THEN 'OK' ELSE 'FAILED' END AS status, value, ts FROM {events}) x
+GROUP BY source
+"""
+
+
+@query(
+    "status_lines",
+    f"""SELECT source AS line, status || CASE WHEN enabled THEN '' ELSE ' (off in config)' END AS status, jobs_found, last_run_at AS at FROM ({duck(_SOURCE_ROWS)})
+UNION ALL SELECT 'run #' || o_orderkey, 'COMPLETED', CAST(floor(o_totalprice) AS BIGINT) + {COUNTER_NAMES.index("jobs_found")}, o_orderdate FROM {_LAST}""",
+)
+def status_lines(t: Tables) -> DataFrame:
+    return reports.status_lines(t.sql(_SOURCE_ROWS), _runs(t))
+
+
+@query("source_listing", f"SELECT source, source_type, enabled, status, jobs_found FROM ({duck(_SOURCE_ROWS)}) ORDER BY source")
+def source_listing(t: Tables) -> DataFrame:
+    return reports.source_listing(t.sql(_SOURCE_ROWS)).select("source", "source_type", "enabled", "status", "jobs_found")
+
+
+@query("discovery_listing", "SELECT c_name AS company_name, c_mktsegment AS ats FROM customer ORDER BY 1")
+def discovery_rows(t: Tables) -> DataFrame:
+    found = t.customer.select(F.col("c_name").alias("company_name"), F.col("c_mktsegment").alias("ats"))
+    return reports.discovery_listing(found)

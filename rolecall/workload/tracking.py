@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,9 +15,10 @@ from rolecall.operators.lifecycle import days, expire, latest_match, touch
 from rolecall.operators.match import match_entities
 from rolecall.operators.normalize import normalize_postings
 from rolecall.plans.run import decide, next_refs, next_tracking
-from rolecall.schemas import CONTENT, REFS, SOURCES
+from rolecall.plans.state import StateStore
+from rolecall.schemas import CONTENT, COUNTER_NAMES, REFS, SOURCES
 from rolecall.schemas import TRACKING as TRACKING_LAYOUT
-from rolecall.session import stage
+from rolecall.session import shared_folder, stage
 from rolecall.workload import sqltext as q
 from rolecall.workload.catalog import query
 from rolecall.workload.tables import (
@@ -324,6 +327,78 @@ def expired(t: Tables) -> DataFrame:
     return expire(t.tracking, cutoff, moment(AT)).select("job_id", "is_active", "status")
 
 
+# --- stored state ----------------------------------------------------------------------
+
+_FOUND = "SELECT source, min(lang) AS source_type, CASE WHEN min(doc_id) % 2 = 0 THEN TRUE ELSE NULL END AS enabled FROM {documents} GROUP BY source"
+
+
+@query(
+    "upsert_sources",
+    f"""WITH o AS (SELECT DISTINCT CASE WHEN user_id % 3 = 0 THEN source ELSE event_type END AS source FROM events, (SELECT max(source) AS source FROM documents)),
+ n AS ({duck(_FOUND)})
+SELECT coalesce(n.source, o.source) AS source, coalesce(n.source_type, CASE WHEN o.source IS NOT NULL THEN 'board' END) AS source_type,
+ coalesce(n.enabled, CASE WHEN o.source IS NOT NULL THEN FALSE END) AS enabled, CASE WHEN o.source IS NULL THEN 'UNKNOWN' ELSE 'OK' END AS status,
+ CASE WHEN o.source IS NULL THEN 0 ELSE 7 END AS jobs_found FROM o FULL JOIN n ON o.source = n.source""",
+)
+def upsert_sources(t: Tables) -> DataFrame:
+    """Registered sources keep their history; listed ones are added or switched."""
+    top = t.documents.agg(F.max("source").alias("top"))
+    names = t.events.crossJoin(top).select(F.when(F.col("user_id") % 3 == 0, F.col("top")).otherwise(F.col("event_type")).alias("source"))
+    old = names.distinct().select(
+        "source", F.lit("board").alias("source_type"), F.lit(False).alias("enabled"), F.lit("OK").alias("status"), F.lit(7).cast("long").alias("jobs_found")
+    )
+    new = t.sql(_FOUND)
+    return up.upsert_sources(t.spark.createDataFrame([], SOURCES).unionByName(old, allowMissingColumns=True), new).select(
+        "source", "source_type", "enabled", "status", F.col("jobs_found").cast("int").alias("jobs_found")
+    )
+
+
+def _store(t: Tables) -> StateStore:
+    return StateStore(t.spark, f"{shared_folder(t.spark)}/store-{uuid.uuid4().hex}")
+
+
+@query(
+    "state_versions",
+    f"""WITH t AS ({duck(TRACKING)}), s AS (SELECT l_orderkey AS job_id, max(l_shipdate) AS seen, min(l_partkey) AS p FROM lineitem GROUP BY 1)
+SELECT t.job_id, CASE WHEN p % 40 = 0 OR p % 40 = 1 THEN seen ELSE t.last_seen END AS last_seen,
+ CASE WHEN p % 40 = 1 THEN 'SECOND' WHEN p % 40 = 0 THEN 'FIRST' ELSE t.status END AS status FROM t LEFT JOIN s ON s.job_id = t.job_id
+UNION ALL SELECT -s.job_id, s.seen, 'ADDED' FROM s WHERE p % 40 = 1""",
+)
+def state_versions(t: Tables) -> DataFrame:
+    """Records as a base and two change sets, of which the later one has rows of its own and new ones."""
+    store = _store(t)
+    tracking = t.spark.createDataFrame([], TRACKING_LAYOUT).unionByName(t.tracking.select(*[c for c in t.tracking.columns if c in TRACKING_LAYOUT.names]), allowMissingColumns=True)
+    seen = t.lineitem.groupBy(F.col("l_orderkey").alias("job_id")).agg(F.max("l_shipdate").alias("at"), F.min("l_partkey").alias("p"))
+    version = store.commit(store.latest(), {"tracking": tracking}, 0, 0)
+    for rest, name in (((0, 1), "FIRST"), ((1,), "SECOND")):
+        met = seen.where((F.col("p") % 40).isin(*rest)).select("job_id", "at")
+        rows = store.read(version, "tracking").join(met, "job_id").withColumns({"last_seen": F.col("at"), "status": F.lit(name)}).drop("at")
+        if name == "SECOND":
+            new = met.select((-F.col("job_id")).alias("job_id"), F.col("at").alias("last_seen"), F.lit("ADDED").alias("status"))
+            rows = rows.unionByName(new, allowMissingColumns=True)
+        version = store.commit(version, {"tracking": stage(rows.select(*TRACKING_LAYOUT.names), "changes")}, 0, 0)
+    return store.read(store.latest(), "tracking").select("job_id", "last_seen", "status")
+
+
+@query(
+    "run_ledger",
+    f"""SELECT o_orderkey AS run_id, CASE WHEN o_orderstatus = 'P' THEN 'RUNNING' ELSE 'COMPLETED' END AS status,
+ {" , ".join(f"CAST(floor(o_totalprice) AS BIGINT) + {i} AS {n}" for i, n in enumerate(COUNTER_NAMES))} FROM orders""",
+)
+def run_ledger(t: Tables) -> DataFrame:
+    """Runs appended to the ledger in two versions, with all their counters."""
+    store = _store(t)
+    amount = F.floor("o_totalprice").cast("long")
+    runs = t.orders.select(
+        F.col("o_orderkey").alias("run_id"), F.col("o_orderdate").alias("started_at"), F.col("o_orderdate").alias("finished_at"),
+        F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("COMPLETED").alias("status"), F.lit("manual").alias("trigger"),
+        F.struct(*[(amount + i).alias(n) for i, n in enumerate(COUNTER_NAMES)]).alias("counters"),
+    )
+    version = store.commit(store.latest(), {"runs": runs.where("run_id % 3 = 0")}, 0, 0)
+    version = store.commit(version, {"runs": runs.where("run_id % 3 <> 0")}, 0, 0)
+    return store.read(version, "runs").select("run_id", "status", "counters.*")
+
+
 # --- identity and whole runs -----------------------------------------------------------
 
 
@@ -332,9 +407,15 @@ def _empty(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return make([], TRACKING_LAYOUT), make([], REFS), make([], CONTENT)
 
 
-@query("resolve_identities")
+@query(
+    "resolve_identities",
+    f"""WITH RECURSIVE {q.NORM},
+arrivals AS MATERIALIZED (SELECT seq AS ord, seq + 1 AS job_new, source, source_job_id AS sid, canonical_url AS url, source_url AS raw,
+ content_hash AS hash FROM norm), {q.replay('arrivals')}
+SELECT ord AS seq, job AS job_id, is_new, promoted FROM folded""",
+)
 def resolve_identities(t: Tables) -> DataFrame:
-    """Record of every posting under the sequential rule (no SQL: it is order-dependent)."""
+    """Record of every posting under the sequential rule; the statement replays it row by row."""
     no_tracking, no_refs, _ = _empty(t)
     rows = stage(
         normalize_postings(t.postings).select(
@@ -345,7 +426,24 @@ def resolve_identities(t: Tables) -> DataFrame:
     return resolve_batch(rows, no_tracking, no_refs)
 
 
-@query("incremental_run")
+# Two runs: ids of the second start after the largest arrival number of the first.
+_RUNS = f"""WITH RECURSIVE {q.SCORED},
+timed AS (SELECT *, CASE WHEN coalesce(TRY_CAST(posted_date AS TIMESTAMP) < TIMESTAMP '1998-06-01 00:00:00', TRUE) THEN 0 ELSE 1 END AS run FROM scored),
+arrivals AS MATERIALIZED (SELECT row_number() OVER (ORDER BY run, seq) AS ord,
+  seq + 1 + run * (1 + (SELECT max(seq) FROM timed WHERE run = 0)) AS job_new,
+  source, source_job_id AS sid, canonical_url AS url, source_url AS raw, content_hash AS hash, run, target_match, reject_reason, match_score FROM timed),
+{q.replay('arrivals')},
+told AS (SELECT a.*, f.job, f.is_new, f.promoted, min(a.ord) OVER (PARTITION BY f.job, a.run) = a.ord AS judged FROM arrivals a JOIN folded f USING (ord))
+SELECT job AS job_id, arg_max(source, ord) FILTER (is_new OR promoted) AS source,
+ (arg_max(struct_pack(v := sid), ord) FILTER (is_new OR promoted)).v AS source_job_id,
+ (arg_max(struct_pack(v := CASE WHEN promoted THEN coalesce(url, raw) ELSE url END), ord) FILTER (is_new OR promoted)).v AS canonical_url,
+ CASE WHEN min(run) < max(run) THEN 'SEEN' ELSE 'NEW' END AS status, TRUE AS is_active,
+ arg_max(target_match, ord) FILTER (target_match IS NOT NULL) AS target_match,
+ arg_max(match_score, run) FILTER (judged AND reject_reason IS NULL) AS match_score,
+ count(DISTINCT concat(source, chr(1), coalesce(sid, ''))) AS n_refs, count(*) AS times_seen FROM told GROUP BY job"""
+
+
+@query("incremental_run", _RUNS)
 def incremental_run(t: Tables) -> DataFrame:
     """Tracking and reference counts after all postings arrive as two runs."""
     import datetime as dt
