@@ -1,7 +1,8 @@
 r"""Benchmark decontamination by template canonicalisation.
 
-Words lose punctuation and case, and numbers, names (words with a capital first letter) and units
-(listed words behind a number) become typed placeholders, so a question asked again with other
+Words lose punctuation and case, and numbers (digits, or number words of four languages), names (words with a
+capital first letter of any script) and units
+(listed words behind a number; one glued to it is a word of its own) become typed placeholders, so a question asked again with other
 parameters keeps its template. Beside these typed windows every place has a plain one, of the words
 themselves without case, for copies whatever their share of placeholders. Windows of ``WINDOW`` template words are hash-joined: the windows
 of all benchmark items set bits in a bitmap of fixed size, documents send only windows whose
@@ -15,7 +16,7 @@ Defined cases: words are ``[^\x20\x09-\x0D]+`` less everything but letters and d
 of which nothing is left is skipped; an item with fewer words than a window is one window; typed
 windows with fewer than ``LITERALS`` (or, of a short item, half) literal words are not used, so an item made
 of placeholders is found by its own words only; letters are lower-cased one by one (``ß`` is not ``SS``);
-the share is of the whole item or, if greater, of the part with typed windows; null or empty texts match nothing. Items with the same template
+rows that share an id, and all rows without one, count as one document; the share is of the whole item or, if greater, of the part with typed windows; null or empty texts match nothing. Items with the same template
 windows are each reported.
 """
 
@@ -39,14 +40,44 @@ COVER = 0.5
 RUN = 13
 #: Unit words.
 UNITS = "mm cm m km inch inches foot feet yard yards mile miles mg g kg t gram grams kilogram kilograms ounce ounces pound pounds ml l liter liters litre litres gallon gallons s sec second seconds minute minutes h hour hours day days week weeks month months year years c f degrees degree percent dollar dollars euro euros cent cents v w kw j kj pa hz".split()
+#: Number words (English, German, French, Spanish) that are no common words of another kind.
+NUMBERS = (
+    "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half twice "
+    "zwei drei vier fünf sechs sieben acht neun zehn elf zwölf zwanzig dreißig vierzig fünfzig sechzig siebzig achtzig neunzig hundert tausend "
+    "deux trois quatre cinq sept huit neuf dix onze douze treize quatorze quinze seize vingt trente quarante cinquante soixante mille "
+    "dos tres cuatro cinco seis siete ocho nueve diez doce trece catorce quince veinte treinta cuarenta cincuenta sesenta setenta ochenta noventa ciento mil"
+).split()
+#: A unit glued to a number.
+_GLUED = r"(?i)([0-9])(" + "|".join(UNITS) + r")\b"
 _BITS = 23
 _PLAIN = np.uint64(0x5B1F9E37A6C2D481)
 _NUMBER, _NAME, _UNIT = (np.uint64(x) for x in (0x1D8E4E27C47D124F, 0xEB44ACCAB455D165, 0x8CB92BA72F3D8DD7))
 
 
-@lru_cache(maxsize=1)
-def _unit_hashes() -> np.ndarray:
-    return np.sort(words(*utf8(pa.array([" ".join(UNITS)])), WHITE, LOWER, ~NOT_WORD).hash)
+@lru_cache(maxsize=2)
+def _hashes(listed: tuple[str, ...]) -> np.ndarray:
+    return np.sort(words(*utf8(pa.array([" ".join(listed)])), WHITE, LOWER, ~NOT_WORD).hash)
+
+
+def _is_one_of(h: np.ndarray, listed: list[str]) -> np.ndarray:
+    known = _hashes(tuple(listed))
+    return known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+
+
+def _capital(data: np.ndarray, head: np.ndarray) -> np.ndarray:
+    """Whether the letter that begins at each byte is a capital, in any script."""
+    first = data[head] if len(data) else np.zeros(0, np.uint8)
+    out = (first >= 65) & (first <= 90)
+    wide = np.flatnonzero(first >= 0xC3)
+    if len(wide):
+        b = [data[np.minimum(head[wide] + k, len(data) - 1)].astype(np.int64) for k in range(4)]
+        tail = [x & 0x3F for x in b]
+        two, three = (b[0] & 0x1F) << 6 | tail[1], (b[0] & 0x0F) << 12 | tail[1] << 6 | tail[2]
+        four = (b[0] & 0x07) << 18 | tail[1] << 12 | tail[2] << 6 | tail[3]
+        letters, back = np.unique(np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four)), return_inverse=True)
+        out[wide] = np.array([chr(c).isupper() or chr(c).istitle() for c in letters.tolist()])[back]
+    return out
 
 
 def templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
@@ -59,14 +90,11 @@ def templates(texts: pa.Array) -> tuple[Words, np.ndarray, np.ndarray]:
     n = kept[w.end] - kept[w.start]
     some = n > 0
     start, end, row, h, n = w.start[some], w.end[some], w.row[some], w.hash[some], n[some]
-    number = (digits[end] - digits[start]) == n
+    number = ((digits[end] - digits[start]) == n) | _is_one_of(h, NUMBERS)
     at = np.flatnonzero(keep)
     head = at[np.searchsorted(at, start)] if len(at) else start
-    follow = data[np.minimum(head + 1, max(len(data) - 1, 0))] if len(data) else head
-    name = (data[head] >= 65) & (data[head] <= 90) if len(data) else np.zeros(0, bool)
-    name |= (data[head] == 0xC3) & (follow >= 0x80) & (follow <= 0x9E) if len(data) else False
-    units = _unit_hashes()
-    unit = units[np.minimum(np.searchsorted(units, h), len(units) - 1)] == h
+    name = _capital(data, head)
+    unit = _is_one_of(h, UNITS)
     unit[1:] &= number[:-1] & (row[1:] == row[:-1])
     unit[:1] = False
     name &= ~unit
@@ -110,6 +138,7 @@ _ROWS = "key long, hash long, at int, slots array<long>, typed boolean"
 
 def _both(texts: pa.Array) -> tuple[Words, list[tuple[np.ndarray, np.ndarray, bool]]]:
     """Words with (hashes, which are literal, typed) for typed and for plain windows."""
+    texts = pc.replace_substring_regex(texts, _GLUED, r"\1 \2")
     w, shape, literal = templates(texts)
     return w, [(shape, literal, True), (plain(texts, w) ^ _PLAIN, np.ones(len(shape), bool), False)]
 
