@@ -6,7 +6,8 @@ a slot, those left sharing the slots of one that has run out. Block j is release
 ideal mixture begins it and due when the ideal mixture has ended it; earliest deadline first among
 released blocks fills every slot, and every block keeps its window, so at every slot each source is
 less than one block away from its ideal. Only block numbers are scheduled in one place (whole-number
-arithmetic, some bytes and microseconds a block); documents meet their slots on the executors.
+arithmetic, some bytes and microseconds a block), and there are at most about ``MOST_BLOCKS`` of them: beyond
+``MOST_BLOCKS * block_chars`` characters (64 G) blocks grow with the data. Documents meet their slots on the executors.
 
 With ``period`` a pattern of so many slots is repeated instead: weights are rounded to whole shares
 of it, at least one each, and a new phase begins when a source runs out. No document is
@@ -39,6 +40,7 @@ BLOCK_CHARS = 16_384
 BUCKET_ROWS = 8_192
 MOST_SOURCES = 10_000
 PART_BLOCKS = 64
+MOST_BLOCKS = 1 << 22
 
 
 def tempered(sizes: dict[str, int], power: float = 0.5) -> dict[str, float]:
@@ -172,6 +174,7 @@ def mix_sources(
     if period and len(rows) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; give them a common key first")
     total = {r["_source"]: r["n"] for r in rows}
+    block_chars = max(block_chars, -(-sum(total.values()) // MOST_BLOCKS))
     weight = weights if weights is not None else tempered(total)
     weight = {s: weight.get(s, min(weight.values(), default=1.0)) for s in total}
     blocks = {s: n // block_chars + 1 for s, n in total.items()}
