@@ -43,6 +43,14 @@ def payload_hash(columns: list[str]) -> Column:
     return F.sha2(F.to_json(F.struct(*[F.col(c) for c in sorted(columns)])), 256)
 
 
+def nested_hash(payload: Column) -> Column:
+    """SHA-256 of a JSON text that does not depend on white space or on the order of keys, at any depth.
+
+    A VARIANT keeps the keys of every object sorted, so its JSON is canonical. Text that is no JSON is hashed as it is.
+    """
+    return F.sha2(F.coalesce(F.to_json(F.try_parse_json(payload)), payload), 256)
+
+
 def map_hash(payload: Column) -> Column:
     """SHA-256 of a map, independent of its key order."""
     ordered = F.map_from_entries(F.array_sort(F.map_entries(payload)))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rolecall.config import SearchConfig
 from rolecall.functions.text import blank_to_null, experience_label
+from rolecall.session import stage
 
 FULL, PARTIAL, NONE, UNKNOWN = "FULL", "PARTIAL", "NONE", "UNKNOWN"
 
@@ -135,6 +136,39 @@ def has_keyword(low_text: Column, keyword: str) -> Column:
     return F.contains(low_text, F.lit(word)) & low_text.rlike(pattern)
 
 
+#: Keywords without an ASCII letter or digit have no word to be looked up by; so many are tested one by one.
+MOST_BARE_KEYWORDS = 100
+
+
+def keyword_table_hits(texts_table: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword") -> DataFrame:
+    """``(key, keyword)`` for every keyword of a table that stands in a text, by the rule of :func:`has_keyword`.
+
+    The plan does not grow with the number of keywords: texts are cut into words once, the words of keywords among them
+    are joined by hash, and a keyword is tested on the texts that hold its rarest word alone.
+    """
+    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z0-9]+)"))
+    wanted = keywords.select(F.col(keyword).alias("keyword"), F.lower(F.col(keyword)).alias("_low")).where(F.col("_low") != "").distinct()
+    wanted = wanted.withColumn("_words", F.array_distinct(words(F.col("_low"))))
+    low = texts_table.select(F.col(key).alias("_key"), folded(F.col(text)).alias("_text"))
+    needed = wanted.select(F.explode("_words").alias("_word")).distinct()
+    held = low.select("_key", F.explode(F.array_distinct(words(F.col("_text")))).alias("_word"))
+    postings = stage(held.join(needed, "_word", "left_semi"), "postings")
+    counts = postings.groupBy("_word").agg(F.count("*").alias("_n"))
+    rarest = wanted.select("keyword", "_low", F.explode("_words").alias("_word")).join(counts, "_word", "left")
+    # a keyword with a word that no text holds stands nowhere
+    rarest = rarest.groupBy("keyword", "_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("r")).where("r.n > 0")
+    near = postings.join(rarest.select("keyword", "_low", F.col("r._word").alias("_word")), "_word")
+    quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace("_low", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
+    found = near.select("_key", "keyword", "_low", quoted.alias("_pattern")).join(low, "_key")
+    hits = found.where(F.contains("_text", F.col("_low")) & F.expr("_text RLIKE _pattern")).select("_key", "keyword")
+    bare = [r["keyword"] for r in wanted.where(F.size("_words") == 0).select("keyword").limit(MOST_BARE_KEYWORDS + 1).collect()]
+    if len(bare) > MOST_BARE_KEYWORDS:
+        raise ValueError(f"more than {MOST_BARE_KEYWORDS} keywords without a letter or digit")
+    for word in bare:
+        hits = hits.unionByName(low.where(has_keyword(F.col("_text"), word)).select("_key", F.lit(word).alias("keyword")))
+    return hits.select(F.col("_key").alias(key), "keyword")
+
+
 def with_skills(postings: DataFrame, cfg: SearchConfig, where: Column | None = None) -> DataFrame:
     """Add which wanted skills a record names, in its list or its description.
 

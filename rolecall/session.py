@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 #: Settings every job relies on for right results (UTC) or for scale (AQE).
 DEFAULT_CONF = {
@@ -67,3 +67,10 @@ def stage(df: DataFrame, name: str = "stage") -> DataFrame:
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def stage_observed(df: DataFrame, name: str, columns: list[Column]) -> tuple[DataFrame, dict]:
+    """:func:`stage`, and aggregates over the rows worked out while they are written: no second scan."""
+    seen = Observation()
+    staged = stage(df.observe(seen, *columns), name)
+    return staged, seen.get

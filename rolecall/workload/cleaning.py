@@ -116,6 +116,24 @@ def payload_fingerprint(t: Tables) -> DataFrame:
     )
 
 
+# Raw payloads: one content per customer, its keys in another order (and with other blanks) in each order row.
+_PAYLOADS = """
+SELECT o_custkey AS customer, CASE o_orderkey % 3
+ WHEN 0 THEN concat('{{"id":', CAST(o_custkey AS STRING), ',"who":{{"name":"c', CAST(o_custkey % 9 AS STRING), '","place":{{"a":[', CAST(o_custkey % 5 AS STRING), ',2],"b":null}}}},"n":"x"}}')
+ WHEN 1 THEN concat('{{"n":"x","who":{{"place":{{"b":null,"a":[', CAST(o_custkey % 5 AS STRING), ',2]}},"name":"c', CAST(o_custkey % 9 AS STRING), '"}},"id":', CAST(o_custkey AS STRING), '}}')
+ ELSE concat('{{ "who" : {{"name":"c', CAST(o_custkey % 9 AS STRING), '", "place": {{"b":null, "a":[ ', CAST(o_custkey % 5 AS STRING), ' , 2]}}}},  "id":', CAST(o_custkey AS STRING), ', "n" : "x" }}') END AS payload
+FROM {orders}
+"""
+
+
+@query("nested_fingerprint", "SELECT o_custkey AS customer, 1 AS customers, count(*) AS n FROM orders GROUP BY o_custkey")
+def nested_fingerprint(t: Tables) -> DataFrame:
+    """Payloads by fingerprint: equal contents meet whatever the order of their keys, others do not."""
+    prints = t.sql(_PAYLOADS).select("customer", identity.nested_hash(F.col("payload")).alias("print"))
+    groups = prints.groupBy("print").agg(F.min("customer").alias("customer"), F.count_distinct("customer").cast("int").alias("customers"), F.count("*").alias("n"))
+    return groups.select("customer", "customers", "n")
+
+
 @query("skill_list", _norm("seq, array_to_string(skills, '|') AS skills, CAST(len(skills) AS INTEGER) AS n"))
 def skill_list(t: Tables) -> DataFrame:
     return normalized(t).select("seq", F.array_join("skills", "|").alias("skills"), F.size("skills").alias("n"))

@@ -92,6 +92,26 @@ def keyword_hits(t: Tables) -> DataFrame:
     return low.select("doc_id", *[pred.has_keyword(F.col("low"), w).alias(f"has_{w}") for w in _WORDS])
 
 
+# Keywords in a table: pairs of neighbouring words of many documents, all part types and words with signs.
+_KEYWORDS = """
+SELECT DISTINCT keyword FROM (
+ SELECT concat(split_part(text, ' ', 3), ' ', split_part(text, ' ', 4)) AS keyword FROM {documents} WHERE doc_id % 10 = 0
+ UNION ALL SELECT split_part(text, ' ', 2) FROM {documents} WHERE doc_id % 7 = 0
+ UNION ALL SELECT p_type FROM {part} UNION ALL SELECT concat(p_brand, '.js') FROM {part} UNION ALL SELECT '--' UNION ALL SELECT '(') x
+"""
+
+
+@query(
+    "keyword_table",
+    f"""WITH k AS (SELECT DISTINCT keyword FROM ({duck(_KEYWORDS)}) WHERE keyword <> ''), d AS (SELECT doc_id, lower(coalesce(text, '')) AS low FROM documents)
+SELECT doc_id, keyword FROM d JOIN k ON contains(low, lower(keyword))
+WHERE regexp_matches(low, '(^|[^a-z0-9])' || regexp_escape(lower(keyword)) || '([^a-z0-9]|$)')""",
+)
+def keyword_table(t: Tables) -> DataFrame:
+    """Which of many keywords stand in which documents."""
+    return pred.keyword_table_hits(t.documents, t.sql(_KEYWORDS), "doc_id")
+
+
 def _joined(*columns: str) -> list:
     return [F.array_join(c, ",").alias(c) for c in columns]
 
