@@ -30,4 +30,6 @@ def components(links: DataFrame, staging: Staging, name: str) -> DataFrame:
         centre = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(centre, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(centre.select("u", F.col("m").alias("v")))
         e = staging.write(small.distinct(), f"{name}_{n}")
+        staging.drop(f"{name}_{n}l")  # only the last round is read again
+        staging.drop(f"{name}_{n - 1}")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

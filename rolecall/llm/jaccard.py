@@ -8,17 +8,18 @@ would bring together all sets that are empty there; they give no signature, and
 than ``e`` of them enumerates its subsets of ``e + 1`` empty parts instead, which two similar
 sets that agree nowhere else must share.
 
-The join never lists all pairs of a group:
+The join never lists the pairs of a group:
 
 1. equal sets fall into one class (its id is a hash of the set), so copies count once;
-2. of the classes that share a signature, the smallest is tested against each other one
-   (:func:`exchange.shared_keys` deals the signatures), by the exact similarity of the sets;
+2. signatures are dealt by key range; of the classes that share one, each is paired with the smallest
+   (:func:`candidates`) and tested against it, by short sketches that bound the difference of two sets from below, then exactly;
 3. components of the links found so far are formed;
-4. only where classes that share a signature still lie in different components are the missing
-   pairs looked at: blocks of such a group are dealt to tasks, which compare short sketches that bound
-   the difference of two sets from below. What the sketches cannot rule out is tested exactly, the
-   closest class of each other component first and, after new components, all that is
-   left. After that every pair that shares a signature is tested, ruled out or in one component.
+4. where classes that share a signature still lie in different components, blocks of their sketches are compared, and each
+   class proposes one pair: with the closest class of another component. Proposals are tested and new components formed,
+   ``ROUNDS`` times at most and as long as links turn up, so a round tests at most one pair a class. A group of near copies
+   grows together in these rounds;
+5. what is left of a group's pairs, in different components still and not ruled out by the sketches, is tested exactly. After
+   that every pair that shares a signature is tested, ruled out or in one component.
 
 Defined cases: words are ``[^\x20\x09-\x0D]+`` of the text with A-Z lower-cased; a text with fewer
 words than a shingle is one shingle; a text without words has an empty set, is linked with nothing
@@ -39,11 +40,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rolecall.llm.common import LOWER, WHITE, mix, only_marked, pieces, shingles, text_bytes, utf8, words
-from rolecall.llm.exchange import Entries, _pack, part_count, shared_keys, unpack
+from rolecall.llm.exchange import FAN, _pack, _ranges, part_count, unpack
 from rolecall.llm.graph import components
 from rolecall.llm.storage import Staging
 
 BLOCK = 512
+ROUNDS = 2
 
 
 def sets_of(texts: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +131,72 @@ def similar(a: np.ndarray, b: np.ndarray, num: int) -> bool:
     return 100 * both >= num * (len(a) + len(b) - both)
 
 
+def candidates(base: DataFrame, n: int, num: int, parts: int, fan: int = FAN) -> DataFrame:
+    """(a, b): for each signature of several classes, its smallest class with each other one. A piece of
+    text settles its own pairs first and sends a signature once; keys are 32 bits inside a range, where a false
+    meeting only costs a test."""
+    fine = -(-parts // fan) if parts > fan else 1
+    coarse = -(-parts // fine)
+
+    def stars(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """First entry of each key, by (key, owner), and the distinct pairs of smallest and other owner."""
+        order = np.lexsort((owner, key))
+        key, owner = key[order], owner[order]
+        head = np.concatenate([[True], key[1:] != key[:-1]]) if len(key) else np.zeros(0, bool)
+        low = owner[np.flatnonzero(head)][np.cumsum(head) - 1] if len(key) else owner
+        other = low != owner
+        pair = np.unique(np.stack([low[other], owner[other]], axis=1), axis=0)
+        return order[head], pair[:, 0], pair[:, 1]
+
+    def rows(key: np.ndarray, owner: np.ndarray, part: np.ndarray, wide: bool) -> pa.RecordBatch:
+        order = np.argsort(part, kind="stable")
+        at, count = np.unique(part[order], return_counts=True)
+        key = key[order] if wide else key[order].astype(np.uint32)
+        return pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), _pack(key, count), _pack(owner[order], count)], names=["part", "keys", "owners"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch, "_text"):
+                h, start, kind = sets_of(piece.column("_text"), n)
+                _, once = np.unique(kind, return_index=True)
+                once = np.sort(once[kind[once] != 0])  # of equal sets in a piece, one
+                size = np.diff(start)[once]
+                keep = np.repeat(start[once], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+                row, sig, _ = signatures(h[keep], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), num)
+                first, a, b = stars(sig, kind[once][row])
+                if len(a):  # settled here: passed on as they are
+                    yield rows(a.view(np.uint64), b, -1 - _ranges(mix(b.view(np.uint64)), coarse), True)
+                if len(first):
+                    yield rows(sig[first], kind[once][row[first]], _ranges(sig[first], coarse), fine > 1)
+
+    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            settled = batch.column("part").to_numpy() < 0
+            yield batch.filter(pa.array(settled))
+            batch = batch.filter(pa.array(~settled))
+            key, owner = unpack(batch.column("keys"), np.uint64)[0], unpack(batch.column("owners"), np.int64)[0]
+            if len(key):
+                first, a, b = stars(key, owner)
+                if len(a):
+                    yield rows(a.view(np.uint64), b, -1 - _ranges(mix(b.view(np.uint64)), coarse * fine), True)
+                yield rows(key[first], owner[first], _ranges(key[first], coarse * fine), False)
+
+    def meet(table: pa.Table) -> pa.Table:
+        if table.column("part")[0].as_py() < 0:
+            a, b = unpack(table.column("keys"), np.int64)[0], unpack(table.column("owners"), np.int64)[0]
+            pair = np.unique(np.stack([a, b], axis=1), axis=0)
+            a, b = pair[:, 0], pair[:, 1]
+        else:
+            _, a, b = stars(unpack(table.column("keys"), np.uint32)[0], unpack(table.column("owners"), np.int64)[0])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    schema = "part int, keys binary, owners binary"
+    dealt = base.mapInArrow(deal, schema)
+    if fine > 1:
+        dealt = dealt.repartition("part").mapInArrow(deal_again, schema)
+    return dealt.groupBy("part").applyInArrow(meet, "a long, b long").distinct()
+
+
 def _classes(base: DataFrame, n: int) -> DataFrame:
     """(_id, _n, _class) of every row; class null: empty set."""
 
@@ -213,7 +281,7 @@ def _sketches(h: np.ndarray, first: np.ndarray, num: int) -> list[tuple[np.ndarr
 
 
 def _groups(sets: DataFrame, staging: Staging, num: int) -> DataFrame:
-    """(sig, band, _class, n) of all groups of three or more classes that share a signature; of
+    """(sig, band, _class, n, lead) of all groups of three or more classes that share a signature; of
     groups with the same classes, one. Two classes alone were tested with each other."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,45 +291,56 @@ def _groups(sets: DataFrame, staging: Staging, num: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(band, pa.int64()), batch.column("_class").take(pa.array(row))], names=["sig", "band", "_class"])
 
     signed = sets.mapInArrow(sign, "sig long, band long, _class long")
-    many = signed.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.shiftright("_class", 24)).alias("who")).where("n > 2")
-    many = staging.write(many.groupBy("n", "who").agg(F.min("sig").alias("sig")).select("sig", "n"), "many")
+    many = signed.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.shiftright("_class", 24)).alias("who"), F.min("_class").alias("lead")).where("n > 2")
+    many = staging.write(many.groupBy("n", "who", "lead").agg(F.min("sig").alias("sig")).select("sig", "n", "lead"), "many")
     return staging.write(signed.join(many, "sig"), "groups")
 
 
-def _near_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, num: int, parts: int, block: int) -> DataFrame:
-    """(a, b, best): classes that share a signature, lie in different components ``found`` and may
-    be similar by their sketches; ``best`` marks the closest one in each other component."""
-    rooted = groups.join(found, groups["_class"] == found["node"], "left").select("sig", "band", "_class", "n", F.coalesce("root", "_class").alias("_root"))
+def _near_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, num: int, parts: int, block: int, closest: bool) -> DataFrame:
+    """(a, b, differ, sig): classes that share a signature, lie in different components ``found`` and may be
+    similar by their sketches, which differ in ``differ`` bytes. With ``closest``, of each class only the closest pair
+    in each task, and for each signature some pair if there is one. Groups with the same smallest class, which are much
+    the same, meet in one task, block by block."""
+    rooted = groups.join(found, groups["_class"] == found["node"], "left").select("sig", "band", "_class", "n", "lead", F.coalesce("root", "_class").alias("_root"))
     open_ = rooted.groupBy("sig").agg(F.min("_root").alias("lo"), F.max("_root").alias("hi")).where("lo <> hi").select("sig")
     member = rooted.join(open_, "sig").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
     member = member.withColumn("mine", F.pmod(F.xxhash64("_class"), F.col("blocks")).cast("int"))
     member = member.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    cell = F.xxhash64("sig", F.least("mine", "other"), F.greatest("mine", "other"))
-    member = member.select("_class", "_root", "band", "mine", (F.col("mine") != F.col("other")).alias("cross"), cell.alias("cell"))
-    cells = member.join(sketches, ["_class", "band"]).select(F.pmod("cell", F.lit(parts)).alias("part"), "cell", "cross", "mine", "_class", "_root", "size", "sketch")
+    two = (F.least("mine", "other"), F.greatest("mine", "other"))
+    part = F.pmod(F.xxhash64("lead", *two), F.lit(parts))
+    member = member.select("_class", "_root", "band", "mine", "sig", (F.col("mine") != F.col("other")).alias("cross"), F.xxhash64("sig", *two).alias("cell"), part.alias("part"))
+    cells = member.join(sketches, ["_class", "band"]).select("part", "cell", "cross", "mine", "_class", "_root", "sig", "size", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("cell")
         cell = table.column("cell").to_numpy()
         flat, width = unpack(table.column("sketch"), np.uint8)
         start = np.concatenate([[0], np.cumsum(width)])
-        kind, root, mine, size = (table.column(c).to_numpy() for c in ("_class", "_root", "mine", "size"))
-        cross = np.flatnonzero(table.column("cross").to_numpy(zero_copy_only=False))
-        crossed = set(cell[cross].tolist())
+        kind, root, mine, sig, size = (table.column(c).to_numpy() for c in ("_class", "_root", "mine", "sig", "size"))
+        crossed = set(cell[np.flatnonzero(table.column("cross").to_numpy(zero_copy_only=False))].tolist())
         cuts = np.append(np.flatnonzero(np.concatenate([[True], cell[1:] != cell[:-1]])), len(cell))
-        out: list[tuple[int, int, bool]] = []
-        for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        out = [np.zeros((0, 4), np.int64)]
+        for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo > 1 and root[lo:hi].min() != root[lo:hi].max():
                 m = flat[start[lo] : start[hi]].reshape(hi - lo, -1)
-                out += _cell_pairs(m, kind[lo:hi], root[lo:hi], mine[lo:hi] if int(cell[lo]) in crossed else None, size[lo:hi], num)
-        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64()), "best": pa.array([x[2] for x in out], pa.bool_())})
-
-    return cells.groupBy("part").applyInArrow(compare, "a long, b long, best boolean").groupBy("a", "b").agg(F.bool_or("best").alias("best"))
-
-
-def _cell_pairs(m: np.ndarray, kind: np.ndarray, root: np.ndarray, side: np.ndarray | None, size: np.ndarray, num: int) -> list[tuple[int, int, bool]]:
-    """Pairs (smaller class first, closest or not) of a cell: of one block, or of two if ``side`` tells them apart."""
-    out = []
+                pair = _cell_pairs(m, kind[lo:hi], root[lo:hi], mine[lo:hi] if int(cell[lo]) in crossed else None, size[lo:hi], num, closest)
+                out.append(np.column_stack([pair, np.full(len(pair), sig[lo])]))
+        pair = np.concatenate(out)
+        if closest and len(pair):
+            by = np.lexsort((pair[:, 1], pair[:, 0], pair[:, 2]))  # the closest first
+            pair = pair[by]
+            # of each class, as the smaller and as the larger one, and of each signature
+            pair = pair[np.unique(np.concatenate([np.unique(pair[:, c], return_index=True)[1] for c in (0, 1, 3)]))]
+        else:
+            pair = pair[np.unique(pair[:, :2], axis=0, return_index=True)[1]]
+        return pa.table({c: pa.array(pair[:, i], pa.int64()) for i, c in enumerate(("a", "b", "differ", "sig"))})
+
+    return cells.groupBy("part").applyInArrow(compare, "a long, b long, differ long, sig long")
+
+
+def _cell_pairs(m: np.ndarray, kind: np.ndarray, root: np.ndarray, side: np.ndarray | None, size: np.ndarray, num: int, closest: bool) -> np.ndarray:
+    """Rows (smaller class, larger class, differing bytes) of a cell: of one block, or of two if ``side`` tells them apart."""
+    out = [np.zeros((0, 3), np.int64)]
     for x in range(len(kind)):
         ok = (root != root[x]) & (100 * np.minimum(size, size[x]) >= num * np.maximum(size, size[x]))
         if side is not None:
@@ -271,11 +350,13 @@ def _cell_pairs(m: np.ndarray, kind: np.ndarray, root: np.ndarray, side: np.ndar
             continue
         differ = (m[at] != m[x]).sum(axis=1)
         near = differ <= (100 - num) * (size[at] + size[x]) // (100 + num)
-        at, seen = at[near][np.argsort(differ[near], kind="stable")], set()
-        for y in at.tolist():
-            out.append((min(int(kind[x]), int(kind[y])), max(int(kind[x]), int(kind[y])), root[y] not in seen))
-            seen.add(root[y])
-    return out
+        at, differ = at[near], differ[near]
+        if closest and len(at):
+            first = np.lexsort((kind[at], differ))[:1]
+            at, differ = at[first], differ[first]
+        y = kind[at]
+        out.append(np.stack([np.minimum(y, kind[x]), np.maximum(y, kind[x]), differ], axis=1))
+    return np.concatenate(out)
 
 
 def similar_components(docs: DataFrame, staging: Staging, n: int = 4, num: int = 85, id_col: str = "doc_id", text: str = "text", block: int = BLOCK) -> DataFrame:
@@ -306,33 +387,33 @@ def component_ids(docs: DataFrame, staging: Staging, n: int = 4, num: int = 85,
     parts = part_count(text_bytes(docs, text))
     info = staging.write(_classes(base, n), "classes")
     first = info.where("_class IS NOT NULL").groupBy("_class").agg(F.min("_id").alias("_id"))
-
-    def sign(piece: pa.RecordBatch) -> Entries:
-        h, start, kind = sets_of(piece.column("_text"), n)
-        _, once = np.unique(kind, return_index=True)
-        once = np.sort(once[kind[once] != 0])  # of equal sets in a piece, one
-        size = np.diff(start)[once]
-        keep = np.repeat(start[once], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-        row, sig, _ = signatures(h[keep], np.concatenate([[0], np.cumsum(size)]).astype(np.int64), num)
-        return Entries(sig, kind[once][row], np.zeros(len(row), np.int32))
-
-    pairs = shared_keys(base, "_text", sign, parts).select(F.col("leader").alias("a"), F.col("owner").alias("b")).distinct()
-    pairs = staging.write(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("_class")).union(pairs.select("b")).distinct().join(first, "_class")
+    tried = staging.write(candidates(base, n, num, parts), "tried_first")
+    wanted = tried.select(F.col("a").alias("_class")).union(tried.select("b")).distinct().join(first, "_class")
     sets = staging.write(_sets(base, wanted, n), "sets")
     sketches = staging.write(_sketched(sets, num), "sketches")
-    links = staging.write(_tested(pairs, sets, sketches, num), "links")
-    found = components(links, staging, "first")
-    near = _near_pairs(_groups(sets, staging, num), sketches, found, num, parts, block)
-    near = staging.write(near.join(pairs, ["a", "b"], "left_anti"), "near")
-    links = links.unionByName(staging.write(_tested(near.where("best").select("a", "b"), sets, sketches, num), "near_links"))
-    found = components(links, staging, "second")
-    roots = [found.select(F.col("node").alias(c), F.col("root").alias(f"_{c}")) for c in ("a", "b")]
-    rest = near.where("NOT best").join(roots[0], "a", "left").join(roots[1], "b", "left").where(F.coalesce("_a", "a") != F.coalesce("_b", "b")).select("a", "b")
-    links = links.unionByName(staging.write(_tested(rest, sets, sketches, num), "rest_links"))
-    found = components(links, staging, "last")
+    links = staging.write(_tested(tried, sets, sketches, num), "links_first")
+    found = components(links, staging, "found_first")
+    groups = _groups(sets, staging, num)
+    for i in range(ROUNDS):
+        # of all cells of a class, the closest pair
+        near = staging.write(_near_pairs(groups, sketches, found, num, parts, block, closest=True), f"near{i}")
+        # a group without any such pair has none in later rounds either
+        groups = groups.join(near.select("sig").distinct(), "sig", "left_semi")
+        ends = near.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own")).groupBy("own").agg(F.min(F.struct("differ", "a", "b")).alias("p"))
+        best = staging.write(ends.select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti"), f"best{i}")
+        more = staging.write(_tested(best, sets, sketches, num), f"links{i}")
+        tried, links = tried.unionByName(best), links.unionByName(more)
+        if more.isEmpty():
+            break
+        found = components(links, staging, f"found{i}")
+    rest = _near_pairs(groups, sketches, found, num, parts, block, closest=False).select("a", "b").distinct()
+    rest = staging.write(rest.join(tried, ["a", "b"], "left_anti"), "rest")
+    links = links.unionByName(staging.write(_tested(rest, sets, sketches, num), "links_rest"))
+    found = components(links, staging, "linked")
     least = first.join(found, first["_class"] == found["node"], "left").select("_class", "_id", F.coalesce("root", "_class").alias("root"))
     least = staging.write(least, "roots")
     least = least.join(least.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("_class", "component_id")
+    for name in ("tried", "sets", "sketches", "links", "found", "many", "groups", "near", "best", "rest", "linked"):
+        staging.drop(name)
     out = info.alias("i").join(least.alias("l"), F.col("i._class") == F.col("l._class"), "left")
     return out.select("i._id", "i._n", "i._class", F.coalesce("l.component_id", "i._id").alias("component_id"))

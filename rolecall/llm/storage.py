@@ -24,12 +24,15 @@ class Staging:
         self.spark = spark
         self.id = f"{name}_{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._tables: list[str] = []
+        self._paths: dict[str, list[str]] = {}
         self.path = f"{base.rstrip('/')}/{self.id}"
 
     def write(self, df: DataFrame, name: str, by: str | None = None) -> DataFrame:
         """``df`` as Parquet, read back with its own schema."""
         self._n += 1
         path = f"{self.path}/{name}-{self._n}"
+        self._paths.setdefault(name, []).append(f"{name}-{self._n}")
         writer = df.write.partitionBy(by) if by else df.write
         writer.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
@@ -38,6 +41,7 @@ class Staging:
         """``df`` as a table of ``buckets`` hash buckets, sorted inside: a join on ``keys`` reads
         it without a shuffle."""
         table = f"{self.id}_{name}"
+        self._tables.append(name)
         df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{name}").format("parquet").saveAsTable(table)
         return self.spark.table(table)
 
@@ -46,6 +50,19 @@ class Staging:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.id}_{name}")
         self.remove(name)
 
+    def drop(self, name: str) -> None:
+        """Delete the staged tables whose name begins with ``name``: nothing may read them any more."""
+        for known in [k for k in self._paths if k.startswith(name)]:
+            for place in self._paths.pop(known):
+                self.remove(place)
+
+    def close(self) -> None:
+        """Drop everything staged, once what was made of it is written."""
+        for name in self._tables:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.id}_{name}")
+        self._tables, self._paths = [], {}
+        self.remove()
+
     def remove(self, name: str = "") -> None:
         """Delete one table's files, or the whole folder."""
         jvm = self.spark.sparkContext._jvm

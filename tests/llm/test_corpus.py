@@ -1,5 +1,6 @@
 """Operators that compare documents, against brute force on small corpora."""
 
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -8,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rolecall.llm import common, decontaminate, exchange, graph, jaccard, line_dedup, mixing, substring, toxicity
+from rolecall.llm.storage import Staging
 from tests.llm import brute
 from tests.llm.texts import corpus, near, prose
 
@@ -193,6 +195,18 @@ def test_copies_are_found_whatever_their_placeholders_and_case(spark, docs):
     assert found == {(0, 0): 1.0, (1, 0): 1.0, (2, 0): 1.0, (3, 1): 1.0, (4, 1): 1.0, (5, 2): 1.0}
 
 
+def test_number_words_glued_units_and_capitals_of_any_script(spark, docs):
+    item = "When the market closed Tom had sold 3 of his 12 heavy baskets and Mary carried two more home, each of 5 kg, along the old river road."
+    changed = [
+        item.replace("3 of his 12", "four of his twelve").replace("two more", "five more"),
+        item.replace("Tom", "Иван").replace("Mary", "Ольга"),
+        item.replace("5 kg", "9kg"),
+        item.replace("5 kg", "seven kg").replace("Mary", "Élodie"),
+    ]
+    texts = [prose(4, 30) + " " + t + " " + prose(5, 30) for t in changed] + [prose(6, 80)]
+    assert set(leaks(spark, docs, [item], texts)) == {(i, 0) for i in range(4)}
+
+
 def test_a_long_passage_of_a_longer_item_is_found(spark, docs):
     item = prose(8, 200).split()
     texts = [prose(4, 30) + " " + " ".join(item[a:b]) + " " + prose(5, 30) for a, b in ((60, 150), (60, 73), (60, 70))]
@@ -318,3 +332,44 @@ def test_toxicity_without_examples(spark, docs):
     ids = list(range(-50, 200))
     got = docs([(i, "") for i in ids]).select("doc_id", toxicity.held_out("doc_id").alias("h")).collect()
     assert {r["doc_id"]: r["h"] for r in got} == {i: zlib.crc32(str(i).encode()) % 3 == 1 for i in ids}
+
+
+def test_jaccard_candidates_in_two_hops(docs):
+    rows = corpus(6)
+    base = docs(rows).selectExpr("doc_id AS _id", "text AS _text")
+    one, two = (jaccard.candidates(base, 4, 85, 64, fan) for fan in (2048, 5))
+    stars = lambda df: {tuple(sorted(r)) for r in df.collect()}
+    one, two = stars(one), stars(two)
+    assert one and {x for p in one for x in p} == {x for p in two for x in p}
+
+
+@pytest.mark.parametrize("n", [300, 1200])
+def test_pairs_of_near_copies_grow_with_their_number(spark, docs, n):
+    """One group of near copies: every round tests at most one pair a class, and few are left at the end."""
+    counts = {}
+
+    class Counting(Staging):
+        def write(self, df, name, by=None):
+            out = super().write(df, name, by)
+            if name.startswith(("tried", "best", "rest")):
+                counts[name] = out.count()
+            return out
+
+    base = prose(5, 200, 200)
+    rows = [(i, near(base, i, 1 + i % 7)) for i in range(n)]
+    out = jaccard.component_ids(docs(rows), Counting(spark, "pairs"))
+    got = {r["_id"]: r["component_id"] for r in out.collect()}
+    if n < 500:
+        assert got == {i: c for i, (_, c) in brute.op10(rows).items()}
+    assert all(c <= n for name, c in counts.items() if name.startswith("best"))
+    assert counts["tried_first"] <= 20 * n and counts["rest"] <= 4 * n
+
+
+def test_stages_drop_what_they_staged(spark, staging, docs):
+    staging.write(docs([(1, "a")]), "one")
+    kept = staging.write(docs([(2, "b")]), "two")
+    staging.write_sorted(docs([(3, "c")]), "sorted", ["doc_id"], 2)
+    staging.drop("one")
+    assert kept.count() == 1 and spark.table(f"{staging.id}_sorted").count() == 1
+    staging.close()
+    assert not spark.catalog.tableExists(f"{staging.id}_sorted") and not os.path.exists(staging.path)
