@@ -398,7 +398,7 @@ def component_ids(docs: DataFrame, staging: Staging, n: int = 4, num: int = 85,
         # of all cells of a class, the closest pair
         near = staging.write(_near_pairs(groups, sketches, found, num, parts, block, closest=True), f"near{i}")
         # a group without any such pair has none in later rounds either
-        groups = groups.join(near.select("sig").distinct(), "sig", "left_semi")
+        groups = staging.write(groups.join(near.select("sig").distinct(), "sig", "left_semi"), f"live{i}")
         ends = near.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own")).groupBy("own").agg(F.min(F.struct("differ", "a", "b")).alias("p"))
         best = staging.write(ends.select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti"), f"best{i}")
         more = staging.write(_tested(best, sets, sketches, num), f"links{i}")
@@ -413,7 +413,7 @@ def component_ids(docs: DataFrame, staging: Staging, n: int = 4, num: int = 85,
     least = first.join(found, first["_class"] == found["node"], "left").select("_class", "_id", F.coalesce("root", "_class").alias("root"))
     least = staging.write(least, "roots")
     least = least.join(least.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("_class", "component_id")
-    for name in ("tried", "sets", "sketches", "links", "found", "many", "groups", "near", "best", "rest", "linked"):
+    for name in ("tried", "sets", "sketches", "links", "found", "many", "groups", "live", "near", "best", "rest", "linked"):
         staging.drop(name)
     out = info.alias("i").join(least.alias("l"), F.col("i._class") == F.col("l._class"), "left")
     return out.select("i._id", "i._n", "i._class", F.coalesce("l.component_id", "i._id").alias("component_id"))
