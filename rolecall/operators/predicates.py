@@ -136,37 +136,73 @@ def has_keyword(low_text: Column, keyword: str) -> Column:
     return F.contains(low_text, F.lit(word)) & low_text.rlike(pattern)
 
 
-#: Keywords without an ASCII letter or digit have no word to be looked up by; so many are tested one by one.
-MOST_BARE_KEYWORDS = 100
+#: Keywords without an ASCII letter or digit are looked up by pieces of so many characters.
+BARE_PIECE = 3
+#: Keywords tested against one copy of a text, about.
+KEYWORDS_A_TEXT = 1000
+
+
+def _spans(low: Column, pieces: list[int]) -> Column:
+    """What a lower-case text can be looked up by: its words, its pairs of neighbouring words with what stands between
+    them, and pieces of the stretches between words, of each of the given lengths."""
+    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"))
+    gaps = F.split(low, "[a-z0-9]+", -1)
+    # zipped, since a lambda would work out both arrays again for every word
+    rest = lambda c: F.slice(c, 2, 1 << 30)
+    joined = lambda a, b: F.concat(a, b)
+    pairs = F.zip_with(F.zip_with(words, rest(gaps), joined), rest(words), joined)
+    parts = [words, pairs]
+    if pieces:
+        chars = F.transform(F.array_distinct(gaps), lambda g: F.filter(F.split(g, ""), lambda c: c != ""))
+        for n in pieces:
+            cut = lambda cs: F.transform(cs, lambda c, i: F.concat(c, *[F.get(cs, i + k) for k in range(1, n)]))  # noqa: B023, E731
+            parts.append(F.flatten(F.transform(chars, cut)))
+    return F.filter(F.array_distinct(F.concat(*parts)), lambda s: s.isNotNull())
 
 
 def keyword_table_hits(texts_table: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword") -> DataFrame:
     """``(key, keyword)`` for every keyword of a table that stands in a text, by the rule of :func:`has_keyword`.
 
-    The plan does not grow with the number of keywords: texts are cut into words once, the words of keywords among them
-    are joined by hash, and a keyword is tested on the texts that hold its rarest word alone.
+    The plan does not grow with the number of keywords: the spans of texts (:func:`_spans`) that keywords have are joined by
+    hash, and a keyword looks at the texts that hold its rarest span alone. A keyword that is one word or one pair needs no
+    further test; the others of a text are tested together, so that the text is joined once for many of them.
     """
-    words = lambda c: F.regexp_extract_all(c, F.lit("([a-z0-9]+)"))
+    words = F.regexp_extract_all("_low", F.lit("([a-z0-9]+)"))
     wanted = keywords.select(F.col(keyword).alias("keyword"), F.lower(F.col(keyword)).alias("_low")).where(F.col("_low") != "").distinct()
-    wanted = wanted.withColumn("_words", F.array_distinct(words(F.col("_low"))))
+    wanted = stage(wanted.withColumn("_n", F.size(words)), "keywords")
+    bare = F.col("_n") == 0
+    size = F.least(F.length("_low"), F.lit(BARE_PIECE))
+    pieces = sorted(r["size"] for r in wanted.where(bare).select(size.alias("size")).distinct().collect())
+    # a keyword of several words is looked up by its pairs, one of no words by its longest pieces
+    looked = F.filter(
+        _spans(F.col("_low"), pieces),
+        lambda s: F.when(bare, F.length(s) == size).otherwise(F.size(F.regexp_extract_all(s, F.lit("([a-z0-9]+)"))) == F.least("_n", F.lit(2))),
+    )
+    asked = wanted.select("keyword", "_low", "_n", F.explode(looked).alias("_span"))
     low = texts_table.select(F.col(key).alias("_key"), folded(F.col(text)).alias("_text"))
-    needed = wanted.select(F.explode("_words").alias("_word")).distinct()
-    held = low.select("_key", F.explode(F.array_distinct(words(F.col("_text")))).alias("_word"))
-    postings = stage(held.join(needed, "_word", "left_semi"), "postings")
-    counts = postings.groupBy("_word").agg(F.count("*").alias("_n"))
-    rarest = wanted.select("keyword", "_low", F.explode("_words").alias("_word")).join(counts, "_word", "left")
-    # a keyword with a word that no text holds stands nowhere
-    rarest = rarest.groupBy("keyword", "_low").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), "_word")).alias("r")).where("r.n > 0")
-    near = postings.join(rarest.select("keyword", "_low", F.col("r._word").alias("_word")), "_word")
-    quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace("_low", F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
-    found = near.select("_key", "keyword", "_low", quoted.alias("_pattern")).join(low, "_key")
-    hits = found.where(F.contains("_text", F.col("_low")) & F.expr("_text RLIKE _pattern")).select("_key", "keyword")
-    bare = [r["keyword"] for r in wanted.where(F.size("_words") == 0).select("keyword").limit(MOST_BARE_KEYWORDS + 1).collect()]
-    if len(bare) > MOST_BARE_KEYWORDS:
-        raise ValueError(f"more than {MOST_BARE_KEYWORDS} keywords without a letter or digit")
-    for word in bare:
-        hits = hits.unionByName(low.where(has_keyword(F.col("_text"), word)).select("_key", F.lit(word).alias("keyword")))
-    return hits.select(F.col("_key").alias(key), "keyword")
+    held = low.select("_key", F.explode(_spans(F.col("_text"), pieces)).alias("_span"))
+    postings = stage(held.join(asked.select("_span").distinct(), "_span", "left_semi"), "postings")
+    counts = postings.groupBy("_span").agg(F.count("*").alias("_texts"))
+    # a keyword with a span that no text holds stands nowhere
+    rarest = (
+        asked.join(counts, "_span", "left")
+        .groupBy("keyword", "_low", "_n")
+        .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_span")).alias("r"))
+        .where("r.n > 0")
+        .select("keyword", "_low", F.col("r._span").alias("_span"), ((F.col("_n") > 0) & (F.col("_low") == F.col("r._span"))).alias("_sure"))
+    )
+    sure = postings.join(rarest.where("_sure").select("keyword", "_span"), "_span").select("_key", "keyword")
+    near = stage(postings.join(rarest.where("not _sure").drop("_sure"), "_span").select("_key", "keyword", "_low"), "near")
+    shares = near.groupBy("_key").agg(F.ceil(F.count("*") / F.lit(KEYWORDS_A_TEXT)).alias("_shares"))
+    dealt = near.join(shares, "_key").withColumn("_share", F.pmod(F.xxhash64("keyword"), F.col("_shares")))
+    together = dealt.groupBy("_key", "_share").agg(F.collect_list(F.struct("keyword", "_low")).alias("_near"))
+
+    def stands(k: Column) -> Column:
+        quoted = F.concat(F.lit(r"(?<![a-z0-9])\Q"), F.replace(k["_low"], F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E(?![a-z0-9])"))
+        return F.contains(F.col("_text"), k["_low"]) & F.rlike(F.col("_text"), quoted)
+
+    tested = together.join(low, "_key").select("_key", F.explode(F.filter("_near", stands)).alias("k")).select("_key", "k.keyword")
+    return sure.unionByName(tested).select(F.col("_key").alias(key), "keyword")
 
 
 def with_skills(postings: DataFrame, cfg: SearchConfig, where: Column | None = None) -> DataFrame:

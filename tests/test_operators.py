@@ -1,4 +1,5 @@
 import datetime as dt
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -149,3 +150,16 @@ def test_compact_seq_keeps_order(spark):
     rows = spark.createDataFrame([(5,), (1 << 40,), ((1 << 40) + 3,), (1 << 50,)], "seq long")
     got = [r.seq for r in compact_seq(rows, 2).orderBy("seq").collect()]
     assert got == [(2 << 20) + 5, 3 << 20, (3 << 20) + 3, 4 << 20]
+
+
+def test_many_keywords_without_letters(spark):
+    """Any number of them, and keywords of one word, a pair and more words, by the rule of one keyword."""
+    bare = [chr(0x400 + i) + chr(0x430 + i % 32) for i in range(120)] + ["(", "--", "\U0001f600", "é è ü"]
+    keywords = [*bare, "C++", "a b", "A  b", "a b c", "(a", "b.", "b", "\\E.x", "no such", "x-"]
+    texts = [None, "", "a b c", "xa b", "(a  b.) -- c++", "1-- --", "é è ü (", "\U0001f600\U0001f600 \\E.x ab", "x--b.", "a b a b c.", "x- xx-", "".join(bare[:110])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = spark.createDataFrame([(k,) for k in [*keywords, "", "b"]], "keyword string")
+    got = pred.keyword_table_hits(docs, words, "doc_id").collect()
+    low = [(t or "").lower() for t in texts]
+    rule = lambda t, k: re.search(f"(?<![a-z0-9]){re.escape(k.lower())}(?![a-z0-9])", t)
+    assert sorted((r.doc_id, r.keyword) for r in got) == sorted((i, k) for i, t in enumerate(low) for k in keywords if rule(t, k))
