@@ -194,14 +194,13 @@ def score_policies(t: Tables) -> DataFrame:
     """Other weights and both strict treatments of unknown data."""
     weights = {"title": 10, "skills": 0, "experience": 7, "location": 3, "employment_type": 0}
     rows = leveled(t)
-    out = None
-    for policy, credit in (("zero", 0.0), ("full", 1.0)):
+    policies = (("zero", 0.0), ("full", 1.0))
+    for policy, _ in policies:
         cfg = dataclasses.replace(CONFIG, weights=weights, unknown_field_policy=policy)
-        part = with_score(rows, cfg).select(
-            "seq", F.lit(credit).cast("decimal(2,1)").alias("unknown_credit"), "match_score"
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+        rows = with_score(rows, cfg).withColumnRenamed("match_score", f"_{policy}")
+    # both scores of a row in one pass: a union would derive and level every posting twice
+    scores = F.array(*[F.struct(F.lit(u).cast("decimal(2,1)").alias("unknown_credit"), F.col(f"_{p}").alias("match_score")) for p, u in policies])
+    return rows.select("seq", F.explode(scores).alias("s")).select("seq", "s.unknown_credit", "s.match_score")
 
 
 @query(

@@ -24,3 +24,9 @@ def test_query_equals_sql(spark, con, name):
 
 def test_entry_gives_ten_rows(spark):
     assert contract.entry(spark).count() == 10
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_score_policies_read_the_postings_once(spark):
+    scans = lambda name: contract.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().collectLeaves().size()
+    assert scans("score_policies") == scans("title_level")
