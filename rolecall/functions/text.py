@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Java's Unicode \s leaves out the four separator controls.
-WHITESPACE = r"(?U)[\s\x1c-\x1f]+"
+_SPACE = r"[\s\x1c-\x1f]"
+# A run of white space that is not one plain space already: most words of a long text are left alone.
+UNTIDY = rf"(?U){_SPACE}(?:(?<! ){_SPACE}*|{_SPACE}+)"
 
 # Words that hint at a working mode, and accepted explicit spellings.
 REMOTE_WORDS = ("remote", "work from home", "wfh", "anywhere")
@@ -28,7 +32,16 @@ def blank_to_null(c: Column) -> Column:
 
 def squeeze(c: Column) -> Column:
     """Turn every whitespace run into one space and strip the ends."""
-    return F.trim(F.regexp_replace(c, WHITESPACE, " "))
+    return F.trim(F.regexp_replace(c, UNTIDY, " "))
+
+
+def long_text(rule: Callable[[Column], Column], c: Column) -> Column:
+    """``rule`` of a text that may be long, worked out by itself.
+
+    A projection over many columns is generated as one method, and the JVM never compiles methods of more than 8,000
+    bytes: loops over a text that are part of it would be interpreted. A lambda is not generated into that method.
+    """
+    return F.get(F.transform(F.array(c), rule), 0)
 
 
 def clean_text(c: Column) -> Column:
@@ -61,9 +74,10 @@ def has_any(text: Column, words: tuple[str, ...]) -> Column:
     return hit
 
 
-def hint_text(*texts: Column) -> Column:
-    """Lower-case texts in one, for :func:`remote_status`."""
-    return F.lower(F.concat_ws(" ", *[blank_to_null(t) for t in texts]))
+def hint_text(stated: Column, *texts: Column) -> Column:
+    """Lower-case texts in one, for :func:`remote_status`; null where the stated mode settles it."""
+    known = [s for spellings in REMOTE_SPELLINGS.values() for s in spellings]
+    return F.when(~F.coalesce(stated.isin(*known), F.lit(False)), F.lower(F.concat_ws(" ", *[blank_to_null(t) for t in texts])))
 
 
 def remote_status(stated: Column, hints: Column) -> Column:
@@ -79,11 +93,11 @@ def remote_status(stated: Column, hints: Column) -> Column:
     )
 
 
-def location_parts(location: Column) -> tuple[Column, Column]:
-    """City and country of ``"City, …, Country"``; both null without a comma."""
-    parts = F.filter(
-        F.transform(F.split(clean_text(location), ","), lambda p: F.trim(p)), lambda p: p != ""
-    )
+def location_parts(location: Column, clean: bool = False) -> tuple[Column, Column]:
+    """City and country of ``"City, …, Country"``; both null without a comma. ``clean`` says the text went
+    through :func:`clean_text` before."""
+    text = location if clean else clean_text(location)
+    parts = F.filter(F.transform(F.split(text, ","), lambda p: F.trim(p)), lambda p: p != "")
     usable = F.size(parts) >= 2
 
     def place(index: int) -> Column:

@@ -25,10 +25,13 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
 
     clean = {name: text.clean_text(given(name)) for name in (
         "title", "company_name", "location", "city", "country", "source_job_id",
-        "department", "description", "salary_currency", "ats",
+        "department", "salary_currency", "ats",
     )}
+    clean["description"] = text.blank_to_null(F.col("_body"))
     payload = [c for c in (*PAYLOAD_FIELDS,) if c in types]
-    base = raw.select(
+    stated = F.lower(text.clean_text(given("remote_status")))
+    body = text.long_text(text.squeeze, given("description").cast("string"))
+    base = raw.withColumn("_body", body).select(
         *[given(name).alias(name) for name in CARRIED if name not in ("source_url",)],
         given("company_domain").alias("company_domain"),
         F.coalesce(text.clean_text(given("source_url")), text.clean_text(given("url"))).alias("source_url"),
@@ -37,8 +40,8 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
         F.coalesce(
             clean["company_name"], given("context_name"), text.clean_text(given("company_hint")), F.lit("")
         ).alias("company_name"),
-        F.lower(text.clean_text(given("remote_status"))).alias("_stated"),
-        text.hint_text(clean["location"], given("description"), given("title")).alias("_hints"),
+        stated.alias("_stated"),
+        text.hint_text(stated, clean["location"], given("description"), given("title")).alias("_hints"),
         text.token(given("employment_type")).alias("employment_type"),
         text.to_int(given("experience_min")).alias("_low"),
         text.to_int(given("experience_max")).alias("_high"),
@@ -54,7 +57,7 @@ def normalize_postings(raw: DataFrame) -> DataFrame:
         ).alias("is_fixture"),
     )
     both = F.col("_low").isNotNull() & F.col("_high").isNotNull()
-    derived_city, derived_country = text.location_parts(F.col("location"))
+    derived_city, derived_country = text.location_parts(F.col("location"), clean=True)
     out = base.withColumns(
         {
             "experience_min": F.when(both, F.least("_low", "_high")).otherwise(F.col("_low")),

@@ -10,6 +10,7 @@ from rolecall.functions.identity import entity_key
 from rolecall.operators import predicates as pred
 from rolecall.operators.firsts import latest_review_rows
 from rolecall.operators.lifecycle import touch
+from rolecall.operators.normalize import normalize_postings
 from rolecall.operators.score import with_score
 from rolecall.sources.registry import available_sources, compact_seq, register_source, Source, select_sources
 from tests import golden
@@ -163,3 +164,29 @@ def test_many_keywords_without_letters(spark):
     low = [(t or "").lower() for t in texts]
     rule = lambda t, k: re.search(f"(?<![a-z0-9]){re.escape(k.lower())}(?![a-z0-9])", t)
     assert sorted((r.doc_id, r.keyword) for r in got) == sorted((i, k) for i, t in enumerate(low) for k in keywords if rule(t, k))
+
+
+def test_squeeze_of_every_white_space(spark):
+    """Runs of any white space become one space; tidy text has nothing to replace."""
+    pieces = ["", " ", "  ", "\n", " \n", "\n ", "\t\t", "\x1c", "\x1f ", "\x85", " ", "  ", "  ", "　", "\r\n", "​", "᠎"]
+    rows = [(a + "x" + b + "y z" + c + "\U0001f600" + a,) for a in pieces for b in pieces for c in pieces]
+    seen = spark.createDataFrame(rows, "t string").select("t", text.squeeze(F.col("t")), text.long_text(text.squeeze, F.col("t"))).collect()
+    for given, once, long in seen:
+        want = re.sub("[\\s]+", " ", given).strip(" ")
+        assert once == want and long == want
+    assert spark.sql("SELECT 'a b c' AS t").select(F.regexp_count("t", F.lit(text.UNTIDY))).first()[0] == 0
+
+
+def test_long_text_is_no_part_of_a_generated_method(spark):
+    """The rule over the description is worked out by itself: a huge method would be interpreted."""
+    raw = spark.createDataFrame([(1, "a  b", "c \n d")], "seq long, title string, description string")
+    plan = normalize_postings(raw).select("title", "description")._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(description" in plan and "regexp_replace(description" not in plan
+
+
+def test_hints_are_folded_only_where_no_mode_is_stated(spark):
+    rows = [("Remote", "hybrid"), ("flexible", "a Hybrid job"), (None, "Work FROM home"), (None, None), ("office", "wfh")]
+    raw = spark.createDataFrame(rows, "remote_status string, description string").withColumn("seq", F.lit(1))
+    assert [r[0] for r in normalize_postings(raw).select("remote_status").collect()] == ["remote", "hybrid", "remote", "unknown", "onsite"]
+    stated = raw.select(text.hint_text(F.lower("remote_status"), F.col("description")).alias("h")).collect()
+    assert [r[0] for r in stated] == [None, "a hybrid job", "work from home", "", None]
