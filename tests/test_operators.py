@@ -190,3 +190,16 @@ def test_hints_are_folded_only_where_no_mode_is_stated(spark):
     assert [r[0] for r in normalize_postings(raw).select("remote_status").collect()] == ["remote", "hybrid", "remote", "unknown", "onsite"]
     stated = raw.select(text.hint_text(F.lower("remote_status"), F.col("description")).alias("h")).collect()
     assert [r[0] for r in stated] == [None, "a hybrid job", "work from home", "", None]
+
+
+def test_keyword_pattern_begins_with_the_keyword(spark):
+    """The same answers as with a look-behind in front, which would be tried at every character."""
+    words = ["the", "c++", "a a", ".js", "tat", "-", "9", "é"]
+    texts_ = ["the", "xthe the", "bathe", "the9", "ethe_the", "c++", "c+++", "xc++ (c++)", "a a a", "ba a a", "node.js", " .js", "tatat", "tatat tat", "--", "a-", "19 9", "éé", "xé", ""]
+    rows = spark.createDataFrame([(t,) for t in texts_], "t string")
+    hits = rows.select("t", *[pred.has_keyword(F.col("t"), w).alias(str(i)) for i, w in enumerate(words)])
+    for row in hits.collect():
+        for i, w in enumerate(words):
+            assert row[str(i)] == bool(re.search(r"(?<![a-z0-9])" + re.escape(w) + r"(?![a-z0-9])", row["t"])), (row["t"], w)
+    plan = hits._jdf.queryExecution().optimizedPlan().toString()
+    assert "RLIKE" in plan and "RLIKE(t#0, (?<!" not in plan and ", (?<!" not in plan
