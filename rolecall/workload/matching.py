@@ -140,7 +140,7 @@ SELECT seq, CASE WHEN contains(blob, 'urgent') THEN 'urgent' WHEN contains(blob,
 )
 def excluded_keyword(t: Tables) -> DataFrame:
     return normalize_postings(t.postings).select(
-        "seq", pred.excluded_hit(F.col("title"), F.col("description"), _WIDE).alias("hit")
+        "seq", pred.excluded_hit(F.col("title"), F.col("description"), _WIDE, F.col("search_text")).alias("hit")
     )
 
 

@@ -1,3 +1,4 @@
+import dataclasses
 import datetime as dt
 import re
 
@@ -203,3 +204,27 @@ def test_keyword_pattern_begins_with_the_keyword(spark):
             assert row[str(i)] == bool(re.search(r"(?<![a-z0-9])" + re.escape(w) + r"(?![a-z0-9])", row["t"])), (row["t"], w)
     plan = hits._jdf.queryExecution().optimizedPlan().toString()
     assert "RLIKE" in plan and "RLIKE(t#0, (?<!" not in plan and ", (?<!" not in plan
+
+
+def test_searches_of_descriptions_need_no_squeezed_text(spark):
+    """Words are found before white space is squeezed as they are after; skills with white space still need it."""
+    pieces = ["", "the", " the ", "the\ncat", "a  the　b", "bathe", "der\x1c", "the  cat", "the cat", " \n ", "THE\tCat", "promo\n", None]
+    raw = spark.createDataFrame(
+        [(i, t, s) for i, (t, s) in enumerate((t, s) for t in pieces for s in (None, "x; the"))], "seq long, description string, skills string"
+    )
+    cfg = SearchConfig(skills=("the", "der", "the cat"), preferred_skills=("cat",), excluded_keywords=("promo", "cat"), excluded_keyword_fields=("title", "description"))
+    rows = normalize_postings(raw)
+    shown = ["seq", "skills_found", "skills_missing", "preferred_found", "has_skill_data", "excluded_hit"]
+    fast = pred.with_levels(rows, cfg).select(*shown)
+    assert sorted(fast.collect()) == sorted(pred.with_levels(rows.drop("search_text"), cfg).select(*shown).collect())
+    words = dataclasses.replace(cfg, skills=("the", "der"))
+    plan = pred.with_levels(rows, words).select(*shown)._jdf.queryExecution().optimizedPlan().toString()
+    assert "transform(array(description" not in plan and "lower(description" in plan
+
+
+def test_title_words_are_worked_out_once(spark):
+    rows = spark.createDataFrame([("Small red  widget",)], "title string")
+    level, role = pred.title_level(F.col("title"), ("red old plate", "small blue widget", "hot rod"))
+    shown = rows.select(level.alias("level"))
+    assert shown.first()[0] == "PARTIAL" and rows.select(role.alias("r")).first()[0] == "small blue widget"
+    assert shown._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
