@@ -294,17 +294,24 @@ def with_levels(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
 def judge(postings: DataFrame, cfg: SearchConfig) -> DataFrame:
     """:func:`ordered_filter` over :func:`with_levels`, stopping at the first failed test: the long texts of
     rows that a test before the skills rejects are not searched, and their skill columns tell nothing."""
+    return ordered_filter(searched(postings, cfg, matched=True), cfg)
+
+
+def searched(postings: DataFrame, cfg: SearchConfig, matched: bool = False) -> DataFrame:
+    """The levels that :func:`ordered_filter` reads, with texts searched as by :func:`judge`. Rows need not be ``matched``
+    to entities yet: searched before, they go through that join without their texts, and only rows that nothing but the
+    target would reject are searched beyond what :func:`judge` searches."""
     cheap = _with_cheap_levels(postings, cfg)
-    cheap = cheap.withColumn("_alive", _first(*_early_failures(cfg)).isNull())
-    return ordered_filter(with_skills(cheap, cfg, F.col("_alive")).drop("_alive"), cfg)
+    cheap = cheap.withColumn("_alive", _first(*_early_failures(cfg, matched)).isNull())
+    return with_skills(cheap, cfg, F.col("_alive")).drop("_alive")
 
 
-def _early_failures(cfg: SearchConfig) -> list[Column]:
-    """Reason of each failed test before the skills, in order."""
+def _early_failures(cfg: SearchConfig, matched: bool = True) -> list[Column]:
+    """Reason of each failed test before the skills, in order; without the target's if rows are not ``matched``."""
     col, lit, say = F.col, F.lit, F.concat
     bounds = f"{cfg.experience_min}-{cfg.experience_max} yrs"
     failures: list[Column] = []
-    if cfg.require_target_company:
+    if cfg.require_target_company and matched:
         failures.append(F.when(blank_to_null(col("target_match")).isNull(), "Not a target company"))
     failures.append(F.when(col("excluded_hit").isNotNull(), say(lit("Excluded keyword: "), col("excluded_hit"))))
     if cfg.roles:

@@ -9,8 +9,7 @@ from pyspark.sql import functions as F
 
 from rolecall.operators import predicates as pred
 from rolecall.operators.firsts import last_finished_run
-from rolecall.operators.match import match_entities, with_priority
-from rolecall.operators.normalize import normalize_postings
+from rolecall.operators.match import with_priority
 from rolecall.operators.rank import latest_errors, listing_order, newest_since, numbered, rank_order, ranked, top_scored
 from rolecall.operators.score import with_score
 from rolecall.plans import reports
@@ -19,6 +18,7 @@ from rolecall.schemas import COUNTER_NAMES, DISCOVERY
 from rolecall.session import shared_folder
 from rolecall.workload import sqltext as q
 from rolecall.workload.catalog import query
+from rolecall.workload.matching import judged
 from rolecall.workload.tables import CONFIG, ENTITIES, ERRORS, TRACKING, Tables, duck
 from rolecall.workload.tracking import AT, moment
 
@@ -66,9 +66,8 @@ def rank_top10(t: Tables) -> DataFrame:
 )
 def posting_top10(t: Tables) -> DataFrame:
     """From raw postings to the ten best: normalise, match, filter, score, rank."""
-    rows = match_entities(normalize_postings(t.postings), t.entities)
-    judged = with_score(pred.judge(rows, CONFIG), CONFIG, only_accepted=True)
-    shown = judged.select(F.col("seq").alias("job_id"), "company_name", "title", "match_score", "posted_at")
+    scored = with_score(judged(t, CONFIG), CONFIG, only_accepted=True)
+    shown = scored.select(F.col("seq").alias("job_id"), "company_name", "title", "match_score", "posted_at")
     return top_scored(with_priority(shown, t.entities)).select("job_id", "match_score", "company_name", "title")
 
 
@@ -175,9 +174,8 @@ FROM scored s LEFT JOIN entities e ON e.name = s.company_name"""
 @query("export_rows", _EXPORT)
 def exported(t: Tables) -> DataFrame:
     """The display row of every posting."""
-    rows = match_entities(normalize_postings(t.postings), t.entities)
-    judged = with_score(pred.judge(rows, CONFIG), CONFIG, only_accepted=True)
-    shown = with_priority(judged, t.entities, default="").withColumns(
+    scored = with_score(judged(t, CONFIG), CONFIG, only_accepted=True)
+    shown = with_priority(scored, t.entities, default="").withColumns(
         {"application_url": F.col("source_url"), "first_seen": F.col("seq"), "status": F.lit("NEW")}
     )
     return export_rows(shown).withColumnRenamed("First Seen", "seq")

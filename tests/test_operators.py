@@ -1,6 +1,7 @@
 import dataclasses
 import datetime as dt
 import re
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,12 +12,14 @@ from rolecall.functions.identity import entity_key
 from rolecall.operators import predicates as pred
 from rolecall.operators.firsts import latest_review_rows
 from rolecall.operators.lifecycle import touch
+from rolecall.operators.match import match_entities
 from rolecall.operators.normalize import normalize_postings
 from rolecall.operators.score import with_score
 from rolecall.plans.run import decide
 from rolecall.schemas import CONTENT
 from rolecall.session import stage
 from rolecall.sources.registry import available_sources, compact_seq, register_source, Source, select_sources
+from rolecall.workload.matching import judged
 from tests import golden
 
 
@@ -249,3 +252,25 @@ def test_texts_do_not_go_through_the_joins_of_decide(spark):
             shown = line.split("[", 1)[1].split("]")[0] if "Project [" in line else line
             assert not re.search(r"(^|, )description#\d+(,|$)", shown) and "Relation" not in line.split("[")[0], line
         parents.append((depth, line.split("[")[0]))
+
+
+def test_texts_do_not_go_through_the_join_with_entities(spark):
+    """Rows are judged as if they had been matched before; the join moves no description."""
+    raw = spark.createDataFrame([(0, "x", "Acme", "a the"), (1, "x", "Other", "a the"), (2, "x", "Acme", "none"), (3, "y", "Acme", "the")], "seq long, title string, company_name string, description string")
+    entities = spark.createDataFrame([(7, "Acme", None, None, "A", True)], "entity_id long, name string, domain string, careers_url string, priority string, enabled boolean")
+    cfg = SearchConfig(roles=("x",), skills=("the",), require_target_company=True)
+    tables = SimpleNamespace(postings=raw, entities=entities)
+    got = judged(tables, cfg)
+    shown = ["seq", "accepted", "reject_reason", "notes", "target_match"]
+    assert sorted(got.select(*shown).collect()) == sorted(pred.judge(match_entities(normalize_postings(raw), entities), cfg).select(*shown).collect())
+    assert [r.accepted for r in got.orderBy("seq").collect()] == [True, False, False, False]
+    moved = []
+    for line in got.select(*shown)._jdf.queryExecution().optimizedPlan().toString().splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if moved and depth == moved[-1][0] + 3 and "Project [" in line:
+            moved[-1][1].append(re.sub(r" AS \w+#\d+", "", line.split("Project ", 1)[1].rsplit("]", 1)[0]))
+        if "Join" in line:
+            moved.append((depth, []))
+    shown = [p for _, projects in moved for p in projects]
+    assert any("skills_found" in p or "_has_0" in p for p in shown)
+    assert not any(re.search(r"(\[|, )(description|search_text)#\d+(,|$)", p) for p in shown)
