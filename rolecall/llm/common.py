@@ -201,16 +201,29 @@ def only_marked(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
     moves little. The filter is a bitmap of fixed size; where it is full, rows just pass."""
     from pyspark.sql import functions as F
 
-    slot = lambda df: F.pmod(F.xxhash64(df[key]), F.lit(1 << _MARK_BITS))
-    bits = wanted.select(slot(wanted).alias("s")).groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 AS int))")).alias("bit"))
+    bitmap = marks(wanted.select(F.xxhash64(wanted[key])))
+
+    @F.arrow_udf("boolean")
+    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for h in batches:
+            yield pa.array(is_marked(bitmap, h.to_numpy(zero_copy_only=False)))
+
+    return rows.where(marked(F.xxhash64(rows[key])))
+
+
+def marks(hashes: DataFrame) -> np.ndarray:
+    """A bitmap of fixed size of the 64-bit hashes in the only column; see :func:`is_marked`."""
+    from pyspark.sql import functions as F
+
+    slots = hashes.toDF("h").select(F.pmod("h", F.lit(1 << _MARK_BITS)).alias("s"))
+    bits = slots.groupBy(F.shiftright("s", 5).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 31 AS int))")).alias("bit"))
     filled = bits.toArrow()  # at most 2 ** (_MARK_BITS - 5) rows
     bitmap = np.zeros(1 << (_MARK_BITS - 5), np.uint32)
     bitmap[filled.column("word").to_numpy()] = filled.column("bit").to_numpy()
+    return bitmap
 
-    @F.arrow_udf("boolean")
-    def marked(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for s in batches:
-            at = s.to_numpy(zero_copy_only=False)
-            yield pa.array((bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool))
 
-    return rows.where(marked(slot(rows)))
+def is_marked(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which int64 hashes may be among those of ``bitmap``: all that are, and a few others."""
+    at = h & ((1 << _MARK_BITS) - 1)
+    return (bitmap[at >> 5] >> (at & 31).astype(np.uint32) & 1).astype(bool)

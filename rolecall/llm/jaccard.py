@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rolecall.llm.common import LOWER, WHITE, mix, only_marked, pieces, shingles, text_bytes, utf8, words
+from rolecall.llm.common import LOWER, WHITE, is_marked, marks, mix, only_marked, pieces, shingles, text_bytes, utf8, words
 from rolecall.llm.exchange import FAN, _pack, _ranges, part_count, unpack
 from rolecall.llm.graph import components
 from rolecall.llm.storage import Staging
@@ -223,8 +223,9 @@ def _sets(base: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
     return only_marked(base, "_id", wanted).join(wanted, "_id").select("_text", "_class").mapInArrow(build, "_class long, _set binary")
 
 
-def _tested(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar: by their sketches first, then exactly."""
+def _tested(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, staging: Staging, num: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar: by their sizes and sketches first, then exactly. Sketches meet pairs
+    of fitting sizes in one band, sets only pairs that the sketches leave: few tests move few sets."""
 
     @F.arrow_udf("boolean")
     def near(parts: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
@@ -237,13 +238,17 @@ def _tested(pairs: DataFrame, sets: DataFrame, sketches: DataFrame, num: int) ->
         for left, right in parts:
             yield pa.array([similar(np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64), num) for x, y in zip(left, right, strict=True)], pa.bool_())
 
-    one = sketches.select(F.col("_class").alias("a"), "band", F.col("size").alias("m"), F.col("sketch").alias("s"))
-    two = sketches.select(F.col("_class").alias("b"), "band", F.col("size").alias("n"), F.col("sketch").alias("t"))
     fit = F.least("m", "n") * 100 >= F.greatest("m", "n") * num
-    pairs = pairs.join(one, "a").join(two, ["b", "band"]).where(fit).where(near("s", "t", "m", "n")).select("a", "b").distinct()
-    left = sets.select(F.col("_class").alias("a"), F.col("_set").alias("_x"))
-    right = sets.select(F.col("_class").alias("b"), F.col("_set").alias("_y"))
-    return pairs.join(left, "a").join(right, "b").where(check("_x", "_y")).select("a", "b")
+    sizes = only_marked(sketches.select("_class", "band", "size"), "_class", pairs.select(F.explode(F.array("a", "b")).alias("_class")))
+    m, n = sizes.select(F.col("_class").alias("a"), "band", F.col("size").alias("m")), sizes.select(F.col("_class").alias("b"), "band", F.col("size").alias("n"))
+    fitting = pairs.join(m, "a").join(n, ["b", "band"]).where(fit).groupBy("a", "b").agg(*[F.max(c).alias(c) for c in ("band", "m", "n")])
+    fitting = staging.write(fitting, "fitting")
+    shown = only_marked(sketches.select("_class", "band", "sketch"), "_class", fitting.select(F.explode(F.array("a", "b")).alias("_class")))
+    one, two = shown.toDF("a", "band", "s"), shown.toDF("b", "band", "t")
+    close = staging.write(fitting.join(one, ["a", "band"]).join(two, ["b", "band"]).where(near("s", "t", "m", "n")).select("a", "b"), "close")
+    known = only_marked(sets, "_class", close.select(F.explode(F.array("a", "b")).alias("_class")))
+    left, right = known.select(F.col("_class").alias("a"), F.col("_set").alias("_x")), known.select(F.col("_class").alias("b"), F.col("_set").alias("_y"))
+    return close.join(left, "a").join(right, "b").where(check("_x", "_y")).select("a", "b")
 
 
 def _sketched(sets: DataFrame, num: int) -> DataFrame:
@@ -284,19 +289,26 @@ def _groups(sets: DataFrame, staging: Staging, num: int) -> DataFrame:
     """(sig, band, _class, n, lead) of all groups of three or more classes that share a signature; of
     groups with the same classes, one. Two classes alone were tested with each other."""
 
+    shared: list[np.ndarray] = []
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, count = unpack(batch.column("_set"), np.uint64)
             row, sig, band = signatures(h, np.concatenate([[0], np.cumsum(count)]), num)
+            for bitmap in shared:
+                kept = is_marked(bitmap, sig.view(np.int64))
+                row, sig, band = row[kept], sig[kept], band[kept]
             yield pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(band, pa.int64()), batch.column("_class").take(pa.array(row))], names=["sig", "band", "_class"])
 
     signed = sets.mapInArrow(sign, "sig long, band long, _class long")
     many = signed.groupBy("sig").agg(F.count("*").alias("n"), F.sum(F.shiftright("_class", 24)).alias("who"), F.min("_class").alias("lead")).where("n > 2")
     many = staging.write(many.groupBy("n", "who", "lead").agg(F.min("sig").alias("sig")).select("sig", "n", "lead"), "many")
+    shared.append(marks(many.select("sig")))  # signed again, without signatures that no group has
+    signed = sets.mapInArrow(sign, "sig long, band long, _class long")
     return staging.write(signed.join(many, "sig"), "groups")
 
 
-def _near_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, num: int, parts: int, block: int, closest: bool) -> DataFrame:
+def _near_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, staging: Staging, num: int, parts: int, block: int, closest: bool) -> DataFrame:
     """(a, b, differ, sig): classes that share a signature, lie in different components ``found`` and may be
     similar by their sketches, which differ in ``differ`` bytes. With ``closest``, of each class only the closest pair
     in each task, and for each signature some pair if there is one. Groups with the same smallest class, which are much
@@ -309,7 +321,9 @@ def _near_pairs(groups: DataFrame, sketches: DataFrame, found: DataFrame, num: i
     two = (F.least("mine", "other"), F.greatest("mine", "other"))
     part = F.pmod(F.xxhash64("lead", *two), F.lit(parts))
     member = member.select("_class", "_root", "band", "mine", "sig", (F.col("mine") != F.col("other")).alias("cross"), F.xxhash64("sig", *two).alias("cell"), part.alias("part"))
-    cells = member.join(sketches, ["_class", "band"]).select("part", "cell", "cross", "mine", "_class", "_root", "sig", "size", "sketch")
+    member = staging.write(member, "member")
+    shown = only_marked(sketches, "_class", member.select("_class"))
+    cells = member.join(shown, ["_class", "band"]).select("part", "cell", "cross", "mine", "_class", "_root", "sig", "size", "sketch")
 
     def compare(table: pa.Table) -> pa.Table:
         table = table.combine_chunks().sort_by("cell")
@@ -391,29 +405,29 @@ def component_ids(docs: DataFrame, staging: Staging, n: int = 4, num: int = 85,
     wanted = tried.select(F.col("a").alias("_class")).union(tried.select("b")).distinct().join(first, "_class")
     sets = staging.write(_sets(base, wanted, n), "sets")
     sketches = staging.write(_sketched(sets, num), "sketches")
-    links = staging.write(_tested(tried, sets, sketches, num), "links_first")
+    links = staging.write(_tested(tried, sets, sketches, staging, num), "links_first")
     found = components(links, staging, "found_first")
     groups = _groups(sets, staging, num)
     for i in range(ROUNDS):
         # of all cells of a class, the closest pair
-        near = staging.write(_near_pairs(groups, sketches, found, num, parts, block, closest=True), f"near{i}")
+        near = staging.write(_near_pairs(groups, sketches, found, staging, num, parts, block, closest=True), f"near{i}")
         # a group without any such pair has none in later rounds either
         groups = staging.write(groups.join(near.select("sig").distinct(), "sig", "left_semi"), f"live{i}")
         ends = near.select("a", "b", "differ", F.explode(F.array("a", "b")).alias("own")).groupBy("own").agg(F.min(F.struct("differ", "a", "b")).alias("p"))
         best = staging.write(ends.select("p.a", "p.b").distinct().join(tried, ["a", "b"], "left_anti"), f"best{i}")
-        more = staging.write(_tested(best, sets, sketches, num), f"links{i}")
+        more = staging.write(_tested(best, sets, sketches, staging, num), f"links{i}")
         tried, links = tried.unionByName(best), links.unionByName(more)
         if more.isEmpty():
             break
         found = components(links, staging, f"found{i}")
-    rest = _near_pairs(groups, sketches, found, num, parts, block, closest=False).select("a", "b").distinct()
+    rest = _near_pairs(groups, sketches, found, staging, num, parts, block, closest=False).select("a", "b").distinct()
     rest = staging.write(rest.join(tried, ["a", "b"], "left_anti"), "rest")
-    links = links.unionByName(staging.write(_tested(rest, sets, sketches, num), "links_rest"))
+    links = links.unionByName(staging.write(_tested(rest, sets, sketches, staging, num), "links_rest"))
     found = components(links, staging, "linked")
     least = first.join(found, first["_class"] == found["node"], "left").select("_class", "_id", F.coalesce("root", "_class").alias("root"))
     least = staging.write(least, "roots")
     least = least.join(least.groupBy("root").agg(F.min("_id").alias("component_id")), "root").select("_class", "component_id")
-    for name in ("tried", "sets", "sketches", "links", "found", "many", "groups", "live", "near", "best", "rest", "linked"):
+    for name in ("tried", "fitting", "close", "sets", "sketches", "links", "found", "many", "groups", "live", "near", "member", "best", "rest", "linked"):
         staging.drop(name)
     out = info.alias("i").join(least.alias("l"), F.col("i._class") == F.col("l._class"), "left")
     return out.select("i._id", "i._n", "i._class", F.coalesce("l.component_id", "i._id").alias("component_id"))

@@ -4,6 +4,7 @@ import os
 import random
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
@@ -373,3 +374,22 @@ def test_stages_drop_what_they_staged(spark, staging, docs):
     assert kept.count() == 1 and spark.table(f"{staging.id}_sorted").count() == 1
     staging.close()
     assert not spark.catalog.tableExists(f"{staging.id}_sorted") and not os.path.exists(staging.path)
+
+
+def test_sets_meet_only_pairs_that_sketches_leave(spark, staging):
+    """Of the pairs of a round, those of unlike sketches or sizes move no set."""
+    rng = np.random.default_rng(5)
+    base = rng.integers(1, 1 << 63, 300, dtype=np.uint64)
+    sets = {1: base, 2: np.concatenate([base[:290], rng.integers(1, 1 << 63, 10, dtype=np.uint64)]), 3: rng.integers(1, 1 << 63, 300, dtype=np.uint64), 4: base[:200], 5: rng.integers(1, 1 << 63, 290, dtype=np.uint64)}
+    table = spark.createDataFrame([(c, bytearray(np.sort(h).tobytes())) for c, h in sets.items()], "_class long, _set binary")
+    pairs = spark.createDataFrame([(1, 2), (1, 3), (1, 4), (2, 3), (3, 5), (1, 5)], "a long, b long")
+    assert [tuple(r) for r in jaccard._tested(pairs, table, jaccard._sketched(table, 85), staging, 85).collect()] == [(1, 2)]
+    read = lambda name: spark.read.parquet(*[f"{staging.path}/{p}" for p in staging._paths[name]])
+    assert sorted((r.a, r.b) for r in read("fitting").collect()) == [(1, 2), (1, 3), (1, 5), (2, 3), (3, 5)]
+    assert [(r.a, r.b) for r in read("close").collect()] == [(1, 2)]
+
+
+def test_bitmap_keeps_every_wanted_hash(spark):
+    h = np.array([-1, -(1 << 62), 0, 5, 1 << 40, (1 << 63) - 1], np.int64)
+    bitmap = common.marks(spark.createDataFrame([(int(x),) for x in h], "sig long"))
+    assert common.is_marked(bitmap, h).all() and not common.is_marked(bitmap, h + 1000).any()
