@@ -140,63 +140,152 @@ def has_keyword(low_text: Column, keyword: str) -> Column:
     return F.contains(low_text, F.lit(word)) & low_text.rlike(pattern)
 
 
-#: Keywords without an ASCII letter or digit are looked up by pieces of so many characters.
-BARE_PIECE = 3
+#: Most signs a span keeps on either side of its words, and most characters of a span without words.
+EDGE = 4
 #: Keywords tested against one copy of a text, about.
 KEYWORDS_A_TEXT = 1000
+#: Long numbers in a bitmap of :func:`_bitmap`: 256 kB, however many strings it stands for.
+SLOTS = 1 << 15
 
+_WORD = "[a-z0-9]+"
 
-def _spans(low: Column, pieces: list[int]) -> Column:
-    """What a lower-case text can be looked up by: its words, its pairs of neighbouring words with what stands between
-    them, and pieces of the stretches between words, of each of the given lengths."""
-    words = F.regexp_extract_all(low, F.lit("([a-z0-9]+)"))
-    gaps = F.split(low, "[a-z0-9]+", -1)
+
+def _words(low: Column) -> Column:
+    return F.regexp_extract_all(low, F.lit(_WORD), F.lit(0))
+
+
+def _pairs(words: Column, gaps: Column) -> Column:
+    """Each word with the next one and what stands between them; null for the last word. ``gaps`` begin before the first word."""
     # zipped, since a lambda would work out both arrays again for every word
     rest = lambda c: F.slice(c, 2, 1 << 30)
     joined = lambda a, b: F.concat(a, b)
-    pairs = F.zip_with(F.zip_with(words, rest(gaps), joined), rest(words), joined)
-    parts = [words, pairs]
-    if pieces:
-        chars = F.transform(F.array_distinct(gaps), lambda g: F.filter(F.split(g, ""), lambda c: c != ""))
-        for n in pieces:
-            cut = lambda cs: F.transform(cs, lambda c, i: F.concat(c, *[F.get(cs, i + k) for k in range(1, n)]))  # noqa: B023, E731
-            parts.append(F.flatten(F.transform(chars, cut)))
-    return F.filter(F.array_distinct(F.concat(*parts)), lambda s: s.isNotNull())
+    return F.zip_with(F.zip_with(words, rest(gaps), joined), rest(words), joined)
+
+
+def _pieces(chars: Column, n: int) -> Column:
+    """Stretches of ``n`` neighbouring characters; nulls at the end."""
+    return F.transform(chars, lambda c, i: F.concat(c, *[F.get(chars, i + k) for k in range(1, n)]))
+
+
+def _chars(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0))
+
+
+def _place(s: Column) -> tuple[Column, Column]:
+    return F.pmod(F.hash(s), F.lit(SLOTS)), F.pmod(F.xxhash64(s), F.lit(64)).cast("int")
+
+
+def _bitmap(strings: DataFrame, name: str) -> DataFrame:
+    """One row with a bitmap of fixed size, for :func:`_may_hold`, of the strings in the only column."""
+    slot, bit = _place(F.col(strings.columns[0]))
+    one = F.lit(1).cast("long")
+    bits = strings.select(slot.cast("long").alias("slot"), F.call_function("shiftleft", one, bit).alias("bits"))
+    empty = strings.sparkSession.range(SLOTS).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("bits"))
+    slots = bits.unionByName(empty).groupBy("slot").agg(F.bit_or("bits").alias("bits"))
+    ordered = F.array_sort(F.collect_list(F.struct("slot", "bits")))
+    return slots.agg(F.transform(ordered, lambda s: s["bits"]).alias(name))
+
+
+def _may_hold(bitmap: Column, s: Column) -> Column:
+    """Whether a string may be one of the bitmap's: never false for one that is."""
+    slot, bit = _place(s)
+    return s.isNotNull() & (F.getbit(F.get(bitmap, slot), bit) == 1)
+
+
+def _spans(words: Column, gaps: Column, bitmap: Column, sizes: list[int]) -> Column:
+    """The distinct spans of a text that a bitmap may hold.
+
+    A span stands in the text by the rule of :func:`has_keyword` and is one word, or two neighbours with what stands between
+    them, with up to :data:`EDGE` signs on either side, or one of ``sizes`` characters without a word. ``gaps`` are what
+    stands before, between and after the words, with a sign more at both ends of the text: so what a span takes of a gap
+    always leaves one sign of it. Edges are tried only where the words alone are in the bitmap.
+    """
+
+    def edged(core: Column, left: Column, right: Column) -> Column:
+        def most(gap: Column) -> Column:
+            return F.sequence(F.lit(0), F.least(F.length(gap) - 1, F.lit(EDGE)))
+
+        def both(i: Column) -> Column:
+            start = F.concat(F.substring(left, -i, i), core)
+            return F.transform(most(right), lambda j: F.concat(start, F.substring(right, F.lit(1), j)))
+
+        plain = (F.length(left) == 1) & (F.length(right) == 1)
+        return F.when(plain, F.array(core)).otherwise(F.flatten(F.transform(most(left), both)))
+
+    def around(cores: Column, n: int) -> Column:
+        none = F.array().cast("array<string>")
+        return F.flatten(
+            F.transform(
+                cores, lambda c, i: F.when(_may_hold(bitmap, c), edged(c, F.get(gaps, i), F.get(gaps, i + n))).otherwise(none)
+            )
+        )
+
+    parts = [around(words, 1), around(_pairs(words, gaps), 2)]
+    if sizes:
+        inner = F.transform(F.filter(F.array_distinct(gaps), lambda g: F.length(g) > 2), lambda g: F.slice(_chars(g), 2, F.length(g) - 2))
+        parts.append(F.flatten(F.transform(inner, lambda cs: F.concat(*[_pieces(cs, n) for n in sizes]))))
+    return F.array_distinct(F.filter(F.concat(*parts), lambda s: _may_hold(bitmap, s)))
+
+
+def _looked_up(keywords: DataFrame) -> tuple[DataFrame, list[int]]:
+    """``keyword, _low, _sure, _cores, _looked``: the spans a keyword is looked up by, and their words without edges.
+
+    A keyword of at most two words goes by itself, as far as its edges are no longer than a span's; it stands in a text
+    exactly when that span does if nothing was cut (``_sure``). Others go by all their pairs or pieces. Also
+    the sizes of the spans without words.
+    """
+    n = F.col("_n")
+    wanted = keywords.select("keyword", F.lower("keyword").alias("_low")).where(F.col("_low") != "").distinct()
+    wanted = wanted.withColumns({"_words": _words(F.col("_low")), "_gaps": F.split("_low", _WORD, -1)})
+    wanted = stage(wanted.withColumn("_n", F.size("_words")), "keywords")
+    length = F.length("_low")
+    sizes = wanted.where(n == 0).select(F.least(length, F.lit(EDGE)).alias("size")).distinct().collect()
+    before, after = F.get("_gaps", F.lit(0)), F.get("_gaps", n)
+    core = F.when(n == 1, F.get("_words", F.lit(0))).otherwise(F.concat(F.get("_words", F.lit(0)), F.get("_gaps", F.lit(1)), F.get("_words", F.lit(1))))
+    span = F.concat(F.right(before, F.lit(EDGE)), core, F.left(after, F.lit(EDGE)))
+    pieces = F.when(length <= EDGE, F.array("_low")).otherwise(_pieces(_chars(F.col("_low")), EDGE))
+    several = F.when(n == 0, pieces).otherwise(_pairs(F.col("_words"), F.col("_gaps")))
+    short = n.between(1, 2)
+    whole = F.when(n == 0, length <= EDGE).otherwise(short & (F.length(before) <= EDGE) & (F.length(after) <= EDGE))
+    looked = F.when(short, F.array(span)).otherwise(F.array_distinct(F.filter(several, lambda s: s.isNotNull())))
+    asked = wanted.select("keyword", "_low", whole.alias("_sure"), F.when(short, F.array(core)).alias("_cores"), looked.alias("_looked"))
+    return asked, sorted(r["size"] for r in sizes)
 
 
 def keyword_table_hits(texts_table: DataFrame, keywords: DataFrame, key: str, text: str = "text", keyword: str = "keyword") -> DataFrame:
     """``(key, keyword)`` for every keyword of a table that stands in a text, by the rule of :func:`has_keyword`.
 
     The plan does not grow with the number of keywords: the spans of texts (:func:`_spans`) that keywords have are joined by
-    hash, and a keyword looks at the texts that hold its rarest span alone. A keyword that is one word or one pair needs no
-    further test; the others of a text are tested together, so that the text is joined once for many of them.
+    hash; a bitmap of fixed size keeps most others out of that join. A keyword that is a span needs no
+    further test. The others look at the texts that hold their rarest span alone, and those of a text are tested together,
+    so that the text is joined once for many of them.
     """
-    words = F.regexp_extract_all("_low", F.lit("([a-z0-9]+)"))
-    wanted = keywords.select(F.col(keyword).alias("keyword"), F.lower(F.col(keyword)).alias("_low")).where(F.col("_low") != "").distinct()
-    wanted = stage(wanted.withColumn("_n", F.size(words)), "keywords")
-    bare = F.col("_n") == 0
-    size = F.least(F.length("_low"), F.lit(BARE_PIECE))
-    pieces = sorted(r["size"] for r in wanted.where(bare).select(size.alias("size")).distinct().collect())
-    # a keyword of several words is looked up by its pairs, one of no words by its longest pieces
-    looked = F.filter(
-        _spans(F.col("_low"), pieces),
-        lambda s: F.when(bare, F.length(s) == size).otherwise(F.size(F.regexp_extract_all(s, F.lit("([a-z0-9]+)"))) == F.least("_n", F.lit(2))),
-    )
-    asked = wanted.select("keyword", "_low", "_n", F.explode(looked).alias("_span"))
+    wanted, sizes = _looked_up(keywords.select(F.col(keyword).alias("keyword")))
+    asked = wanted.select("keyword", "_low", "_sure", F.explode("_looked").alias("_span"))
+    known = wanted.select(F.explode(F.concat(F.coalesce("_cores", F.array().cast("array<string>")), "_looked")).alias("_span"))
     low = texts_table.select(F.col(key).alias("_key"), folded(F.col(text)).alias("_text"))
-    held = low.select("_key", F.explode(_spans(F.col("_text"), pieces)).alias("_span"))
-    postings = stage(held.join(asked.select("_span").distinct(), "_span", "left_semi"), "postings")
+    padded = F.concat(F.lit(" "), "_text", F.lit(" "))
+    # a file of one row group is read in one task; dealing the texts spreads the work on them
+    tasks = int(texts_table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = low.repartition(tasks, "_key").select("_key", _words(F.col("_text")).alias("_words"), F.split(padded, _WORD, -1).alias("_gaps"))
+    spans = _spans(F.col("_words"), F.col("_gaps"), F.col("_known"), sizes)
+    held = stage(parts.crossJoin(F.broadcast(_bitmap(known, "_known"))).select("_key", spans.alias("_spans")), "held")
+    sure = held.select("_key", F.explode("_spans").alias("_span")).join(asked.where("_sure").select("keyword", "_span"), "_span").select("_key", "keyword")
+
+    asked = asked.where("not _sure")
+    few = F.filter("_spans", lambda s: _may_hold(F.col("_known"), s))
+    few = held.crossJoin(F.broadcast(_bitmap(asked.select("_span"), "_known"))).select("_key", F.explode(few).alias("_span"))
+    postings = stage(few.join(asked.select("_span").distinct(), "_span", "left_semi"), "postings")
     counts = postings.groupBy("_span").agg(F.count("*").alias("_texts"))
     # a keyword with a span that no text holds stands nowhere
     rarest = (
         asked.join(counts, "_span", "left")
-        .groupBy("keyword", "_low", "_n")
+        .groupBy("keyword", "_low")
         .agg(F.min(F.struct(F.coalesce("_texts", F.lit(0)).alias("n"), "_span")).alias("r"))
         .where("r.n > 0")
-        .select("keyword", "_low", F.col("r._span").alias("_span"), ((F.col("_n") > 0) & (F.col("_low") == F.col("r._span"))).alias("_sure"))
+        .select("keyword", "_low", F.col("r._span").alias("_span"))
     )
-    sure = postings.join(rarest.where("_sure").select("keyword", "_span"), "_span").select("_key", "keyword")
-    near = stage(postings.join(rarest.where("not _sure").drop("_sure"), "_span").select("_key", "keyword", "_low"), "near")
+    near = stage(postings.join(rarest, "_span").select("_key", "keyword", "_low"), "near")
     shares = near.groupBy("_key").agg(F.ceil(F.count("*") / F.lit(KEYWORDS_A_TEXT)).alias("_shares"))
     dealt = near.join(shares, "_key").withColumn("_share", F.pmod(F.xxhash64("keyword"), F.col("_shares")))
     together = dealt.groupBy("_key", "_share").agg(F.collect_list(F.struct("keyword", "_low")).alias("_near"))

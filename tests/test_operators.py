@@ -173,6 +173,26 @@ def test_many_keywords_without_letters(spark):
     assert sorted((r.doc_id, r.keyword) for r in got) == sorted((i, k) for i, t in enumerate(low) for k in keywords if rule(t, k))
 
 
+def test_keywords_with_edges_need_no_further_test(spark, monkeypatch):
+    """Keywords of up to two words, and of a few signs, are spans of the texts themselves: no text is searched again for them,
+    however many texts hold their words. Longer ones still are."""
+    staged = []
+    real = pred.stage
+    monkeypatch.setattr(pred, "stage", lambda df, name="stage": staged.append((name, real(df, name))) or staged[-1][1])
+    edges = ["", ",", "(", "((", "--", " ", "\n", "é", "😀", "----", "-----", "...--"]
+    keywords = sorted({a + core + b for a in edges for core in ("la", "la le", "", "la, le") for b in edges} - {""} | {"la le lu", "x"})
+    gaps = [" ", ", ", "(", " ((", "--", "-----", "------", "\n\n", "é", "aé", "😀😀", "...--.", "X", "A\x00"]
+    texts = [a + "La" + b + "le" + c + "lu" for a in ("", *gaps) for b in gaps for c in gaps] + [g + h for g in gaps for h in gaps] + ["", None, "la", "(la", "la)"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    words = spark.createDataFrame([(k,) for k in keywords], "keyword string")
+    got = sorted((r.doc_id, r.keyword) for r in pred.keyword_table_hits(docs, words, "doc_id").collect())
+    rules = [(k, re.compile(f"(?<![a-z0-9]){re.escape(k)}(?![a-z0-9])")) for k in keywords]
+    assert got == sorted((i, k) for i, t in enumerate(texts) for k, rule in rules if rule.search((t or "").lower()))
+    tested = {r.keyword for name, df in staged if name == "near" for r in df.collect()}
+    long = re.compile(r"^[^a-z0-9]{5}|[^a-z0-9]{5}$|la le lu")
+    assert tested and all(long.search(k) for k in tested)
+
+
 def test_squeeze_of_every_white_space(spark):
     """Runs of any white space become one space; tidy text has nothing to replace."""
     pieces = ["", " ", "  ", "\n", " \n", "\n ", "\t\t", "\x1c", "\x1f ", "\x85", " ", "  ", "  ", "　", "\r\n", "​", "᠎"]
