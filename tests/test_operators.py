@@ -1,6 +1,7 @@
 import dataclasses
 import datetime as dt
 import re
+from pathlib import Path
 from types import SimpleNamespace
 
 import pytest
@@ -11,14 +12,16 @@ from rolecall.functions import dates, text, urls
 from rolecall.functions.identity import entity_key
 from rolecall.operators import predicates as pred
 from rolecall.operators.firsts import latest_review_rows
+from rolecall.operators.identity import resolve_batch
 from rolecall.operators.lifecycle import touch
 from rolecall.operators.match import match_entities
 from rolecall.operators.normalize import normalize_postings
 from rolecall.operators.score import with_score
-from rolecall.plans.run import decide
-from rolecall.schemas import CONTENT
+from rolecall.plans.run import decide, judged_facts
+from rolecall.schemas import CONTENT, REFS, TRACKING
 from rolecall.session import stage
 from rolecall.sources.registry import available_sources, compact_seq, register_source, Source, select_sources
+from rolecall.workload.catalog import all_queries
 from rolecall.workload.matching import judged
 from tests import golden
 
@@ -294,3 +297,38 @@ def test_texts_do_not_go_through_the_join_with_entities(spark):
     shown = [p for _, projects in moved for p in projects]
     assert any("skills_found" in p or "_has_0" in p for p in shown)
     assert not any(re.search(r"(\[|, )(description|search_text)#\d+(,|$)", p) for p in shown)
+
+
+def test_incremental_run_stages_no_text_and_drops_finished_tables(spark, monkeypatch):
+    """Rows are judged while their texts are at hand; of the tables staged on the way only what is still read is left."""
+    from rolecall import session
+
+    wide = []
+    real = session._staged
+    monkeypatch.setattr(session, "_staged", lambda df, name: wide.append((name, set(df.columns))) or real(df, name))
+    folder = Path(session.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    rows = all_queries()["incremental_run"](spark, "/root/testdata/sf0.001").collect()
+    assert rows and {"rows", "arrivals", "round", "resolved"} <= {name for name, _ in wide}
+    assert not [name for name, columns in wide if columns & {"description", "search_text"}]
+    left = {place.name.split("-")[0] for place in set(folder.iterdir()) - before}
+    assert left == {"rows", "resolved", "decisions", "refs", "tracking"}
+    assert spark.conf.get(session.TIDY) == "false"
+
+
+def test_verdicts_before_or_while_deciding(spark):
+    """Rows judged before they are decided need no text and get the same decisions."""
+    cfg = SearchConfig(skills=("the",), roles=("clerk",), require_target_company=True)
+    raw = spark.createDataFrame(
+        [(i, "s", f"i{i % 3}", "Clerk" if i % 2 else "Cook", "all the news" if i % 4 else "none", "x" if i % 5 else "y") for i in range(12)],
+        "seq long, source string, source_job_id string, title string, description string, company_name string",
+    )
+    entities = spark.createDataFrame([(7, "X", None, None, "A", True)], "entity_id long, name string, domain string, careers_url string, priority string, enabled boolean")
+    postings = normalize_postings(raw)
+    rows = stage(match_entities(postings, entities), "rows")
+    none = [spark.createDataFrame([], layout) for layout in (TRACKING, REFS, CONTENT)]
+    resolved = stage(resolve_batch(rows, *none[:2]), "resolved")
+    now = decide(rows.drop("search_text"), resolved, none[2], cfg)
+    told = stage(judged_facts(postings, entities, cfg), "told")
+    assert "description" not in told.columns
+    assert sorted(map(str, decide(told, resolved, none[2], cfg).collect())) == sorted(map(str, now.collect()))
